@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, quality, tokens
+from . import chat, langid, mixing, neighbours, packing, quality, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = langid.held_out(F.col("doc_id"))
+    model = langid.train(documents.filter(~held_out))
+    predicted = langid.predict(documents, model)
+    return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected", "entropy")
+
+
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, spans = mixing.mixture(table(spark, sf_dir, "documents"))
     mixed = mixing.taken(documents, spans)
@@ -55,6 +67,8 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_packing": op2_packing,
+    "op4_language_id": op4_language_id,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_mixing": op7_mixing,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_quality_rules": op10_quality_rules,
