@@ -125,7 +125,8 @@ def mixture(df: DataFrame, id: str = "doc_id", text: str = "text", source: str =
     low = F.greatest(F.col("block") * F.col("length"), F.col("start"))
     high = F.least((F.col("block") + 1) * F.col("length"), whole)
     pieces = pieces.select("source_no", "start", "block", (low - F.col("start")).alias("first_word"), (high - low).alias("n_words"))
-    spans = slots.join(pieces, ["source_no", "block"]).select("source_no", "start", "shard", "slot", "pass", "first_word", "n_words")
+    # both sides grow with the input, though a plan sees a short list of draws behind the slots
+    spans = slots.hint("merge").join(pieces, ["source_no", "block"]).select("source_no", "start", "shard", "slot", "pass", "first_word", "n_words")
     return documents, spans
 
 
