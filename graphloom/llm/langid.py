@@ -1,9 +1,9 @@
 """Operator 4: language identification by interpolated Kneser-Ney character models.
 
 One model a language over the letters of lower-cased words; n-grams up to ``ORDER`` don't cross
-words, so a word's log-probability is a sum that frequent words need only once. Each model is a few
-sorted hash arrays (n-gram -> discounted probability, context -> back-off weight), searched by
-bisection. A text gets the language of lowest cross-entropy a symbol (letters and word ends).
+words, so a word's log-probability is a sum that frequent words need only once. The models are
+sorted hash arrays (n-gram -> discounted probability, context -> back-off weight, a column a
+language), searched by bisection once for all languages. A text gets the language of lowest cross-entropy a symbol (letters and word ends).
 
 Fitting takes a documented bounded sample: about ``SAMPLE_DOCS`` labelled documents a language,
 chosen by hash. A fifth of it calibrates: the temperature of the confidence, and the cross-entropy
@@ -17,6 +17,7 @@ every row is ``und``. Ties go to the first language by code point. Rows are pred
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,7 @@ from .common import U64, chunked, map_rows, mix, quoted
 ORDER, SAMPLE_DOCS, MOST_LANGUAGES, UNDETERMINED = 4, 600, 500, "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _START, _END = 1, 2
+_SCORERS: dict[str, "Scorer"] = {}
 
 
 def letter_runs(token: str) -> list[str]:
@@ -75,64 +77,92 @@ def fit(words: list[str], counts: np.ndarray, order: int = ORDER) -> dict:
     return {"levels": levels[::-1], "base": 1.0 / (len(np.unique(codes[at])) + 1)}
 
 
-def _lookup(keys: np.ndarray, values: np.ndarray, x: np.ndarray, default: float) -> np.ndarray:
-    if not len(keys):
-        return np.full(len(x), default)
+def join_tables(models: list[dict]) -> dict:
+    """The tables of all languages side by side; a last row holds the value of what isn't there."""
+
+    def side_by_side(keys: list[np.ndarray], values: list[np.ndarray], default: float) -> tuple[np.ndarray, np.ndarray]:
+        every = np.unique(np.concatenate(keys))
+        table = np.full((len(every) + 1, len(keys)), default, np.float32)
+        for m, (k, v) in enumerate(zip(keys, values, strict=True)):
+            table[np.searchsorted(every, k), m] = v
+        return every, table
+
+    levels = []
+    for parts in zip(*(m["levels"] for m in models), strict=True):
+        gram, p = side_by_side([x["gram"] for x in parts], [x["p"] for x in parts], 0.0)
+        context, gamma = side_by_side([x["context"] for x in parts], [x["gamma"] for x in parts], 1.0)
+        levels.append((gram, p, context, gamma))
+    return {"base": np.array([m["base"] for m in models], np.float32), "levels": levels}
+
+
+def _lookup(keys: np.ndarray, table: np.ndarray, x: np.ndarray) -> np.ndarray:
     i = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-    return np.where(keys[i] == x, values[i], default)
+    return table[np.where(keys[i] == x, i, len(keys))]
 
 
-def word_scores(words: list[str], models: list[dict], order: int = ORDER) -> np.ndarray:
+def word_scores(words: list[str], joint: dict, order: int = ORDER) -> np.ndarray:
     """For each word: log2-probability in each model, then the number of symbols."""
-    out = np.zeros((len(words), len(models) + 1))
-    if words:
-        codes, at, owner = _codes(words, order)
-        grams, contexts = _grams(codes, at, order), _grams(codes, at - 1, order - 1)
-        for m, model in enumerate(models):
-            p = np.full(len(at), model["base"])
-            for k, level in enumerate(model["levels"], 1):
-                p = _lookup(level["gram"], level["p"], grams[k], 0.0) + _lookup(level["context"], level["gamma"], contexts[k - 1], 1.0) * p
-            out[:, m] = np.bincount(owner, np.log2(p), len(words))
-        out[:, -1] = np.bincount(owner, minlength=len(words))
-    return out
+    width = len(joint["base"])
+    if not words:
+        return np.zeros((0, width + 1))
+    codes, at, owner = _codes(words, order)
+    grams, contexts = _grams(codes, at, order), _grams(codes, at - 1, order - 1)
+    p = np.broadcast_to(joint["base"], (len(at), width))
+    for k, (gram, seen, context, gamma) in enumerate(joint["levels"], 1):
+        p = _lookup(gram, seen, grams[k]) + _lookup(context, gamma, contexts[k - 1]) * p
+    first = np.flatnonzero(np.diff(owner, prepend=-1))
+    return np.column_stack([np.add.reduceat(np.log2(p.astype(float)), first, axis=0), np.bincount(owner, minlength=len(words))])
 
 
 class Scorer:
     """Sums of word scores over texts; keeps the scores of at most ``limit`` tokens."""
 
-    def __init__(self, models: list[dict], order: int = ORDER, limit: int = 300_000, longest: int = 48):
-        self.models, self.order, self.limit, self.longest = models, order, limit, longest
-        self.clear()
-
-    def clear(self) -> None:
-        self.rows, self.table = {}, np.zeros((0, len(self.models) + 1))
+    def __init__(self, joint: dict, order: int = ORDER, limit: int = 400_000, longest: int = 48):
+        self.joint, self.order, self.limit, self.longest = joint, order, limit, longest
+        self.width = len(joint["base"]) + 1
+        self.table = np.zeros((limit, self.width), np.float32)
+        self.rows: dict[str, int] = {}
 
     def _token_scores(self, tokens: list[str]) -> np.ndarray:
         runs = [letter_runs(t) for t in tokens]
         owner = np.repeat(np.arange(len(tokens)), [len(r) for r in runs])
-        scores = word_scores([r for rs in runs for r in rs], self.models, self.order)
-        out = np.zeros((len(tokens), len(self.models) + 1))
-        np.add.at(out, owner, scores)
-        return out
+        scores = word_scores([r for rs in runs for r in rs], self.joint, self.order)
+        return np.column_stack([np.bincount(owner, scores[:, i], len(tokens)) for i in range(self.width)])
 
     def texts(self, texts: list[str]) -> np.ndarray:
-        if len(self.rows) > self.limit:
-            self.clear()
-        split = [t.split() for t in texts]
-        short = [[t for t in ts if len(t) <= self.longest] for ts in split]
-        missing = list({t for ts in short for t in ts if t not in self.rows})
-        if missing:
-            start = len(self.rows)
-            self.rows.update(zip(missing, range(start, start + len(missing)), strict=True))
-            self.table = np.concatenate([self.table[:start], *(self._token_scores(part) for part in chunked(missing, 5_000))])
-        out = np.zeros((len(texts), len(self.models) + 1))
-        for i, (ts, ks) in enumerate(zip(split, short, strict=True)):
-            if ks:
-                out[i] = self.table[np.fromiter(map(self.rows.__getitem__, ks), np.int64, len(ks))].sum(0)
-            for part in chunked((t for t in ts if len(t) > self.longest), 50) if len(ks) < len(ts) else ():
-                out[i] += self._token_scores(part).sum(0)
+        out, held, n = np.zeros((len(texts), self.width)), [], 0
+        for i, text in enumerate(texts):
+            for tokens in chunked(text.split(), self.limit // 4):
+                held.append((i, tokens))
+                n += len(tokens)
+                if n >= self.limit // 4:
+                    self._add(held, out)
+                    held, n = [], 0
+        self._add(held, out)
         return out
 
+    def _add(self, held: list[tuple[int, list[str]]], out: np.ndarray) -> None:
+        """Adds the scores of at most limit / 2 tokens; those not met before are scored together."""
+        missing = list({t for _, tokens in held for t in tokens if t not in self.rows})
+        long = [t for t in missing if len(t) > self.longest]  # too long to keep: scored apart, a few at once
+        if long:
+            kept = [(i, [t for t in tokens if len(t) <= self.longest]) for i, tokens in held]
+            for i, tokens in held:
+                for part in chunked((t for t in tokens if len(t) > self.longest), 50):
+                    out[i] += self._token_scores(part).sum(0)
+            held, missing = kept, [t for t in missing if len(t) <= self.longest]
+        if len(self.rows) + len(missing) > self.limit:
+            self.rows.clear()
+            missing = list({t for _, tokens in held for t in tokens})
+        start = len(self.rows)
+        for part in chunked(missing, 20_000):
+            self.table[start : start + len(part)] = self._token_scores(part)
+            self.rows.update(zip(part, range(start, start + len(part)), strict=True))
+            start += len(part)
+        for i, tokens in held:
+            if tokens:
+                out[i] += self.table[np.fromiter(map(self.rows.__getitem__, tokens), np.int64, len(tokens))].sum(0, dtype=float)
+
 
 def held_out(id: Column, folds: int = 5) -> Column:
     """crc32 of the id as text modulo folds is 0; a null id counts as empty text."""
@@ -151,7 +181,7 @@ def train(df: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "la
         raise ValueError(f"{len(per)} labels; a language column has {MOST_LANGUAGES} at most")
     languages = sorted(per)
     if not languages:
-        return {"languages": [], "models": [], "limit": 0.0, "temperature": 1.0, "order": order}
+        return {"languages": [], "joint": None, "limit": 0.0, "temperature": 1.0, "order": order, "key": ""}
     rate = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, sample_docs / per[k]))])
     ticket = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 20)) / (1 << 20)
     sample = rows.filter(ticket < rate[F.col("lang")]).withColumn("calibrates", F.pmod(F.xxhash64("id", F.lit("part")), F.lit(5)) == 0)
@@ -167,7 +197,7 @@ def train(df: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "la
                 seen.clear()
         yield from ((a, b, n) for (a, b), n in seen.items())
 
-    fitting = map_rows(sample.filter(~F.col("calibrates") | (rate[F.col("lang")] * 0 + F.create_map(*[F.lit(x) for k in languages for x in (k, per[k])])[F.col("lang")] < 20)).select("lang", "text"), count, "lang string, word string, n long")
+    fitting = map_rows(sample.filter(~F.col("calibrates") | (F.create_map(*[F.lit(x) for k in languages for x in (k, per[k])])[F.col("lang")] < 20)).select("lang", "text"), count, "lang string, word string, n long")
     counted: pa.Table = fitting.groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow().sort_by([("lang", "ascending"), ("word", "ascending")])
     models, kept = [], []
     for language in languages:
@@ -175,7 +205,7 @@ def train(df: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "la
         if part.num_rows:
             models.append(fit(part["word"].to_pylist(), part["n"].to_numpy(), order))
             kept.append(language)
-    model = {"languages": kept, "models": models, "limit": float("inf"), "temperature": 1.0, "order": order}
+    model = {"languages": kept, "joint": join_tables(models) if kept else None, "limit": float("inf"), "temperature": 1.0, "order": order, "key": uuid.uuid4().hex}
     if not kept:
         return model
     held = predict(sample.filter("calibrates"), model, "id", "text", entropies=True, keep="lang")
@@ -199,9 +229,12 @@ def predict(df: DataFrame, model: dict, id: str = "doc_id", text: str = "text",
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         m = shared.value
-        scorer = Scorer(m["models"], m["order"])
+        if m["languages"] and m["key"] not in _SCORERS:  # one for all tasks of a worker
+            _SCORERS.clear()
+            _SCORERS[m["key"]] = Scorer(m["joint"], m["order"])
+        scorer = _SCORERS.get(m["key"])
         for part in chunked(rows, 256):
-            sums = scorer.texts([r[1] or "" for r in part])
+            sums = scorer.texts([r[1] or "" for r in part]) if scorer else [(0,)] * len(part)
             for row, s in zip(part, sums, strict=True):
                 extra = (row[2],) if keep else ()
                 if not m["languages"] or not s[-1]:
