@@ -3,9 +3,10 @@
 Sets are split recursively on sampled shared tokens: a set goes to a node for each of its tokens
 whose hash falls under ``PATHS / size``, so two sets meet at tokens they share. A node of up to
 ``LEAF`` sets is compared by brute force; a larger one is split again on tokens not yet on its
-path, and one that is still larger after ``DEPTH`` splits is compared in pairs of blocks. The
-tokens of the root level are independent runs: with 16 of them two sets of similarity 0.8 miss each
-other with a probability of about exp(-0.8 * 16), under 3 in a million.
+path, and one that is still larger after ``DEPTH`` splits is compared in pairs of blocks. Runs
+start from disjoint shares of a set's ``PATHS`` sampled tokens; after a run its links are joined
+into groups, and the next run skips nodes that lie in one group. With 16 starts in all, two sets of
+similarity 0.8 miss each other with a probability of about exp(-0.8 * 16), under 3 in a million.
 
 Comparison in a node uses a token sample and only links what may be similar. The connected groups
 of these links are then joined exactly on whole sets, in blocks, each pair once. So a link that no
@@ -30,7 +31,9 @@ from .common import U64, as_bytes, map_rows, mix, quoted, saved, shingle_hashes,
 from .components import components
 
 WORDS, SIMILARITY = 5, 0.8
-PATHS, SAMPLE, CHILDREN, LEAF, DEPTH, BLOCK = 16, 32, 2.0, 1_024, 5, 512
+PATHS, SAMPLE, CHILDREN, LEAF, DEPTH, BLOCK = 16, 32, 1.25, 2_048, 5, 512
+#: Shares of the start tokens (of 16) that the runs take.
+RUNS = ((0, 4), (4, 16))
 _ORDER = U64(0x5851F42D4C957F2D)
 
 
@@ -66,7 +69,9 @@ def _labels(linked: np.ndarray) -> np.ndarray:
     """Component of each row of a boolean matrix: the smallest row number in it."""
     label = np.arange(len(linked))
     while True:
-        low = np.minimum(label, np.where(linked, label[None, :], len(label)).min(1))
+        low = label.copy()
+        for i in range(0, len(label), 256):
+            low[i : i + 256] = np.minimum(low[i : i + 256], np.where(linked[i : i + 256], label[None, :], len(label)).min(1))
         low = np.minimum(low, low[low])
         if (low == label).all():
             return label
@@ -92,15 +97,18 @@ def _shared(sets: list[np.ndarray], width: int = 1 << 24) -> np.ndarray:
 
 
 def _candidates(members: list[tuple], similarity: float) -> Iterator[tuple[bytes, bytes]]:
-    """Links of a node's sets whose samples may be similar, as stars around the first of each group."""
-    samples = [np.frombuffer(s, U64) for _, _, s in members]
-    size = np.array([n for _, n, _ in members], float)
+    """New links between the groups of a node's sets whose samples may be similar; members: (set, label, n, sample)."""
+    samples = [np.frombuffer(m[3], U64) for m in members]
+    size = np.array([m[2] for m in members], float)
     k = np.array([len(s) for s in samples], float)
     alike = _shared(samples) >= 0.5 * np.maximum(k[:, None], k[None, :])
     alike &= np.minimum(size[:, None], size[None, :]) >= similarity * np.maximum(size[:, None], size[None, :]) - 1e-9
-    for i, root in enumerate(_labels(alike)):
-        if i != root:
-            yield members[i][0], members[root][0]
+    labels = [m[1] for m in members]
+    _, group = np.unique(np.array([int.from_bytes(x[:8]) for x in labels], U64), return_inverse=True)
+    order = np.argsort(group, kind="stable")
+    same = order[1:][group[order[1:]] == group[order[:-1]]], order[:-1][group[order[1:]] == group[order[:-1]]]
+    alike[same] = alike[same[::-1]] = True
+    yield from {(labels[i], labels[root]) for i, root in enumerate(_labels(alike)) if labels[i] != labels[root]}
 
 
 def _blocks(df: DataFrame, size: str, member: str, block: int) -> DataFrame:
@@ -112,22 +120,27 @@ def _blocks(df: DataFrame, size: str, member: str, block: int) -> DataFrame:
     return dealt.withColumn("i", F.least("_own", "_other")).withColumn("j", F.greatest("_own", "_other")).drop("_other")
 
 
-def paths(sets: DataFrame) -> DataFrame:
-    """(node, set, m) of all nodes that are to be compared; m is the number of sets in the node."""
-    level = sets.select("set", F.explode("roots").alias("token")).select(F.col("token").alias("node"), "set", F.array("token").alias("path"))
+def paths(sets: DataFrame, labels: DataFrame | None, run: tuple[int, int]) -> DataFrame:
+    """(node, set, label, m) of the nodes of a run that hold sets of more than one group; m is the number of sets in the node.
+
+    labels: (node, label) of the groups known so far; a set without one is its own group.
+    """
+    label = F.col("set") if labels is None else F.coalesce("label", "set")
+    known = sets if labels is None else sets.join(labels.withColumnRenamed("node", "set"), "set", "left")
+    share = lambda t: F.pmod(F.xxhash64(t, F.lit("run")), F.lit(16)).between(run[0], run[1] - 1)
+    level = known.select("set", label.alias("label"), F.explode(F.filter("roots", share)).alias("node")).withColumn("path", F.array("node"))
     leaves = None
     for depth in range(DEPTH + 1):
-        counts = level.groupBy("node").agg(F.count("*").alias("m")).filter("m > 1")
+        counts = level.groupBy("node").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).filter("m > 1 and low <> high").select("node", "m")
         met = saved(level.join(counts, "node"), "paths")
-        done = met.select("node", "set", "m") if depth == DEPTH else met.filter(F.col("m") <= LEAF).select("node", "set", "m")
+        done = met.select("node", "set", "label", "m") if depth == DEPTH else met.filter(F.col("m") <= LEAF).select("node", "set", "label", "m")
         leaves = done if leaves is None else leaves.unionByName(done)
         large = met.filter(F.col("m") > LEAF)
         if depth == DEPTH or large.limit(1).count() == 0:
             break
-        tokens = large.join(sets.select("set", "roots"), "set").withColumn("left", F.array_except("roots", "path"))
-        children = tokens.select("node", "set", "path", F.size("left").alias("n"), F.explode("left").alias("token")).withColumn("child", F.xxhash64("node", "token"))
-        ticket = F.pmod(F.xxhash64("child", F.lit("pick")), F.lit(1 << 30)) / (1 << 30)
-        level = children.filter(ticket * F.col("n") < CHILDREN).select(F.col("child").alias("node"), "set", F.concat("path", F.array("token")).alias("path"))
+        left = large.join(sets.select("set", "roots"), "set").withColumn("left", F.array_except("roots", "path"))
+        picked = F.filter("left", lambda t: F.pmod(F.xxhash64("node", t, F.lit("pick")), F.lit(1 << 30)) * F.size("left") < int(CHILDREN * (1 << 30)))
+        level = left.withColumn("token", F.explode(picked)).select(F.xxhash64("node", "token").alias("node"), "set", "label", F.concat("path", F.array("token")).alias("path"))
     return leaves
 
 
@@ -138,16 +151,19 @@ def jaccard_join(df: DataFrame, id: str = "doc_id", text: str = "text", words: i
     some = rows.filter("set is not null")
     sets = saved(some.groupBy("set").agg(F.min("doc").alias("low"), F.count("*").alias("copies"), F.min(F.struct("doc", "tie")).alias("holder"), F.first("n").alias("n"), F.first("roots").alias("roots"), F.first("sample").alias("sample")), "distinct")
 
-    nodes = paths(sets).join(sets.select("set", "n", "sample"), "set")
-    dealt = _blocks(nodes, "m", "set", LEAF).select("node", "i", "j", "set", "n", "sample").repartition(parts, "node", "i", "j").sortWithinPartitions("node", "i", "j")
-
     def compare(rows: Iterator[tuple]) -> Iterator[tuple]:
         for _, group in groupby(rows, key=lambda r: r[:3]):
             members = [r[3:] for r in group]
             if len(members) > 1:
                 yield from _candidates(members, similarity)
 
-    groups = components(map_rows(dealt, compare, "a binary, b binary").distinct())
+    links, groups = None, None
+    for run in RUNS:
+        nodes = paths(sets, groups, run).join(sets.select("set", "n", "sample"), "set")
+        dealt = _blocks(nodes, "m", "set", LEAF).select("node", "i", "j", "set", "label", "n", "sample").repartition(parts, "node", "i", "j").sortWithinPartitions("node", "i", "j", "set")
+        found = saved(map_rows(dealt, compare, "a binary, b binary").distinct(), "candidates")
+        links = found if links is None else links.unionByName(found)
+        groups = components(links)
     sizes = groups.groupBy("label").agg(F.count("*").alias("m"))
     wanted = groups.join(sizes, "label").withColumnRenamed("node", "set").join(sets.select("set", "holder", "copies"), "set")
     wanted = wanted.select("label", "m", "set", "copies", F.col("holder.doc").alias("doc"), F.col("holder.tie").alias("tie"))
