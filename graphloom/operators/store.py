@@ -18,6 +18,7 @@ from graphloom.functions import labels
 from graphloom.functions.residues import one_hot, with_descriptors
 
 from . import encode
+from .lineage import settled
 
 TABLES = ("graphs", "node_dict", "edge_dict", "graph_nodes", "graph_edges")
 BUCKETS = 64
@@ -67,6 +68,10 @@ class GraphStore:
     def empty(spark: SparkSession, meta: Meta = Meta()) -> "GraphStore":
         return GraphStore.build(spark.createDataFrame([], NODES), spark.createDataFrame([], EDGES), meta)
 
+    def settled(self) -> "GraphStore":
+        """The same store with its tables written once: for stores that are read more than once."""
+        return replace(self, **{t: settled(df, t) for t, df in self.tables.items()})
+
     def insert(self, nodes: DataFrame, edges: DataFrame, on_duplicate: str = "ignore", meta: Meta | None = None) -> "GraphStore":
         """Append graphs. ``on_duplicate``: 'ignore' keeps what is stored, 'replace' takes the new, 'error' raises.
 
@@ -169,12 +174,12 @@ class GraphStore:
 
     def compact(self) -> "GraphStore":
         """Ids dense again: graphs by seq, nodes and edges by (first graph that has them, old id); unused entries vanish."""
-        graphs = encode.dense(self.graphs.withColumnRenamed("graph_id", "_old"), ["seq", "graph_code"], "graph_id")
+        graphs = settled(encode.dense(self.graphs.withColumnRenamed("graph_id", "_old"), ["seq", "graph_code"], "graph_id"), "graphs")
 
         def again(members: DataFrame, dictionary: DataFrame, id: str) -> tuple[DataFrame, DataFrame]:
             moved = members.join(graphs.select(F.col("_old").alias("graph_id"), F.col("graph_id").alias("_graph")), "graph_id").drop("graph_id").withColumnRenamed("_graph", "graph_id")
             first = moved.groupBy(F.col(id).alias("_old")).agg(F.min("graph_id").alias("_first"))
-            ids = encode.dense(first, ["_first", "_old"], id).select("_old", id)
+            ids = settled(encode.dense(first, ["_first", "_old"], id).select("_old", id), id)
             renamed = lambda df: df.withColumnRenamed(id, "_old").join(ids, "_old").drop("_old")
             return renamed(moved).select(members.columns), renamed(dictionary).select(dictionary.columns)
 
@@ -218,7 +223,7 @@ class GraphStore:
 
         shift = span.select("_from", (F.sum("_span").over(Window.orderBy("_from")) - F.col("_span")).alias("_shift"))  # a row a store
         kept = lambda df: df.join(winner, ["graph_code", "_from"], "left_semi").join(F.broadcast(shift), "_from").withColumn("seq", F.col("seq") + F.col("_shift")).drop("_from", "_shift")
-        return GraphStore.build(kept(nodes), kept(edges), stores[-1].meta)
+        return GraphStore.build(settled(kept(nodes), "nodes"), settled(kept(edges), "edges"), stores[-1].meta)
 
     # persistence --------------------------------------------------------------------------------
 
@@ -237,7 +242,7 @@ class GraphStore:
     @staticmethod
     def read(spark: SparkSession, path: str) -> "GraphStore":
         meta = spark.read.parquet(f"{path}/store_meta").first()
-        return GraphStore(*(spark.read.parquet(f"{path}/{t}") for t in TABLES), meta=Meta.of_json(meta["meta"]))
+        return GraphStore(*(spark.read.parquet(f"{path}/{t}").drop("bucket") for t in TABLES), meta=Meta.of_json(meta["meta"]))
 
     @staticmethod
     def read_graph(spark: SparkSession, path: str, code: str) -> "GraphStore":
@@ -246,5 +251,5 @@ class GraphStore:
         found = store.graphs.filter(F.col("graph_code") == code.strip().upper())
         one = found.first()
         id = one["graph_id"] if one else -1
-        members = {t: getattr(store, t).filter((F.col("bucket") == id % buckets) & (F.col("graph_id") == id)).drop("bucket") for t in ("graph_nodes", "graph_edges")}
+        members = {t: spark.read.parquet(f"{path}/{t}").filter((F.col("bucket") == id % buckets) & (F.col("graph_id") == id)).drop("bucket") for t in ("graph_nodes", "graph_edges")}
         return replace(store, graphs=found, **members)
