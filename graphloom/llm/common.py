@@ -52,6 +52,14 @@ def as_bytes(column: str):
     return F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")
 
 
+def row_key(id: str, text: str, name: str) -> dict:
+    """Columns that tell rows by (id, text): the id as text, null apart from any id, and a hash of the text.
+
+    Deduplication and joins on the same two plain columns share one exchange; a null-safe comparison would not.
+    """
+    return {f"{name}_id": F.coalesce(F.concat(F.lit("="), F.col(quoted(id)).cast("string")), F.lit("")), f"{name}_hash": F.xxhash64(quoted(text))}
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

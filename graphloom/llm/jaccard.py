@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, as_bytes, map_rows, mix, quoted, saved, shingle_hashes, word_hashes
+from .common import U64, as_bytes, map_rows, mix, quoted, row_key, saved, shingle_hashes, word_hashes
 from .components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -207,7 +207,7 @@ def jaccard_join(df: DataFrame, id: str = "doc_id", text: str = "text", words: i
 def keep_one(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """df without the members of a class that aren't its first (smallest id, then hash of the text); repeated rows go too."""
     found = jaccard_join(df, id, text)
-    first = found.groupBy("class_id").agg(F.min(F.struct(F.col(quoted(id)).alias("_id"), F.col("tie").alias("_tie"))).alias("k")).select("k._id", "k._tie")
-    keyed = df.withColumn("_text_hash", F.xxhash64(quoted(text))).dropDuplicates([id, "_text_hash"])
-    kept = keyed.join(first, F.col(quoted(id)).eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_tie")), "left_semi")
-    return kept.select(*[F.col(quoted(c)) for c in df.columns])
+    first = found.groupBy("class_id").agg(F.min(F.struct(F.col(quoted(id)).alias("id"), F.col("tie").alias("tie"))).alias("k"))
+    first = first.select(F.coalesce(F.concat(F.lit("="), F.col("k.id").cast("string")), F.lit("")).alias("_row_id"), F.col("k.tie").alias("_row_hash"))
+    once = df.withColumns(row_key(id, text, "_row")).dropDuplicates(["_row_id", "_row_hash"])
+    return once.join(first, ["_row_id", "_row_hash"], "left_semi").select(*[F.col(quoted(c)) for c in df.columns])

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, map_rows, mix, quoted, saved
+from .common import U64, map_rows, mix, quoted, row_key, saved
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, MOST, BLOCK, SHARDS, SEED = (1, 2, 3), 3, 64, 256, 7
@@ -146,9 +146,10 @@ def mixed_documents(df: DataFrame, id: str = "doc_id", text: str = "text", sourc
     """
     documents, spans = mixture(df, id, text, source, **options)
     runs = spans.groupBy("source_no", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("_runs"))
-    runs = documents.join(runs, ["source_no", "start"]).select(F.col("id").alias("_id"), F.col("tie").alias("_tie"), "_runs", "pass")
-    keyed = df.withColumn("_tie", F.xxhash64(quoted(text))).dropDuplicates(["_tie", id])
-    joined = keyed.alias("d").join(runs.alias("r"), F.col(f"d.{quoted(id)}").eqNullSafe(F.col("r._id")) & (F.col("d._tie") == F.col("r._tie")))
+    row = F.coalesce(F.concat(F.lit("="), F.col("id").cast("string")), F.lit(""))
+    runs = documents.join(runs, ["source_no", "start"]).select(row.alias("_row_id"), F.col("tie").alias("_row_hash"), "_runs", "pass")
+    once = df.withColumns(row_key(id, text, "_row")).dropDuplicates(["_row_id", "_row_hash"])
+    joined = once.alias("d").join(runs.alias("r"), ["_row_id", "_row_hash"])
     columns = [F.col(f"d.{quoted(c)}") for c in df.columns]
     schema, at = df.schema, df.columns.index(text)
 

@@ -291,10 +291,14 @@ def covered(rows: list[tuple]) -> Iterator[tuple]:
         yield doc, tie, int(pos - high[i]), int(pos - low[i] + LENGTH)
 
 
-def repeats(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: id, tie, n_bytes, n_removed, spans (start, end of removed runs), kept (the other bytes)."""
+def _keyed(df: DataFrame, id: str, text: str) -> dict:
+    return {"_doc": F.coalesce(F.col(quoted(id)).cast("long"), F.lit(NULL_ID)), "_tie": F.hash(quoted(text))}
+
+
+def covers_of(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """_doc (id or NULL_ID), _tie (hash of the text), covers: for each text that repeats others, what of it is covered."""
     parts = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    texts = df.select(F.coalesce(F.col(quoted(id)).cast("long"), F.lit(NULL_ID)).alias("doc"), F.hash(quoted(text)).alias("tie"), as_bytes(quoted(text)).alias("data"))
+    texts = df.withColumns(_keyed(df, id, text)).select(F.col("_doc").alias("doc"), F.col("_tie").alias("tie"), as_bytes(quoted(text)).alias("data"))
     covers = saved(_covers(_met(texts), parts), "covers")
 
     spots = covers.filter("first").groupBy("doc", "tie").agg(F.collect_list(F.struct("gram", "pos")).alias("spots"))
@@ -322,14 +326,19 @@ def repeats(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     partly = map_rows(dealt, compare, "doc long, tie int, low int, high int")
     wholly = covers.filter("not first").select("doc", "tie", (F.col("pos") - REACH).alias("low"), (F.col("pos") + LENGTH).alias("high"), "marks")
     all_ = wholly.unionByName(partly.withColumn("marks", F.lit(None).cast("binary")))
-    listed = all_.groupBy("doc", "tie").agg(F.collect_list(F.struct("low", "high", "marks")).alias("covers"))
+    return all_.groupBy(F.col("doc").alias("_doc"), F.col("tie").alias("_tie")).agg(F.collect_list(F.struct("low", "high", "marks")).alias("covers"))
+
+
+def repeats(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per input row: id, tie, n_bytes, n_removed, spans (start, end of removed runs), kept (the other bytes)."""
 
     def remove(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for doc, tie, data, covers_ in rows:
-            yield (None if doc == NULL_ID else doc), tie, len(data), *cut(data, covers_ or [])
+        for doc, tie, data, covers in rows:
+            yield (None if doc == NULL_ID else doc), tie, len(data), *cut(data, covers or [])
 
+    texts = df.withColumns(_keyed(df, id, text)).select("_doc", "_tie", as_bytes(quoted(text)).alias("data"))
     out = f"{quoted(id)} long, tie int, n_bytes long, n_removed long, spans array<struct<low:int,high:int>>, kept binary"
-    return map_rows(texts.join(listed, ["doc", "tie"], "left").select("doc", "tie", "data", "covers"), remove, out, size=lambda r: len(r[5]))
+    return map_rows(texts.join(covers_of(df, id, text), ["_doc", "_tie"], "left").select("_doc", "_tie", "data", "covers"), remove, out, size=lambda r: len(r[5]))
 
 
 def cut(data: bytes, covers: list[dict]) -> tuple[int, list[dict], bytes]:
@@ -355,16 +364,16 @@ def without_repeats(df: DataFrame, id: str = "doc_id", text: str = "text") -> Da
 
     Characters that a cut leaves in part are dropped.
     """
-    found = repeats(df, id, text).filter("n_removed > 0").dropDuplicates([id, "tie"]).select(F.col(quoted(id)).alias("_id"), F.col("tie").alias("_tie"), F.col("kept").alias("_kept"))
-    joined = df.withColumn("_hash", F.hash(quoted(text))).join(found, F.col(quoted(id)).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_tie")), "left")
+    joined = df.withColumns(_keyed(df, id, text)).join(covers_of(df, id, text), ["_doc", "_tie"], "left")
     schema, at = df.schema, df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [old if kept is None else kept.decode(errors="ignore") for old, kept in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
+            covers = batch.column(batch.num_columns - 1).to_pylist()
+            texts = [old if c is None else cut(old.encode(), c)[2].decode(errors="ignore") for old, c in zip(batch.column(at).to_pylist(), covers, strict=True)]
             arrays = [batch.column(i) for i in range(batch.num_columns - 1)]
             arrays[at] = pa.array(texts, arrays[at].type)
-            full = pa.array([k is None or bool(t.strip()) for k, t in zip(batch.column(batch.num_columns - 1).to_pylist(), texts, strict=True)], pa.bool_())
+            full = pa.array([c is None or bool(t.strip()) for c, t in zip(covers, texts, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema]).filter(full)
 
-    return joined.select(*[F.col(quoted(c)) for c in df.columns], "_kept").mapInArrow(run, schema)
+    return joined.select(*[F.col(quoted(c)) for c in df.columns], "covers").mapInArrow(run, schema)
