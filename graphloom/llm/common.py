@@ -67,7 +67,7 @@ def quoted(name: str) -> str:
 class HashCache(dict):
     """bytes -> 64-bit hash; emptied when it holds ``limit`` entries, so memory is bounded."""
 
-    def __init__(self, limit: int = 400_000, longest: int = 64):
+    def __init__(self, limit: int = 250_000, longest: int = 64):
         super().__init__()
         self.limit, self.longest = limit, longest
 

@@ -145,7 +145,10 @@ def paths(sets: DataFrame, labels: DataFrame | None, run: tuple[int, int]) -> Da
 
 
 def jaccard_join(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per input row: id, tie (hash of the text), class_id, n_links (other rows at that similarity or more)."""
+    """One row per input row: id, tie (hash of the text), class_id, n_links (other rows at that similarity or more), class_key.
+
+    class_key tells classes apart even where rows of several share an id; it is null for texts without a word.
+    """
     parts = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = saved(sets_of(df, id, text, words), "sets")
     some = rows.filter("set is not null")
@@ -199,15 +202,16 @@ def jaccard_join(df: DataFrame, id: str = "doc_id", text: str = "text", words: i
     links = linked.groupBy(F.col("a").alias("set")).agg(F.sum("links").alias("links"))
     placed = sets.select("set", "low", "copies").join(classes.withColumnRenamed("node", "set"), "set", "left").join(links, "set", "left").withColumn("label", F.coalesce("label", "set"))
     lowest = placed.groupBy("label").agg(F.min("low").alias("class_id"))
-    answer = placed.join(lowest, "label").select("set", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    answer = placed.join(lowest, "label").select("set", "class_id", "label", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = rows.select("doc", "tie", "set").join(answer, "set", "left")
-    return out.select(F.col("doc").alias(id), "tie", F.when(F.col("set").isNull(), F.col("doc")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select(F.col("doc").alias(id), "tie", F.when(F.col("set").isNull(), F.col("doc")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("label").alias("class_key"))
 
 
 def keep_one(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """df without the members of a class that aren't its first (smallest id, then hash of the text); repeated rows go too."""
     found = jaccard_join(df, id, text)
-    first = found.groupBy("class_id").agg(F.min(F.struct(F.col(quoted(id)).alias("id"), F.col("tie").alias("tie"))).alias("k"))
-    first = first.select(F.coalesce(F.concat(F.lit("="), F.col("k.id").cast("string")), F.lit("")).alias("_row_id"), F.col("k.tie").alias("_row_hash"))
-    once = df.withColumns(row_key(id, text, "_row")).dropDuplicates(["_row_id", "_row_hash"])
-    return once.join(first, ["_row_id", "_row_hash"], "left_semi").select(*[F.col(quoted(c)) for c in df.columns])
+    row = F.struct(F.col(quoted(id)).alias("id"), F.col("tie").alias("tie"))
+    first = found.filter("class_key is not null").groupBy("class_key").agg(F.min(row).alias("k")).select("k").union(found.filter("class_key is null").select(row.alias("k")))
+    first = first.select(F.coalesce(F.concat(F.lit("="), F.col("k.id").cast("string")), F.lit("")).alias("_graphloom_id"), F.col("k.tie").alias("_graphloom_hash"))
+    once = df.withColumns(row_key(id, text, "_graphloom")).dropDuplicates(["_graphloom_id", "_graphloom_hash"])
+    return once.join(first, ["_graphloom_id", "_graphloom_hash"], "left_semi").select(*[F.col(quoted(c)) for c in df.columns])

@@ -145,11 +145,11 @@ def mixed_documents(df: DataFrame, id: str = "doc_id", text: str = "text", sourc
     joined by a line break. Rows repeated in df share their spans.
     """
     documents, spans = mixture(df, id, text, source, **options)
-    runs = spans.groupBy("source_no", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("_runs"))
+    runs = spans.groupBy("source_no", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("_graphloom_runs"))
     row = F.coalesce(F.concat(F.lit("="), F.col("id").cast("string")), F.lit(""))
-    runs = documents.join(runs, ["source_no", "start"]).select(row.alias("_row_id"), F.col("tie").alias("_row_hash"), "_runs", "pass")
-    once = df.withColumns(row_key(id, text, "_row")).dropDuplicates(["_row_id", "_row_hash"])
-    joined = once.alias("d").join(runs.alias("r"), ["_row_id", "_row_hash"])
+    runs = documents.filter("size > 0").join(runs, ["source_no", "start"]).select(row.alias("_graphloom_id"), F.col("tie").alias("_graphloom_hash"), "_graphloom_runs", "pass")
+    once = df.withColumns(row_key(id, text, "_graphloom")).dropDuplicates(["_graphloom_id", "_graphloom_hash"])
+    joined = once.alias("d").join(runs.alias("r"), ["_graphloom_id", "_graphloom_hash"])
     columns = [F.col(f"d.{quoted(c)}") for c in df.columns]
     schema, at = df.schema, df.columns.index(text)
 
@@ -175,4 +175,4 @@ def mixed_documents(df: DataFrame, id: str = "doc_id", text: str = "text", sourc
             arrays[at] = pa.array(texts, arrays[at].type)
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema])
 
-    return joined.select(*columns, F.col("r._runs")).mapInArrow(cut, schema)
+    return joined.select(*columns, F.col("r._graphloom_runs")).mapInArrow(cut, schema)

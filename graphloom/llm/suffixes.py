@@ -292,13 +292,13 @@ def covered(rows: list[tuple]) -> Iterator[tuple]:
 
 
 def _keyed(df: DataFrame, id: str, text: str) -> dict:
-    return {"_doc": F.coalesce(F.col(quoted(id)).cast("long"), F.lit(NULL_ID)), "_tie": F.hash(quoted(text))}
+    return {"_graphloom_doc": F.coalesce(F.col(quoted(id)).cast("long"), F.lit(NULL_ID)), "_graphloom_tie": F.hash(quoted(text))}
 
 
 def covers_of(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """_doc (id or NULL_ID), _tie (hash of the text), covers: for each text that repeats others, what of it is covered."""
+    """_graphloom_doc (id or NULL_ID), _graphloom_tie (hash of the text), _graphloom_covers: for each text that repeats others, what of it is covered."""
     parts = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    texts = df.withColumns(_keyed(df, id, text)).select(F.col("_doc").alias("doc"), F.col("_tie").alias("tie"), as_bytes(quoted(text)).alias("data"))
+    texts = df.withColumns(_keyed(df, id, text)).select(F.col("_graphloom_doc").alias("doc"), F.col("_graphloom_tie").alias("tie"), as_bytes(quoted(text)).alias("data"))
     covers = saved(_covers(_met(texts), parts), "covers")
 
     spots = covers.filter("first").groupBy("doc", "tie").agg(F.collect_list(F.struct("gram", "pos")).alias("spots"))
@@ -326,7 +326,7 @@ def covers_of(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
     partly = map_rows(dealt, compare, "doc long, tie int, low int, high int")
     wholly = covers.filter("not first").select("doc", "tie", (F.col("pos") - REACH).alias("low"), (F.col("pos") + LENGTH).alias("high"), "marks")
     all_ = wholly.unionByName(partly.withColumn("marks", F.lit(None).cast("binary")))
-    return all_.groupBy(F.col("doc").alias("_doc"), F.col("tie").alias("_tie")).agg(F.collect_list(F.struct("low", "high", "marks")).alias("covers"))
+    return all_.groupBy(F.col("doc").alias("_graphloom_doc"), F.col("tie").alias("_graphloom_tie")).agg(F.collect_list(F.struct("low", "high", "marks")).alias("_graphloom_covers"))
 
 
 def repeats(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -336,9 +336,9 @@ def repeats(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
         for doc, tie, data, covers in rows:
             yield (None if doc == NULL_ID else doc), tie, len(data), *cut(data, covers or [])
 
-    texts = df.withColumns(_keyed(df, id, text)).select("_doc", "_tie", as_bytes(quoted(text)).alias("data"))
+    texts = df.withColumns(_keyed(df, id, text)).select("_graphloom_doc", "_graphloom_tie", as_bytes(quoted(text)).alias("data"))
     out = f"{quoted(id)} long, tie int, n_bytes long, n_removed long, spans array<struct<low:int,high:int>>, kept binary"
-    return map_rows(texts.join(covers_of(df, id, text), ["_doc", "_tie"], "left").select("_doc", "_tie", "data", "covers"), remove, out, size=lambda r: len(r[5]))
+    return map_rows(texts.join(covers_of(df, id, text), ["_graphloom_doc", "_graphloom_tie"], "left").select("_graphloom_doc", "_graphloom_tie", "data", "_graphloom_covers"), remove, out, size=lambda r: len(r[5]))
 
 
 def cut(data: bytes, covers: list[dict]) -> tuple[int, list[dict], bytes]:
@@ -364,7 +364,7 @@ def without_repeats(df: DataFrame, id: str = "doc_id", text: str = "text") -> Da
 
     Characters that a cut leaves in part are dropped.
     """
-    joined = df.withColumns(_keyed(df, id, text)).join(covers_of(df, id, text), ["_doc", "_tie"], "left")
+    joined = df.withColumns(_keyed(df, id, text)).join(covers_of(df, id, text), ["_graphloom_doc", "_graphloom_tie"], "left")
     schema, at = df.schema, df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,4 +376,4 @@ def without_repeats(df: DataFrame, id: str = "doc_id", text: str = "text") -> Da
             full = pa.array([c is None or bool(t.strip()) for c, t in zip(covers, texts, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema]).filter(full)
 
-    return joined.select(*[F.col(quoted(c)) for c in df.columns], "covers").mapInArrow(run, schema)
+    return joined.select(*[F.col(quoted(c)) for c in df.columns], "_graphloom_covers").mapInArrow(run, schema)
