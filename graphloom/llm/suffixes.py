@@ -13,6 +13,8 @@ in the same text at a smaller offset. Strings are judged on the input.
    mergesort whose comparisons find the common extension by bisection over prefix polynomial
    hashes; neighbours' common prefixes are verified byte by byte. Occurrences that agree on LENGTH
    bytes at an offset share a class in both orders, and all but the first are covered there.
+   K-grams with over ``GROUP`` such contexts don't meet in one task: their strings are hashed to 128
+   bits, and the first of each is found by partial aggregation.
 
 Defined results: null text is empty; texts under LENGTH bytes keep everything; null ids come before
 all others; repeated rows (same id and text) are one occurrence and get the same result; one id
@@ -22,11 +24,13 @@ in memory only; no length, group or count is capped.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +38,7 @@ from .common import U64, arrow_schema, as_bytes, in_batches, map_rows, mix, quot
 
 LENGTH, GRAM = 100, 24
 REACH = LENGTH - GRAM  # an anchor starts at most so many bytes after its window
-SEGMENT, HELD, CHUNK = 1 << 20, 1_000_000, 40_000
+SEGMENT, HELD, CHUNK, GROUP = 1 << 20, 1_000_000, 40_000, 20_000
 NULL_ID = -(2**63)
 
 _RNG = np.random.default_rng(20)
@@ -301,17 +305,22 @@ def covers_of(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
     texts = df.withColumns(_keyed(df, id, text)).select(F.col("_graphloom_doc").alias("doc"), F.col("_graphloom_tie").alias("tie"), as_bytes(quoted(text)).alias("data"))
     covers = saved(_covers(_met(texts), parts), "covers")
 
-    spots = covers.filter("first").groupBy("doc", "tie").agg(F.collect_list(F.struct("gram", "pos")).alias("spots"))
+    first = covers.filter("first")
+    hot = saved(first.groupBy("gram").agg(F.count("*").alias("m")).filter(F.col("m") > GROUP).select("gram", F.lit(True).alias("hot")), "hot")
+    some = hot.limit(1).count() > 0
+    first = first.join(hot, "gram", "left") if some else first.withColumn("hot", F.lit(None).cast("boolean"))
+    spots = first.groupBy("doc", "tie").agg(F.collect_list(F.struct("gram", "pos", "hot")).alias("spots"))
 
     def contexts(rows: Iterator[tuple]) -> Iterator[tuple]:
         for doc, tie, data, spots_ in rows:
             for s in spots_:
                 pos = s["pos"]
-                yield s["gram"], doc, tie, pos, data[max(0, pos - REACH) : pos], data[pos : pos + LENGTH]
+                yield s["gram"], doc, tie, pos, data[max(0, pos - REACH) : pos], data[pos : pos + LENGTH], bool(s["hot"])
 
-    schema = "gram long, doc long, tie int, pos int, before binary, after binary"
+    schema = "gram long, doc long, tie int, pos int, before binary, after binary, hot boolean"
     found = map_rows(texts.dropDuplicates(["doc", "tie"]).join(spots, ["doc", "tie"]), contexts, schema, size=lambda r: 200)
-    dealt = found.repartition(parts, "gram").sortWithinPartitions("gram")
+    found = saved(found, "contexts") if some else found
+    dealt = found.filter("not hot").drop("hot").repartition(parts, "gram").sortWithinPartitions("gram")
 
     def compare(rows: Iterator[tuple]) -> Iterator[tuple]:
         held: list[tuple] = []
@@ -325,10 +334,29 @@ def covers_of(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
 
     partly = map_rows(dealt, compare, "doc long, tie int, low int, high int")
     wholly = covers.filter("not first").select("doc", "tie", (F.col("pos") - REACH).alias("low"), (F.col("pos") + LENGTH).alias("high"), "marks")
+    if some:
+        partly = partly.unionByName(_of_hot(found.filter("hot")))
     all_ = wholly.unionByName(partly.withColumn("marks", F.lit(None).cast("binary")))
     return all_.groupBy(F.col("doc").alias("_graphloom_doc"), F.col("tie").alias("_graphloom_tie")).agg(F.collect_list(F.struct("low", "high", "marks")).alias("_graphloom_covers"))
 
 
+def _of_hot(contexts: DataFrame) -> DataFrame:
+    """What earlier strings cover in contexts of very frequent k-grams, string by string."""
+
+    def strings(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for doc, tie, pos, before, after in rows:
+            both = before + after
+            for start in range(len(both) - LENGTH + 1):
+                a, b = struct.unpack("<qq", xxhash.xxh3_128_digest(both[start : start + LENGTH]))
+                yield a, b, doc, tie, pos - len(before) + start
+
+    each = map_rows(contexts.select("doc", "tie", "pos", "before", "after"), strings, "a long, b long, doc long, tie int, low int")
+    place = F.struct("doc", "tie", "low")
+    first = each.groupBy("a", "b").agg(F.min(place).alias("first"))
+    again = each.join(first, ["a", "b"]).filter(place > F.col("first"))
+    return again.select("doc", "tie", "low", (F.col("low") + LENGTH).alias("high")).distinct()
+
+
 def repeats(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: id, tie, n_bytes, n_removed, spans (start, end of removed runs), kept (the other bytes)."""
 

@@ -108,6 +108,7 @@ def test_suffix_dedup_equals_all_strings(spark, monkeypatch, small):
         monkeypatch.setattr(suffixes, "SEGMENT", 300)
         monkeypatch.setattr(suffixes, "HELD", 40)
         monkeypatch.setattr(suffixes, "CHUNK", 30)
+        monkeypatch.setattr(suffixes, "GROUP", 4)
     rng = random.Random(3)
     passages = [prose(i, 25) for i in range(4)]
     rows = []
