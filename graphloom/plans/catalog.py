@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import labels, units
 from graphloom.functions.residues import DESCRIPTORS, DIMENSIONS, ONE_HOT_ORDER, one_hot, with_descriptors
 from graphloom.operators import construct, encode, kernels, prep, stats, validate
+from graphloom.operators.lineage import settled
 from graphloom.operators.store import GraphStore, Meta
 from graphloom.sources import overlays
 from graphloom.sources.overlays import table
@@ -33,9 +34,35 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+_KEPT: dict[tuple[str, str, str], object] = {}
+
+
+def _once(what: str, spark: SparkSession, d: str, make: Callable[[], object]) -> object:
+    """One ingest and one stored collection a session and directory, as tables in the shared folder."""
+    key = (spark.sparkContext.applicationId, what, d)
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def ingest(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The order-graph overlay in ingest form."""
+
+    def make():
+        nodes = settled(overlays.order_nodes(spark, d), "ingest-nodes")
+        return nodes, settled(overlays.order_edges(nodes), "ingest-edges")
+
+    return _once("ingest", spark, d, make)
+
+
+def fresh(spark: SparkSession, d: str) -> GraphStore:
+    """Encoded by the query itself."""
+    return GraphStore.build(*ingest(spark, d), META)
+
+
 def store(spark: SparkSession, d: str) -> GraphStore:
-    nodes = overlays.order_nodes(spark, d)
-    return GraphStore.build(nodes, overlays.order_edges(nodes), META)
+    """A collection that was encoded and written before."""
+    return _once("store", spark, d, lambda: fresh(spark, d).settled())
 
 
 def xyz(at: str = "coords") -> list:
@@ -51,37 +78,37 @@ def joined(kinds: str = "kinds"):
 
 @query(q.nodes("select graph_id, graph_code, seq from graphs"))
 def graph_catalog(spark, d):
-    return store(spark, d).graphs
+    return fresh(spark, d).graphs
 
 
 @query(q.nodes("select graph_code from graphs"))
 def list_codes(spark, d):
-    return store(spark, d).codes()
+    return fresh(spark, d).codes()
 
 
 @query(q.nodes("select node_id, node_label from node_dict"))
 def node_dictionary(spark, d):
-    return store(spark, d).node_dict.select("node_id", "node_label")
+    return fresh(spark, d).node_dict.select("node_id", "node_label")
 
 
 @query(q.edges("select edge_id, src_label, dst_label from edge_dict"))
 def edge_dictionary(spark, d):
-    return store(spark, d).edge_dict
+    return fresh(spark, d).edge_dict
 
 
 @query(q.nodes("select graph_id, node_id from graph_nodes"))
 def node_membership(spark, d):
-    return store(spark, d).graph_nodes.select("graph_id", "node_id")
+    return fresh(spark, d).graph_nodes.select("graph_id", "node_id")
 
 
 @query(q.edges("select graph_id, edge_id from graph_edges"))
 def edge_membership(spark, d):
-    return store(spark, d).graph_edges.select("graph_id", "edge_id")
+    return fresh(spark, d).graph_edges.select("graph_id", "edge_id")
 
 
 @query(q.nodes("select graph_id, count(*) as n from graph_nodes group by graph_id"))
 def membership_bitmaps(spark, d):
-    return encode.membership_bitmaps(store(spark, d).graph_nodes, "node_id").groupBy("graph_id").agg(F.sum("n").alias("n"))
+    return encode.membership_bitmaps(fresh(spark, d).graph_nodes, "node_id").groupBy("graph_id").agg(F.sum("n").alias("n"))
 
 
 NODE_POOLS = """, coord_pool as (
@@ -95,17 +122,17 @@ kind_pool as (select kind, row_number() over (order by f.g, f.m, kind) - 1 as va
 
 @query(f"with {q.ROWS}{q.NODE_TABLES}{NODE_POOLS} select 'coords' as attr, value_id, x, y, z, null::double as num from coord_pool union all select 'b_factor', value_id, null, null, null, b_factor from factor_pool")
 def node_value_pool(spark, d):
-    return encode.node_value_pool(store(spark, d).graph_nodes).select("attr", "value_id", *xyz(), "num")
+    return encode.node_value_pool(fresh(spark, d).graph_nodes).select("attr", "value_id", *xyz(), "num")
 
 
 @query(f"with {q.ROWS}{q.EDGES}{q.NODE_TABLES}{q.EDGE_TABLES}{EDGE_POOLS} select 'distance' as attr, value_id, distance as num, null::varchar as str from distance_pool union all select 'kind', value_id, null, kind from kind_pool")
 def edge_value_pool(spark, d):
-    return encode.edge_value_pool(store(spark, d).graph_edges)
+    return encode.edge_value_pool(fresh(spark, d).graph_edges)
 
 
 @query(f"with {q.ROWS}{q.NODE_TABLES}{NODE_POOLS} select graph_id, node_id, c.value_id as coords_value, f.value_id as b_factor_value from graph_nodes join coord_pool c using (x, y, z) join factor_pool f using (b_factor)")
 def node_local_mapping(spark, d):
-    members = store(spark, d).graph_nodes
+    members = fresh(spark, d).graph_nodes
     return encode.node_mapping(members, encode.node_value_pool(members))
 
 
@@ -114,7 +141,7 @@ def node_local_mapping(spark, d):
     " select graph_id, edge_id, dp.value_id as distance_value, kind_values from graph_edges join distance_pool dp using (distance) join k using (graph_id, edge_id)"
 )
 def edge_local_mapping(spark, d):
-    members = store(spark, d).graph_edges
+    members = fresh(spark, d).graph_edges
     mapped = encode.edge_mapping(members, encode.edge_value_pool(members))
     return mapped.withColumn("kind_values", F.array_join(F.transform("kind_values", lambda x: x.cast("string")), ","))
 
@@ -126,20 +153,25 @@ def batch_build_last_writer(spark, d):
 
 @query(q.raw("select graph_code, node_label from raw_nodes"))
 def strip_attributes(spark, d):
-    return overlays.order_nodes(spark, d).select("graph_code", "node_label")
+    return ingest(spark, d)[0].select("graph_code", "node_label")
 
 
 @query(q.nodes("select graph_code, seq, node_id, node_label from graph_nodes where seq < 200"))
 def insert_incremental(spark, d):
     """Half of the first graphs built, the rest and some known ones inserted."""
-    nodes = overlays.order_nodes(spark, d).filter("seq < 200")
-    edges = overlays.order_edges(nodes)
+    nodes, edges = (df.filter("seq < 200") for df in ingest(spark, d))
     early = GraphStore.build(nodes.filter("seq < 100"), edges.filter("seq < 100"), META)
     grown = early.insert(nodes.filter("seq >= 50"), edges.filter("seq >= 50"))
     seqs = nodes.select("graph_code", "seq").distinct()
     return grown.extract_nodes().join(seqs, "graph_code").select("graph_code", "seq", "node_id", "node_label")
 
 
+@query(f"with {q.ROWS}{q.EDGES}{q.NODE_TABLES}{q.EDGE_TABLES} select 'graphs' as part, (select count(*) from graphs) as rows union all select 'node_dict', (select count(*) from node_dict) union all select 'edge_dict', (select count(*) from edge_dict) union all select 'graph_nodes', (select count(*) from graph_nodes) union all select 'graph_edges', (select count(*) from graph_edges)")
+def build_store(spark, d):
+    """The whole encoding, written as tables."""
+    return fresh(spark, d).settled().describe()
+
+
 # decode ---------------------------------------------------------------------------------------
 
 DECODED = "graph_code, node_id, node_label, chain_id, residue_name, residue_number, x, y, z, b_factor"
@@ -232,8 +264,7 @@ def split_by_list(spark, d):
 @query(q.raw(f"select graph_code, node_label, case when seq >= 100 then b_factor + {MOVED} else b_factor end as b_factor from raw_nodes where seq < 300"))
 def merge_last_wins(spark, d):
     """Two overlapping ranges of orders; the second store holds moved values and wins where they overlap."""
-    nodes = overlays.order_nodes(spark, d).filter("seq < 300")
-    edges = overlays.order_edges(nodes)
+    nodes, edges = (df.filter("seq < 300") for df in ingest(spark, d))
     old = GraphStore.build(nodes.filter("seq < 200"), edges.filter("seq < 200"), META)
     new = GraphStore.build(nodes.filter("seq >= 100").withColumn("b_factor", F.col("b_factor") + MOVED), edges.filter("seq >= 100"), META)
     return GraphStore.merge([old, new]).extract_nodes().select("graph_code", "node_label", "b_factor")
@@ -256,21 +287,20 @@ def copied(nodes: DataFrame) -> DataFrame:
 
 @query(q.raw("select graph_code, node_label, 'left' as side from raw_nodes where seq = 7"))
 def validate_sets(spark, d):
-    nodes = overlays.order_nodes(spark, d)
+    nodes, _ = ingest(spark, d)
     return validate.set_difference(nodes, copied(nodes), validate.NODE_KEY)
 
 
 @query(f"with {q.ROWS}, {COPY} select graph_code, node_label, 'b_factor' as differs from raw_nodes n join copy c using (graph_code, node_label) where n.b_factor is distinct from c.b_factor")
 def validate_node_diff(spark, d):
-    nodes = overlays.order_nodes(spark, d)
+    nodes, _ = ingest(spark, d)
     found = validate.attribute_difference(nodes, copied(nodes), validate.NODE_KEY, ["coords", "b_factor"])
     return found.withColumn("differs", F.array_join("differs", ","))
 
 
 @query(q.edges("select graph_code, u as src_label, v as dst_label, 'distance' as differs from raw_edges where seq = 11"))
 def validate_edge_diff(spark, d):
-    nodes = overlays.order_nodes(spark, d)
-    edges = overlays.order_edges(nodes)
+    nodes, edges = ingest(spark, d)
     turned = edges.withColumnsRenamed({"u": "_v", "v": "u"}).withColumnRenamed("_v", "v").withColumn("distance", F.when(F.col("seq") == 11, F.col("distance") + 1).otherwise(F.col("distance")))
     found = validate.diff((nodes, edges), (nodes, turned))["edge_attributes"]
     return found.withColumn("differs", F.array_join("differs", ","))
@@ -279,8 +309,7 @@ def validate_edge_diff(spark, d):
 @query(q.nodes("select graph_code, node_label as label, '' as side from graph_nodes where false"))
 def round_trip(spark, d):
     """Decoding the store gives back what was encoded: no rows."""
-    nodes = overlays.order_nodes(spark, d)
-    edges = overlays.order_edges(nodes)
+    nodes, edges = ingest(spark, d)
     found = validate.diff((nodes, edges), GraphStore.build(nodes, edges, META).raw())
     nodes_ = found["node_set"].select("graph_code", F.col("node_label").alias("label"), "side").unionByName(found["node_attributes"].select("graph_code", F.col("node_label").alias("label"), F.lit("values").alias("side")))
     edges_ = found["edge_set"].select("graph_code", F.col("src_label").alias("label"), "side").unionByName(found["edge_attributes"].select("graph_code", F.col("src_label").alias("label"), F.lit("values").alias("side")))
@@ -356,8 +385,7 @@ def footprint_rollup(spark, d):
     " select cast((select n from raw) as bigint) as raw_bytes, cast((select sum(bytes) from parts) as bigint) as stored_bytes, 1 - (select sum(bytes) from parts) / (select n from raw) as saving"
 )
 def storage_savings(spark, d):
-    nodes = overlays.order_nodes(spark, d)
-    edges = overlays.order_edges(nodes)
+    nodes, edges = ingest(spark, d)
     return stats.savings(stats.footprint({"raw_nodes": nodes, "raw_edges": edges}), stats.footprint(GraphStore.build(nodes, edges, META).tables))
 
 
@@ -578,7 +606,7 @@ SEGMENTS = "segments as (select unnest(range(0, 30)) as segment), rows_ as (sele
 
 def segment_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     number = F.split("node_label", ":")[2].cast("long")
-    return overlays.order_nodes(spark, d).select((number % 21).alias("segment"), "b_factor"), spark.range(30).withColumnRenamed("id", "segment")
+    return ingest(spark, d)[0].select((number % 21).alias("segment"), "b_factor"), spark.range(30).withColumnRenamed("id", "segment")
 
 
 @query(f"with {q.ROWS}, {SEGMENTS} select segment, round(coalesce(sum(b_factor), 0), 2) as total from segments left join rows_ using (segment) group by 1")
