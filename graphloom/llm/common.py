@@ -7,41 +7,21 @@ Words are maximal runs of ``[^\\x20\\x09-\\x0D]``. Texts travel to Python as UTF
 from __future__ import annotations
 
 import itertools
-import os
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from graphloom.operators.lineage import settled as saved
+
 U64 = np.uint64
 _BATCH_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one is set only where none is configured (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not configured:
-        configured = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_shared")
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet in the shared folder and read back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graphloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    hpath.getFileSystem(jsc.hadoopConfiguration()).deleteOnExit(hpath)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def scan_partitions(df: DataFrame) -> int:
     """Number of partitions the input is read in: the measure of its size that costs no job."""
     return max(1, df.rdd.getNumPartitions())
