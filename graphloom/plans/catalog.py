@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +11,9 @@ from pyspark.sql import functions as F
 from graphloom.functions import labels, units
 from graphloom.functions.residues import DESCRIPTORS, DIMENSIONS, ONE_HOT_ORDER, one_hot, with_descriptors
 from graphloom.operators import construct, encode, kernels, prep, stats, validate
-from graphloom.operators.lineage import settled
+from graphloom.operators.lineage import settled, shared_dir
 from graphloom.operators.store import GraphStore, Meta
-from graphloom.sources import overlays
+from graphloom.sources import files, overlays, sinks
 from graphloom.sources.overlays import table
 
 from . import base_sql as q
@@ -715,3 +716,54 @@ def faster_side(spark, d):
     e = table(spark, d, "events")
     means = e.agg(F.avg(F.when(F.col("event_type") == "click", F.col("value"))).alias("a"), F.avg(F.when(F.col("event_type") == "view", F.col("value"))).alias("b"))
     return means.select(*stats.faster(F.col("a"), F.col("b"), ("click", "view"))).withColumn("improvement", F.round("improvement", 9))
+
+
+# text formats: driver tables written as text in the shared folder and read back ------------------
+
+
+def _text_path(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/graphloom-text-{uuid.uuid4().hex}"
+
+
+@query("select 'O' || o_orderkey as code from orders where o_orderkey % 10 <> 0")
+def read_code_list(spark, d):
+    key = F.concat(F.lit("o"), F.col("o_orderkey").cast("string"))
+    lines = table(spark, d, "orders").select(F.when(F.col("o_orderkey") % 10 == 0, F.concat(F.lit("# "), key)).otherwise(F.concat(F.lit(" "), key)).alias("value"))
+    lines.write.text(path := _text_path(spark))
+    return files.code_list(spark, path)
+
+
+@query("select 'd' || p_partkey as domain_id, p_name as pdb, 'a.' || p_size || '.' || (p_partkey % 5) as superfamily, p_partkey as sunid from part")
+def read_tsv(spark, d):
+    sccs = F.concat(F.lit("a."), F.col("p_size").cast("string"), F.lit("."), (F.col("p_partkey") % 5).cast("string"), F.lit(".1"))
+    fields = [F.concat(F.lit("d"), F.col("p_partkey").cast("string")), F.col("p_name"), F.lit("A:"), sccs, F.col("p_partkey").cast("string"), F.lit("cl=1")]
+    table(spark, d, "part").select(F.concat_ws("\t", *fields).alias("value")).write.text(path := _text_path(spark))
+    read = files.tsv(spark, path)
+    return read.select("domain_id", "pdb", prep.extracted(F.col("sccs")).alias("superfamily"), "sunid")
+
+
+@query("select o_orderkey, o_orderstatus from orders")
+def read_csv(spark, d):
+    sinks.results(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), path := _text_path(spark))
+    return files.csv(spark, path, "o_orderkey long, o_orderstatus string")
+
+
+@query(f"with {LOGGED} select event_id as timestamp, gib from logged")
+def read_samples(spark, d):
+    logged(spark, d).select("event_id", "memory").write.csv(path := _text_path(spark))
+    return files.samples(spark, path).select("timestamp", units.gib(F.col("memory")).alias("gib"))
+
+
+@query("select value from events")
+def read_numbers(spark, d):
+    sinks.times(table(spark, d, "events").select("value"), path := _text_path(spark))
+    return files.numbers(spark, path)
+
+
+@query()
+def footprint_serialized(spark, d):
+    out = None
+    for part, df in store(spark, d).tables.items():
+        row = stats.serialized(df).select(F.lit(part).alias("part"), "files", "bytes")
+        out = row if out is None else out.unionByName(row)
+    return out
