@@ -5,8 +5,8 @@ words, so a word's log-probability is a sum that frequent words need only once.
 sorted hash arrays (n-gram -> discounted probability, context -> back-off weight, a column a
 language), searched by bisection once for all languages. A text gets the language of lowest cross-entropy a symbol (letters and word ends).
 
-Fitting takes a documented bounded sample: about ``SAMPLE_DOCS`` labelled documents a language,
-chosen by hash. A fifth of it calibrates: the temperature of the confidence, and the cross-entropy
+Fitting takes a documented bounded sample: about ``SAMPLE_DOCS`` labelled documents a language and
+``SAMPLE_TOTAL`` in all, chosen by hash. A fifth of it calibrates: the temperature of the confidence, and the cross-entropy
 above which a prediction is flagged as rejected. Prediction covers every whole text.
 
 Defined results: null text, empty text and text without a letter give ``und``, score 0. Null or
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, chunked, map_rows, mix, quoted
 
-ORDER, SAMPLE_DOCS, MOST_LANGUAGES, UNDETERMINED = 4, 600, 500, "und"
+ORDER, SAMPLE_DOCS, SAMPLE_TOTAL, MOST_LANGUAGES, UNDETERMINED = 4, 600, 20_000, 500, "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _START, _END = 1, 2
 _SCORERS: dict[str, "Scorer"] = {}
@@ -182,6 +182,7 @@ def train(df: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "la
     languages = sorted(per)
     if not languages:
         return {"languages": [], "joint": None, "limit": 0.0, "temperature": 1.0, "order": order, "key": ""}
+    sample_docs = min(sample_docs, SAMPLE_TOTAL // len(languages))
     rate = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, sample_docs / per[k]))])
     ticket = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 20)) / (1 << 20)
     sample = rows.filter(ticket < rate[F.col("lang")]).withColumn("calibrates", F.pmod(F.xxhash64("id", F.lit("part")), F.lit(5)) == 0)

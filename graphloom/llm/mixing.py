@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,10 +105,12 @@ def mixture(df: DataFrame, id: str = "doc_id", text: str = "text", source: str =
 
     drawn = draw(np.array(quota, np.int64), shards, seed) if quota else np.zeros((0, 0), np.int64)
     first = np.cumsum(drawn, axis=0) - drawn
-    drawn_rows = [(no, k, int(first[k, no]), int(drawn[k, no]), plan[no][5]) for k in range(len(drawn)) for no in range(len(plan)) if drawn[k, no]]
-    counts = spark.createDataFrame(drawn_rows, "source_no int, shard int, first long, n long, n_blocks long")
+    shard, no = np.nonzero(drawn)
+    blocks = np.array([p[5] for p in plan], np.int64)
+    columns = {"source_no": no.astype(np.int32), "shard": shard.astype(np.int32), "first": first[shard, no], "n": drawn[shard, no], "n_blocks": blocks[no] if len(plan) else no}
+    counts = spark.createDataFrame(pa.table(columns))
     parts = counts.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(SLOTS_A_ROW).cast("long"))))
-    parts = parts.select("source_no", "shard", F.col("first") + F.col("at"), F.least(F.col("n") - F.col("at"), F.lit(SLOTS_A_ROW)), "n_blocks", "at").repartition(max(8, len(drawn_rows) // 256))
+    parts = parts.select("source_no", "shard", F.col("first") + F.col("at"), F.least(F.col("n") - F.col("at"), F.lit(SLOTS_A_ROW)), "n_blocks", "at").repartition(max(8, len(no) // 256))
 
     def expand(rows: Iterator[tuple]) -> Iterator[tuple]:
         for no, shard, start, n, n_blocks, at in rows:
@@ -156,7 +159,6 @@ def mixed_documents(df: DataFrame, id: str = "doc_id", text: str = "text", sourc
     def cut(batches):
         import re
 
-        import pyarrow as pa
 
         word = re.compile(rb"[^\x20\x09-\x0D]+")
         for batch in batches:
