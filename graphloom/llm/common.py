@@ -106,7 +106,9 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
     for batch in batches:
-        yield from zip(*(batch.column(n).to_pylist() for n in names), strict=True)
+        for i in range(0, batch.num_rows, 500):  # as Python objects only a few rows at a time
+            part = batch.slice(i, 500)
+            yield from zip(*(part.column(n).to_pylist() for n in names), strict=True)
 
 
 def arrow_schema(schema: StructType) -> pa.Schema:

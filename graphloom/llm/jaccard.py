@@ -78,21 +78,29 @@ def _labels(linked: np.ndarray) -> np.ndarray:
         label = low
 
 
-def _shared(sets: list[np.ndarray], width: int = 1 << 24) -> np.ndarray:
-    """Sizes of all intersections: products of 0/1 matrices over slices of the tokens."""
-    tokens = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    values, column = np.unique(tokens, return_inverse=True)
-    kept = np.bincount(column, minlength=len(values)) > 1  # a token of one set is in no intersection
-    column, owner, columns = (np.cumsum(kept) - 1)[column[kept[column]]], owner[kept[column]], int(kept.sum())
-    out, step = np.zeros((len(sets), len(sets)), np.float32), max(1, width // len(sets))
-    order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[order]
-    for low in range(0, columns, step):
-        a, b = np.searchsorted(column, (low, low + step))
-        m = np.zeros((len(sets), min(step, columns - low)), np.float32)
-        m[owner[a:b], column[a:b] - low] = 1
-        out += m @ m.T
+def _shared(sets: list[np.ndarray], cells: int = 1 << 22, tokens: int = 1 << 20) -> np.ndarray:
+    """Sizes of all intersections: products of 0/1 matrices over ranges of the tokens.
+
+    Sets are sorted, so a range of token values is a slice of each; ranges hold about ``tokens``
+    tokens and matrices ``cells`` cells, whatever the number and length of the sets.
+    """
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    parts = max(1, sum(map(len, sets)) // tokens)
+    edges = [np.searchsorted(s, np.array([(1 << 64) // parts * i for i in range(1, parts)], U64)) for s in sets]
+    for i in range(parts):
+        held = [s[(e[i - 1] if i else 0) : (e[i] if i < parts - 1 else len(s))] for s, e in zip(sets, edges, strict=True)]
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in held])
+        values, column = np.unique(np.concatenate(held), return_inverse=True)
+        kept = np.bincount(column, minlength=len(values)) > 1  # a token of one set is in no intersection
+        column, owner, columns = (np.cumsum(kept) - 1)[column[kept[column]]], owner[kept[column]], int(kept.sum())
+        order, step = np.argsort(column, kind="stable"), max(1, cells // len(sets))
+        column, owner = column[order], owner[order]
+        for low in range(0, columns, step):
+            a, b = np.searchsorted(column, (low, low + step))
+            m = np.zeros((len(sets), min(step, columns - low)), np.float32)
+            m[owner[a:b], column[a:b] - low] = 1
+            for j in range(0, len(sets), 512):
+                out[j : j + 512] += m[j : j + 512] @ m.T
     return out
 
 
@@ -101,8 +109,13 @@ def _candidates(members: list[tuple], similarity: float) -> Iterator[tuple[bytes
     samples = [np.frombuffer(m[3], U64) for m in members]
     size = np.array([m[2] for m in members], float)
     k = np.array([len(s) for s in samples], float)
-    alike = _shared(samples) >= 0.5 * np.maximum(k[:, None], k[None, :])
-    alike &= np.minimum(size[:, None], size[None, :]) >= similarity * np.maximum(size[:, None], size[None, :]) - 1e-9
+    both = _shared(samples)
+    alike = np.zeros(both.shape, bool)
+    for i in range(0, len(members), 256):
+        some = slice(i, i + 256)
+        alike[some] = both[some] >= 0.5 * np.maximum(k[some, None], k[None, :])
+        alike[some] &= np.minimum(size[some, None], size[None, :]) >= similarity * np.maximum(size[some, None], size[None, :]) - 1e-9
+    del both
     labels = [m[1] for m in members]
     _, group = np.unique(np.array([int.from_bytes(x[:8]) for x in labels], U64), return_inverse=True)
     order = np.argsort(group, kind="stable")
@@ -187,7 +200,7 @@ def jaccard_join(df: DataFrame, id: str = "doc_id", text: str = "text", words: i
                 continue
             sets_ = [np.frombuffer(t, U64) for *_, t in members]
             size = np.array([len(s) for s in sets_], float)
-            linked = _shared(sets_) * (1 + similarity) >= similarity * (size[:, None] + size[None, :]) - 1e-6
+            linked = _shared(sets_).astype(float) * (1 + similarity) >= similarity * (size[:, None] + size[None, :]) - 1e-6
             np.fill_diagonal(linked, False)
             if i != j:
                 own = np.array([m[0] for m in members])

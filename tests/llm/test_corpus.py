@@ -65,6 +65,23 @@ def test_jaccard_join_equals_all_pairs(spark, monkeypatch, leaf):
     assert Counter((r.doc_id, r.class_id, r.n_links) for r in got.collect()) == classes(rows)
 
 
+def test_links_at_exactly_the_similarity(spark):
+    words = [f"w{i}" for i in range(200)]
+    rows = []
+    for k in range(30):  # 56 of 70 shingles shared, and other pairs of the same ratio
+        own = [f"k{k}x{w}" for w in words]
+        rows += [(3 * k, " ".join(own[:67])), (3 * k + 1, " ".join([*own[:60], *own[100:107]])), (3 * k + 2, " ".join([*own[:59], *own[120:127]]))]
+    got = jaccard.jaccard_join(frame(spark, rows))
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in got.collect()) == classes(rows)
+
+
+def test_shared_in_ranges_and_slices():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 2**63, 40, np.uint64) // np.uint64(2**57) * np.uint64(2**57 + 11)) for _ in range(30)]
+    want = [[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets]
+    assert (jaccard._shared(sets) == want).all() and (jaccard._shared(sets, cells=64, tokens=50) == want).all()
+
+
 def test_jaccard_join_of_odd_rows(odd, nothing):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     assert Counter((r.doc_id, r.class_id, r.n_links) for r in jaccard.jaccard_join(odd).collect()) == classes(rows)
