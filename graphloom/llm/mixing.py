@@ -16,6 +16,7 @@ are broadcast only up to ``BROADCAST_SOURCES``; beyond that they are joined by s
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -157,9 +158,6 @@ def mixed_documents(df: DataFrame, id: str = "doc_id", text: str = "text", sourc
     schema, at = df.schema, df.columns.index(text)
 
     def cut(batches):
-        import re
-
-
         word = re.compile(rb"[^\x20\x09-\x0D]+")
         for batch in batches:
             texts = []
