@@ -3,10 +3,14 @@
 Sets are split recursively on sampled shared tokens: a set goes to a node for each of its tokens
 whose hash falls under ``PATHS / size``, so two sets meet at tokens they share. A node of up to
 ``LEAF`` sets is compared by brute force; a larger one is split again on tokens not yet on its
-path, and one that is still larger after ``DEPTH`` splits is compared in pairs of blocks. Runs
-start from disjoint shares of a set's ``PATHS`` sampled tokens; after a run its links are joined
-into groups, and the next run skips nodes that lie in one group. With 16 starts in all, two sets of
-similarity 0.8 miss each other with a probability of about exp(-0.8 * 16), under 3 in a million.
+path, and one that is still larger after ``DEPTH`` splits is compared in pairs of blocks. Every set
+of a split node goes on to one child at least; one without a token left is compared with all sets
+of the node that have a similar size. Runs start from disjoint shares of a set's ``PATHS`` sampled
+tokens; after a run its links are joined into groups, and the next run skips nodes that lie in one
+group. With 16 starts, two sets of similarity 0.8 meet in no node with a probability of about
+exp(-0.8 * 16), under 3 in a million. Where nodes were split, two sets may part again: ``draws``
+says how often their sets start anew, with fresh tokens and fresh children, until no more than
+that (``MISS``) have met in no leaf.
 
 Comparison in a node uses a token sample and only links what may be similar. The connected groups
 of these links are then joined exactly on whole sets, in blocks, each pair once. So a link that no
@@ -19,12 +23,13 @@ and rows with a null id are ordinary copies; the class id is the smallest id tha
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, as_bytes, map_rows, mix, quoted, row_key, saved, shingle_hashes, word_hashes
@@ -32,8 +37,9 @@ from .components import components
 
 WORDS, SIMILARITY = 5, 0.8
 PATHS, SAMPLE, CHILDREN, LEAF, DEPTH, BLOCK = 16, 32, 1.25, 2_048, 5, 512
-#: Shares of the start tokens (of 16) that the runs take.
-RUNS = ((0, 4), (4, 16))
+#: Shares of the start tokens (of 16) that the runs of the first draw take; later draws are one run.
+RUNS, WHOLE = ((0, 4), (4, 16)), (0, 16)
+MISS = 3e-6
 _ORDER = U64(0x5851F42D4C957F2D)
 
 
@@ -42,27 +48,62 @@ def token_set(data: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(data.split()), words))
 
 
+def draws(splits: int, similarity: float = SIMILARITY, miss: float = MISS) -> list[int]:
+    """By the size of a set (the last: any larger one), the draws of start tokens after which it has met each set at the threshold in a leaf but for a share ``miss``, if nodes on the way are split ``splits`` times.
+
+    A pair stays together if both go to a child of a shared token: a token under ``CHILDREN`` / size of
+    both, or the first of their tokens in hash order if neither has one. Short sets, which start from
+    all of their tokens, have fewer of them; pairs of one set in the other are the hardest.
+    """
+
+    def kept(tokens: float, shared: float) -> float:
+        """Share of the pairs met at a start that are still together after all splits."""
+        out = 1.0
+        for k in range(splits, 0, -1):
+            both, left = shared - k, tokens - k
+            if both <= 0:
+                out = 1.0  # one set has no token left, so it is compared in its node
+                continue
+            either = 2 * left - both
+            out = 1 - math.exp(-CHILDREN * both / left * out) + math.exp(-CHILDREN * either / left) * both / either * out
+        return out
+
+    def needed(n: int) -> int:
+        """The larger set has n tokens."""
+        shared = math.ceil(similarity * n - 1e-9)
+        if n > PATHS:  # the number of starts is about a Poisson variable
+            gain = similarity * PATHS * kept(PATHS, similarity * PATHS)
+        elif 0 < shared < n:
+            gain = -math.log1p(-min(kept(n, shared), 1 - 1e-12)) * shared
+        else:
+            return 1
+        return max(1, math.ceil(-math.log(miss) / gain - 1e-9))
+
+    return [max(needed(n) for n in range(size, math.floor(size / similarity + 1e-9) + 1)) if size else 1 for size in range(PATHS + 2)]
+
+
 def _under(tokens: np.ndarray, ranks: np.ndarray, expected: int) -> np.ndarray:
     if len(tokens) <= expected:
         return tokens
     return tokens[ranks < U64(int(expected / len(tokens) * 2.0**64))]
 
 
-def sets_of(df: DataFrame, id: str, text: str, words: int) -> DataFrame:
-    """doc, tie, set (128-bit hash, null for no words), n, roots (tokens to start paths from), sample."""
+def sets_of(df: DataFrame, id: str, text: str, words: int, later: int = 0) -> DataFrame:
+    """doc, tie, set (128-bit hash, null for no words), n, roots (tokens to start paths from), more (those of ``later`` draws, of sets that don't start from all), sample."""
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         for doc, tie, data in rows:
             tokens = token_set(data, words)
             if not len(tokens):
-                yield doc, tie, None, 0, None, None
+                yield doc, tie, None, 0, None, None, None
                 continue
             ranks = mix(tokens ^ _ORDER)
-            yield doc, tie, xxhash.xxh3_128_digest(tokens.tobytes()), len(tokens), _under(tokens, ranks, PATHS).view(np.int64).tolist(), _under(tokens, ranks, SAMPLE).tobytes()
+            more = [_under(tokens, mix(ranks ^ U64(draw)), PATHS).view(np.int64).tolist() for draw in range(1, later + 1)] if len(tokens) > PATHS else []
+            yield doc, tie, xxhash.xxh3_128_digest(tokens.tobytes()), len(tokens), _under(tokens, ranks, PATHS).view(np.int64).tolist(), more, _under(tokens, ranks, SAMPLE).tobytes()
 
     rows = df.select(F.col(quoted(id)).alias("doc"), F.xxhash64(quoted(text)).alias("tie"), as_bytes(quoted(text)).alias("data"))
     kind = rows.schema["doc"].dataType.simpleString()
-    return map_rows(rows, run, f"doc {kind}, tie long, set binary, n int, roots array<long>, sample binary")
+    return map_rows(rows, run, f"doc {kind}, tie long, set binary, n int, roots array<long>, more array<array<long>>, sample binary")
 
 
 def _labels(linked: np.ndarray) -> np.ndarray:
@@ -133,28 +174,53 @@ def _blocks(df: DataFrame, size: str, member: str, block: int) -> DataFrame:
     return dealt.withColumn("i", F.least("_own", "_other")).withColumn("j", F.greatest("_own", "_other")).drop("_other")
 
 
-def paths(sets: DataFrame, labels: DataFrame | None, run: tuple[int, int]) -> DataFrame:
-    """(node, set, label, m) of the nodes of a run that hold sets of more than one group; m is the number of sets in the node.
+def paths(sets: DataFrame, starts: DataFrame, labels: DataFrame | None, run: tuple[int, int], similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame | None, int]:
+    """(node, i, j, set, label) of the nodes of a run that hold sets of more than one group, large ones in pairs of blocks; (set) in nodes that were split; the number of splits.
 
-    labels: (node, label) of the groups known so far; a set without one is its own group.
+    starts: (set, draw, roots) of the sets that take part. labels: (node, label) of the groups known so
+    far; a set without one is its own group.
     """
     label = F.col("set") if labels is None else F.coalesce("label", "set")
-    known = sets if labels is None else sets.join(labels.withColumnRenamed("node", "set"), "set", "left")
+    known = starts if labels is None else starts.join(labels.withColumnRenamed("node", "set"), "set", "left")
     share = lambda t: F.pmod(F.xxhash64(t, F.lit("run")), F.lit(16)).between(run[0], run[1] - 1)
-    level = known.select("set", label.alias("label"), F.explode(F.filter("roots", share)).alias("node")).withColumn("path", F.array("node"))
-    leaves = None
+    level = known.select("set", "draw", label.alias("label"), F.explode(F.filter("roots", share)).alias("node")).withColumn("path", F.array("node"))
+    level = level.withColumn("node", F.when(F.col("draw") == 0, F.col("node")).otherwise(F.xxhash64("node", "draw")))  # children depend on the node, so they are fresh too
+    leaves, crowded = None, None
+    columns = ("node", "i", "j", "set", "label")
     for depth in range(DEPTH + 1):
         counts = level.groupBy("node").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).filter("m > 1 and low <> high").select("node", "m")
         met = saved(level.join(counts, "node"), "paths")
-        done = met.select("node", "set", "label", "m") if depth == DEPTH else met.filter(F.col("m") <= LEAF).select("node", "set", "label", "m")
+        done = met if depth == DEPTH else met.filter(F.col("m") <= LEAF)
+        done = _blocks(done, "m", "set", LEAF).select(*columns)
         leaves = done if leaves is None else leaves.unionByName(done)
         large = met.filter(F.col("m") > LEAF)
         if depth == DEPTH or large.limit(1).count() == 0:
             break
-        left = large.join(sets.select("set", "roots"), "set").withColumn("left", F.array_except("roots", "path"))
-        picked = F.filter("left", lambda t: F.pmod(F.xxhash64("node", t, F.lit("pick")), F.lit(1 << 30)) * F.size("left") < int(CHILDREN * (1 << 30)))
-        level = left.withColumn("token", F.explode(picked)).select(F.xxhash64("node", "token").alias("node"), "set", "label", F.concat("path", F.array("token")).alias("path"))
-    return leaves
+        crowded = large.select("set") if crowded is None else crowded.unionByName(large.select("set"))
+        left = large.join(starts, ["set", "draw"]).withColumn("left", F.array_except("roots", "path"))
+        ended = left.filter(F.size("left") == 0).select("node", "set", "label", "m")
+        if ended.limit(1).count():
+            leaves = leaves.unionByName(_against_all(saved(ended, "ended"), large, sets, similarity, depth).select(*columns))
+        rank = lambda t: F.pmod(F.xxhash64("node", t, F.lit("pick")), F.lit(1 << 30))
+        ranked = left.withColumn("first", F.array_min(F.transform("left", rank)))
+        picked = F.filter("left", lambda t: (rank(t) * F.size("left") < int(CHILDREN * (1 << 30))) | (rank(t) == F.col("first")))
+        level = ranked.withColumn("token", F.explode(picked)).select(F.xxhash64("node", "token").alias("node"), "set", "draw", "label", F.concat("path", F.array("token")).alias("path"))
+    return leaves, crowded, 0 if crowded is None else depth
+
+
+def _against_all(ended: DataFrame, large: DataFrame, sets: DataFrame, similarity: float, depth: int) -> DataFrame:
+    """Sets without a token left, in blocks, each with every block of the sets of its node that may be similar by size."""
+    n = sets.select("set", "n")
+    alone = ended.join(n, "set")
+    bounds = alone.groupBy("node").agg(F.count("*").alias("e"), (F.min("n") * similarity - 1e-6).alias("low"), (F.max("n") / similarity + 1e-6).alias("high"))
+    others = large.join(bounds, "node").join(n, "set").filter("n between low and high")
+    cut = lambda c: F.ceil(F.col(c) / LEAF).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), cut(c) - 1))
+    own = lambda c: F.pmod(F.xxhash64("set"), cut(c)).cast("int")
+    node = F.xxhash64("node", F.lit("ended"), F.lit(depth)).alias("node")
+    one = alone.join(bounds.select("node", "e"), "node").withColumn("i", own("e")).withColumn("j", every("m"))
+    all_ = others.withColumn("i", every("e")).withColumn("j", own("m"))
+    return one.select(node, "i", "j", "set", "label").unionByName(all_.select(node, "i", "j", "set", "label"))
 
 
 def jaccard_join(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -163,9 +229,9 @@ def jaccard_join(df: DataFrame, id: str = "doc_id", text: str = "text", words: i
     class_key tells classes apart even where rows of several share an id; it is null for texts without a word.
     """
     parts = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = saved(sets_of(df, id, text, words), "sets")
+    rows = saved(sets_of(df, id, text, words, max(draws(k, similarity)[-1] for k in range(DEPTH + 1)) - 1), "sets")
     some = rows.filter("set is not null")
-    sets = saved(some.groupBy("set").agg(F.min("doc").alias("low"), F.count("*").alias("copies"), F.min(F.struct("doc", "tie")).alias("holder"), F.first("n").alias("n"), F.first("roots").alias("roots"), F.first("sample").alias("sample")), "distinct")
+    sets = saved(some.groupBy("set").agg(F.min("doc").alias("low"), F.count("*").alias("copies"), F.min(F.struct("doc", "tie")).alias("holder"), F.first("n").alias("n"), F.first("roots").alias("roots"), F.first("more").alias("more"), F.first("sample").alias("sample")), "distinct")
 
     def compare(rows: Iterator[tuple]) -> Iterator[tuple]:
         for _, group in groupby(rows, key=lambda r: r[:3]):
@@ -173,13 +239,34 @@ def jaccard_join(df: DataFrame, id: str = "doc_id", text: str = "text", words: i
             if len(members) > 1:
                 yield from _candidates(members, similarity)
 
-    links, groups = None, None
-    for run in RUNS:
-        nodes = paths(sets, groups, run).join(sets.select("set", "n", "sample"), "set")
-        dealt = _blocks(nodes, "m", "set", LEAF).select("node", "i", "j", "set", "label", "n", "sample").repartition(parts, "node", "i", "j").sortWithinPartitions("node", "i", "j", "set")
-        found = saved(map_rows(dealt, compare, "a binary, b binary").distinct(), "candidates")
-        links = found if links is None else links.unionByName(found)
-        groups = components(links)
+    need = lambda splits: F.get(F.lit(draws(splits, similarity)), F.least("n", F.lit(PATHS + 1)))
+
+    def drawn(some: DataFrame, low: Column, high: Column) -> DataFrame:
+        """(set, draw, roots): a set of up to PATHS tokens starts from all of them in every draw."""
+        each = some.withColumn("draw", F.explode(F.sequence(low, high - 1)))
+        return each.select("set", "draw", F.when((F.col("draw") == 0) | (F.col("n") <= PATHS), F.col("roots")).otherwise(F.get("more", F.col("draw") - 1)).alias("roots"))
+
+    links, groups, crowded, taken, splits = None, None, None, None, 0
+    starts, runs = drawn(sets, F.lit(0), need(0)), RUNS
+    while runs:
+        for run in runs:
+            met, split, deep = paths(sets, starts, groups, run, similarity)
+            if split is not None:
+                crowded, splits = split if crowded is None else crowded.unionByName(split), max(splits, deep)
+            nodes = met.join(sets.select("set", "n", "sample"), "set")
+            dealt = nodes.select("node", "i", "j", "set", "label", "n", "sample").repartition(parts, "node", "i", "j").sortWithinPartitions("node", "i", "j", "set")
+            found = saved(map_rows(dealt, compare, "a binary, b binary").distinct(), "candidates")
+            links = found if links is None else links.unionByName(found)
+            groups = components(links)
+        runs = ()
+        if crowded is not None:
+            some = sets.select("set", "n").join(crowded.distinct(), "set", "left_semi")
+            some = some.withColumn("have", need(0)) if taken is None else some.join(taken, "set", "left").withColumn("have", F.coalesce("have", need(0)))
+            some = saved(some.withColumn("want", need(splits)), "crowded")
+            due = some.filter("want > have")
+            if due.limit(1).count():
+                starts, runs = saved(drawn(sets.join(due.select("set", "have", "want"), "set"), F.col("have"), F.col("want")), "starts"), (WHOLE,)
+                taken = some.select("set", F.greatest("have", "want").alias("have"))
     sizes = groups.groupBy("label").agg(F.count("*").alias("m"))
     wanted = groups.join(sizes, "label").withColumnRenamed("node", "set").join(sets.select("set", "holder", "copies"), "set")
     wanted = wanted.select("label", "m", "set", "copies", F.col("holder.doc").alias("doc"), F.col("holder.tie").alias("tie"))

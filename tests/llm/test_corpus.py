@@ -65,6 +65,21 @@ def test_jaccard_join_equals_all_pairs(spark, monkeypatch, leaf):
     assert Counter((r.doc_id, r.class_id, r.n_links) for r in got.collect()) == classes(rows)
 
 
+def test_draws_grow_with_the_splits():
+    assert max(jaccard.draws(0)) == 1
+    assert [jaccard.draws(k)[-1] for k in range(1, 6)] == sorted(jaccard.draws(k)[-1] for k in range(1, 6)) and jaccard.draws(1)[-1] > 1
+    assert jaccard.draws(1)[5] > jaccard.draws(1)[-1]  # short sets start from few tokens
+
+
+def test_short_sets_survive_splits(spark, monkeypatch):
+    """Four shingles that all rows share: every path of a row goes through nodes of all rows, and shorter sets run out of tokens."""
+    monkeypatch.setattr(jaccard, "LEAF", 8)
+    base = [f"c{i}" for i in range(8)]
+    rows = [(0, " ".join(base))] + [(k, " ".join([*base, f"k{k}"])) for k in range(1, 200)]  # each is 4/5 like the first
+    got = jaccard.jaccard_join(frame(spark, rows))
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in got.collect()) == classes(rows)
+
+
 def test_links_at_exactly_the_similarity(spark):
     words = [f"w{i}" for i in range(200)]
     rows = []
