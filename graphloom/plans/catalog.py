@@ -293,6 +293,18 @@ def merge_last_wins(spark, d):
     return GraphStore.merge([old, new]).extract_nodes().select("graph_code", "node_label", "b_factor")
 
 
+TENTHS = "tenths as (select graph_code, graph_id * 10 // (select count(*) from graphs) as tenth from graphs)"
+
+
+@query(f"with {q.ROWS}{q.NODE_TABLES}, {TENTHS} select graph_code, node_label, case when tenth >= 4 then b_factor + {MOVED} else b_factor end as b_factor from raw_nodes join tenths using (graph_code)")
+def merge_last_wins_whole(spark, d):
+    """All graphs: the first six tenths and, with moved values that win, the last six."""
+    nodes, edges, _ = ranked(spark, d)
+    old = GraphStore.build(part(nodes, "part < 6"), part(edges, "part < 6"), META).settled()
+    new = GraphStore.build(part(nodes, "part >= 4").withColumn("b_factor", F.col("b_factor") + MOVED), part(edges, "part >= 4"), META).settled()
+    return GraphStore.merge([old, new]).extract_nodes().select("graph_code", "node_label", "b_factor")
+
+
 @query(f"select sha256('{META.as_json()}') as fingerprint, 'CA' as granularity")
 def config_fingerprint(spark, d):
     return spark.createDataFrame([(META.as_json(), META.granularity)], "json string, granularity string").select(F.sha2("json", 256).alias("fingerprint"), "granularity")

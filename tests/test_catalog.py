@@ -29,7 +29,7 @@ def test_every_query_has_sql_but_those_that_cannot():
     assert set(QUERIES) - set(ORACLE_SQL) == {"edges_delaunay", "footprint_serialized"}
 
 
-@pytest.mark.parametrize("name", ["insert_incremental_whole"])
+@pytest.mark.parametrize("name", ["insert_incremental_whole", "merge_last_wins_whole"])
 def test_whole_table(spark, name):
     graphs = QUERIES["graph_catalog"](spark, DATA).count()
     assert QUERIES[name](spark, DATA).select("graph_code").distinct().count() == graphs > 400
