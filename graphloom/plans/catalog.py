@@ -617,6 +617,12 @@ def complete_edge_list(spark, d):
     return kernels.complete_edges(small_sizes(spark, d))
 
 
+@query(f"with {q.ROWS}{q.NODE_TABLES}, sizes as (select graph_id, count(*) as n from graph_nodes group by 1), ids as (select graph_id, unnest(range(0, n)) as i from sizes) select graph_id, a.i as source, b.i as target from ids a join ids b using (graph_id) where a.i <> b.i")
+def complete_edge_list_whole(spark, d):
+    """Of every graph of the store."""
+    return kernels.complete_edges(store(spark, d).graph_nodes.groupBy("graph_id").agg(F.count("*").alias("n")))
+
+
 @query("select b.k as batch, s.i + 5 * b.k as source, t.i + 5 * b.k as target, cast(1.0 as double) as weight from range(0, 5) s(i), range(0, 5) t(i), range(0, 3) b(k) where s.i <> t.i")
 def batched_offsets(spark, d):
     one = kernels.complete_edges(spark.createDataFrame([(0, 5)], "graph_id long, n long"))
