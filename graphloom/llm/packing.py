@@ -9,13 +9,15 @@ last part is cut into powers of two, which need no padding.
 
 Defined results: null text counts as empty (one closing token). Repeated rows and null ids are
 packed as rows of their own. No document is dropped and no length is capped. No shuffle; a lost
-task is redone from its input split with the same sequence ids.
+task is redone from its input split with the same sequence ids. Ids are those of the tokenizer file, so
+the string of a special token in a text is that token.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark import TaskContext
@@ -25,7 +27,9 @@ from pyspark.sql import functions as F
 from .common import as_bytes, map_rows, quoted
 
 CAPACITY, FINEST, CLOSING = 1024, 64, 0
-_ENCODERS: dict[int, object] = {}
+RUN = 20_000
+_RUN = re.compile(r"\s{%d}" % RUN)
+_ENCODERS: dict[int, Callable[[str], list[int]]] = {}
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -35,18 +39,33 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def encoder(tokenizer_json: str):
-    """text -> numpy ids of a byte-level BPE tokenizer file; strings of special tokens are ordinary text."""
+def encoder(tokenizer_json: str) -> Callable[[str], list[int]]:
+    """text -> ids of a byte-level BPE tokenizer file.
+
+    A text with a very long run of white space, on which the fast encoder's pattern runs out of stack,
+    is encoded by the tokenizer itself; the ids are the same.
+    """
     key = hash(tokenizer_json)
     if key not in _ENCODERS:
         import public_tokenizers
         import tiktoken
+        from tokenizers import Tokenizer
 
         spec = json.loads(tokenizer_json)
-        back, special = byte_alphabet(), {t["content"] for t in spec["added_tokens"]}
+        back, special = byte_alphabet(), {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(back[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
-        _ENCODERS[key] = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODERS[key].encode_ordinary
+        fast = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        exact: list[Tokenizer] = []
+
+        def encode(text: str) -> list[int]:
+            if len(text) < RUN or not _RUN.search(text):
+                return fast.encode(text, allowed_special="all")
+            if not exact:
+                exact.append(Tokenizer.from_str(tokenizer_json))
+            return exact[0].encode(text, add_special_tokens=False).ids
+
+        _ENCODERS[key] = encode
+    return _ENCODERS[key]
 
 
 def cuts(n: int, capacity: int = CAPACITY, finest: int = FINEST) -> Iterator[int]:

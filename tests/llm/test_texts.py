@@ -52,7 +52,6 @@ def test_counts_of_odd_rows(odd, nothing, vocabulary, exact):
 
 def check_packed(rows, texts):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     want = Counter((d, tuple(t.encode(x or "", add_special_tokens=False).ids + [0])) for d, x in texts)
     pieces, held = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -89,6 +88,12 @@ def test_packing_pads_little(spark):
     assert check_packed(rows, texts) < 0.01 * sum(r.length for r in rows)
 
 
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|><|endoftext|>x", " <|endoftext", " " * 1_000_000, "a" + " " * 1_000_000 + "b", "\n" * 1_000_000, "x\u3000" + "\t \u2003" * 300_000 + "<|endoftext|> y", "x" * 1_000_000])
+def test_ids_equal_the_tokenizer(text):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert packing.encoder(tokenizer_json())(text) == t.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("n", [1, 63, 64, 1023, 1024, 1025, 5000])
 def test_cuts(n):
     parts = list(packing.cuts(n))
