@@ -6,35 +6,45 @@ sorted hash arrays (n-gram -> discounted probability, context -> back-off weight
 language), searched by bisection once for all languages. A text gets the language of lowest cross-entropy a symbol (letters and word ends).
 
 Fitting takes a documented bounded sample: about ``SAMPLE_DOCS`` labelled documents a language and
-``SAMPLE_TOTAL`` in all, chosen by hash. A fifth of it calibrates: the temperature of the confidence, and the cross-entropy
+``SAMPLE_TOTAL`` in all, chosen by hash, of the ``MOST_LANGUAGES`` labels with the most documents, and the ``MOST_WORDS``
+most frequent words of each. A fifth of it calibrates: the temperature of the confidence, and the cross-entropy
 above which a prediction is flagged as rejected. Prediction covers every whole text.
 
 Defined results: null text, empty text and text without a letter give ``und``, score 0. Null or
-rare labels are not learned (a null) or learned from what there is. Without any labelled document
+rare labels are not learned (a null) or learned from what there is; a letter is what ``str.isalpha`` says. Without any labelled document
 every row is ``und``. Ties go to the first language by code point. Rows are predicted one by one.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, chunked, map_rows, mix, quoted
 
-ORDER, SAMPLE_DOCS, SAMPLE_TOTAL, MOST_LANGUAGES, UNDETERMINED = 4, 600, 20_000, 500, "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+ORDER, SAMPLE_DOCS, SAMPLE_TOTAL, MOST_LANGUAGES, MOST_WORDS, UNDETERMINED = 4, 600, 20_000, 500, 50_000, "und"
+CELLS = 4_000_000  # numbers in a worker's cache of token scores
 _START, _END = 1, 2
 _SCORERS: dict[str, "Scorer"] = {}
 
 
+@cache
+def _letters() -> re.Pattern:
+    """Runs of letters: of word characters without digits, "_" and numbers that are no letters."""
+    numbers = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
+    return re.compile(rf"[^\W\d_{numbers}]+")
+
+
 def letter_runs(token: str) -> list[str]:
-    return _LETTERS.findall(token.lower())
+    return _letters().findall(token.lower())
 
 
 def _codes(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,8 +128,8 @@ class Scorer:
     """Sums of word scores over texts; keeps the scores of at most ``limit`` tokens."""
 
     def __init__(self, joint: dict, order: int = ORDER, limit: int = 400_000, longest: int = 48):
-        self.joint, self.order, self.limit, self.longest = joint, order, limit, longest
         self.width = len(joint["base"]) + 1
+        self.joint, self.order, self.limit, self.longest = joint, order, min(limit, max(8_000, CELLS // self.width)), longest
         self.table = np.zeros((limit, self.width), np.float32)
         self.rows: dict[str, int] = {}
 
@@ -172,13 +182,11 @@ def held_out(id: Column, folds: int = 5) -> Column:
 def train(df: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS, order: int = ORDER) -> dict:
     """{languages, models, limit, temperature, order} from a sample of the rows of df whose label isn't null.
 
-    The driver gets word counts of the sample (at most about ``sample_docs`` documents a language)
-    and one row a calibration document.
+    The driver gets counts of at most MOST_WORDS words a language from the sample (about ``sample_docs``
+    documents a language) and one row a calibration document.
     """
     rows = df.select(F.col(quoted(id)).cast("string").alias("id"), F.col(quoted(text)).alias("text"), F.col(quoted(lang)).cast("string").alias("lang")).filter("lang is not null and text is not null")
-    per = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if len(per) > MOST_LANGUAGES:
-        raise ValueError(f"{len(per)} labels; a language column has {MOST_LANGUAGES} at most")
+    per = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
     languages = sorted(per)
     if not languages:
         return {"languages": [], "joint": None, "limit": 0.0, "temperature": 1.0, "order": order, "key": ""}
@@ -199,7 +207,8 @@ def train(df: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "la
         yield from ((a, b, n) for (a, b), n in seen.items())
 
     fitting = map_rows(sample.filter(~F.col("calibrates") | (F.create_map(*[F.lit(x) for k in languages for x in (k, per[k])])[F.col("lang")] < 20)).select("lang", "text"), count, "lang string, word string, n long")
-    counted: pa.Table = fitting.groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow().sort_by([("lang", "ascending"), ("word", "ascending")])
+    counted = fitting.groupBy("lang", "word").agg(F.sum("n").alias("n")).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")))
+    counted: pa.Table = counted.filter(F.col("rank") <= MOST_WORDS).drop("rank").toArrow().sort_by([("lang", "ascending"), ("word", "ascending")])
     models, kept = [], []
     for language in languages:
         part = counted.filter(pa.compute.equal(counted["lang"], language))

@@ -232,6 +232,55 @@ def test_language_id_on_held_out_texts(spark):
     assert {r.doc_id: r.rejected for r in other.collect()} == {1: True, 2: False}
 
 
+def test_letters_are_those_of_the_language():
+    for c in map(chr, range(0x3100)):
+        assert bool(langid.letter_runs(c)) == c.lower()[0].isalpha()
+    assert langid.letter_runs("½ ² Ⅷ _ 7 ٣") == [] and langid.letter_runs("a²b 漢一x") == ["a", "b", "漢一x"]
+
+
+def test_more_labels_than_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 3)
+    rows = [(i, spoken(lang, i), lang) for i in range(240) for lang in [list(LANGUAGES)[i % 3]]] + [(1000 + i, spoken("aa", i), f"noise {i}") for i in range(20)] + [(2000, "½ ² Ⅷ 12", "aa")]
+    df = frame(spark, rows)
+    got = {r.doc_id: r.lang_pred for r in langid.predict(df, langid.train(df)).collect()}
+    assert all(got[i] == (lang if i < 1000 else "aa") for i, _, lang in rows[:-1]) and got[2000] == "und"
+
+
+def kneser_ney(words, counts, char, before, order=langid.ORDER):
+    """P(char | before) by the textbook recursion over strings; ``before`` is padded with starts."""
+    padded = Counter()
+    for w, n in zip(words, counts):
+        padded["^" * (order - 1) + w + "$"] += n
+    raw, alphabet = [Counter() for _ in range(order + 1)], {c for w in words for c in w} | {"$"}
+    for w, n in padded.items():
+        for i in range(order - 1, len(w)):
+            raw[order][w[i - order + 1 : i + 1]] += n
+    for k in range(order - 1, 0, -1):  # how many different characters a string follows
+        for g in raw[k + 1]:
+            raw[k][g[1:]] += 1
+
+    def p(k):
+        if k == 0:
+            return 1 / (len(alphabet) + 1)
+        context = before[len(before) - k + 1 :] if k > 1 else ""
+        seen = {g: n for g, n in raw[k].items() if g[:-1] == context}
+        if not seen:
+            return p(k - 1)
+        ones, twos = (sum(n == x for n in raw[k].values()) for x in (1, 2))
+        d = ones / (ones + 2 * twos) if ones and twos else 0.5
+        return (max(seen.get(context + char, 0) - d, 0) + d * len(seen) * p(k - 1)) / sum(seen.values())
+
+    return p(order)
+
+
+def test_kneser_ney_equals_the_recursion():
+    words, counts = ["abba", "baab", "aba", "cab", "bac", "abc"], [3, 1, 2, 2, 1, 5]
+    joint = langid.join_tables([langid.fit(words, np.array(counts))])
+    for word in ["abba", "cabc", "zab", "b", "aaaa", "bacz"]:
+        want = sum(math.log2(kneser_ney(words, counts, c, "^" * 3 + word[:i])) for i, c in enumerate(word + "$"))
+        assert langid.word_scores([word], joint)[0, 0] == pytest.approx(want, rel=1e-4)
+
+
 def test_kneser_ney_sums_to_one():
     words = ["abba", "baab", "aba", "cab", "bac"]
     joint = langid.join_tables([langid.fit(words, np.array([3, 1, 2, 2, 1]))])
