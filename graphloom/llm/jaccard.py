@@ -8,9 +8,9 @@ of a split node goes on to one child at least; one without a token left is compa
 of the node that have a similar size. Runs start from disjoint shares of a set's ``PATHS`` sampled
 tokens; after a run its links are joined into groups, and the next run skips nodes that lie in one
 group. With 16 starts, two sets of similarity 0.8 meet in no node with a probability of about
-exp(-0.8 * 16), under 3 in a million. Where nodes were split, two sets may part again: ``draws``
-says how often their sets start anew, with fresh tokens and fresh children, until no more than
-that (``MISS``) have met in no leaf.
+exp(-0.8 * 16), under 3 in a million. Where nodes were split, two sets may part again: from the
+number of a set's starts in such nodes, ``more_draws`` says how often it starts anew, with fresh
+tokens and fresh children, until no more than that (``MISS``) have met in no leaf.
 
 Comparison in a node uses a token sample and only links what may be similar. The connected groups
 of these links are then joined exactly on whole sets, in blocks, each pair once. So a link that no
@@ -48,38 +48,50 @@ def token_set(data: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(data.split()), words))
 
 
-def draws(splits: int, similarity: float = SIMILARITY, miss: float = MISS) -> list[int]:
-    """By the size of a set (the last: any larger one), the draws of start tokens after which it has met each set at the threshold in a leaf but for a share ``miss``, if nodes on the way are split ``splits`` times.
+def kept(tokens: float, shared: float, splits: int) -> float:
+    """Share of the pairs met at a start that are still together after ``splits`` splits of its node.
 
     A pair stays together if both go to a child of a shared token: a token under ``CHILDREN`` / size of
-    both, or the first of their tokens in hash order if neither has one. Short sets, which start from
-    all of their tokens, have fewer of them; pairs of one set in the other are the hardest.
+    both, or the first of their tokens in hash order if neither has one.
     """
+    out = 1.0
+    for k in range(splits, 0, -1):
+        both, left = shared - k, tokens - k
+        if both <= 0:
+            out = 1.0  # one set has no token left, so it is compared in its node
+            continue
+        either = 2 * left - both
+        out = 1 - math.exp(-CHILDREN * both / left * out) + math.exp(-CHILDREN * either / left) * both / either * out
+    return out
 
-    def kept(tokens: float, shared: float) -> float:
-        """Share of the pairs met at a start that are still together after all splits."""
-        out = 1.0
-        for k in range(splits, 0, -1):
-            both, left = shared - k, tokens - k
-            if both <= 0:
-                out = 1.0  # one set has no token left, so it is compared in its node
-                continue
-            either = 2 * left - both
-            out = 1 - math.exp(-CHILDREN * both / left * out) + math.exp(-CHILDREN * either / left) * both / either * out
-        return out
 
-    def needed(n: int) -> int:
-        """The larger set has n tokens."""
-        shared = math.ceil(similarity * n - 1e-9)
-        if n > PATHS:  # the number of starts is about a Poisson variable
-            gain = similarity * PATHS * kept(PATHS, similarity * PATHS)
-        elif 0 < shared < n:
-            gain = -math.log1p(-min(kept(n, shared), 1 - 1e-12)) * shared
-        else:
-            return 1
-        return max(1, math.ceil(-math.log(miss) / gain - 1e-9))
+def survival(splits: int, similarity: float) -> list[float]:
+    """By the size of a set (the last: any over PATHS), the least :func:`kept` of its pairs at the threshold; pairs of one set in the other are the hardest."""
+
+    def least(n: int) -> float:
+        pairs = [(m, math.ceil(similarity * m - 1e-9)) for m in range(n, math.floor(n / similarity + 1e-9) + 1)]
+        return min([kept(m, both, splits) for m, both in pairs if 0 < both < m], default=1.0)
+
+    return [*(least(n) for n in range(PATHS + 1)), kept(PATHS, similarity * PATHS, splits)]
+
 
-    return [max(needed(n) for n in range(size, math.floor(size / similarity + 1e-9) + 1)) if size else 1 for size in range(PATHS + 2)]
+def more_draws(splits: int, similarity: float, n: Column, starts: Column, split: Column) -> Column:
+    """How often a set of n tokens starts anew, if nodes of ``split`` of its ``starts`` were split, so that it has met each set at the threshold in a leaf but for a share MISS.
+
+    A start in a node that wasn't split has met all that share it. Of a set that started from all its
+    tokens, a pair shares one of these for sure if they are more than what the pair may differ in.
+    Of another, each start is shared with a probability of ``similarity`` at least.
+    """
+    stay, goal = survival(splits, similarity), -math.log(MISS)
+    gain = lambda x: -math.log1p(-min(x, 1 - 1e-12))
+    shared = [math.ceil(similarity * size - 1e-9) for size in range(PATHS + 1)]
+    differ = [size - both for size, both in enumerate(shared)]
+    again = [max(0, math.ceil(goal / max(1e-9, both * gain(x)) - 1e-9) - 1) for both, x in zip(shared, stay[:-1], strict=True)]
+    of = lambda values: F.get(F.lit(values), n)
+    short = F.when(starts - split > of(differ), 0).otherwise(of(again))
+    had = (starts - split) * gain(similarity) + split * gain(similarity * stay[-1])
+    long = F.greatest(F.lit(0), F.ceil((F.lit(goal) - had) / (similarity * PATHS * stay[-1]) - 1e-9))
+    return F.when(n <= PATHS, short).otherwise(long).cast("int")
 
 
 def _under(tokens: np.ndarray, ranks: np.ndarray, expected: int) -> np.ndarray:
@@ -88,22 +100,39 @@ def _under(tokens: np.ndarray, ranks: np.ndarray, expected: int) -> np.ndarray:
     return tokens[ranks < U64(int(expected / len(tokens) * 2.0**64))]
 
 
-def sets_of(df: DataFrame, id: str, text: str, words: int, later: int = 0) -> DataFrame:
-    """doc, tie, set (128-bit hash, null for no words), n, roots (tokens to start paths from), more (those of ``later`` draws, of sets that don't start from all), sample."""
+def sets_of(df: DataFrame, id: str, text: str, words: int) -> DataFrame:
+    """doc, tie, set (128-bit hash, null for no words), n, roots (tokens to start paths from), sample."""
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         for doc, tie, data in rows:
             tokens = token_set(data, words)
             if not len(tokens):
-                yield doc, tie, None, 0, None, None, None
+                yield doc, tie, None, 0, None, None
                 continue
             ranks = mix(tokens ^ _ORDER)
-            more = [_under(tokens, mix(ranks ^ U64(draw)), PATHS).view(np.int64).tolist() for draw in range(1, later + 1)] if len(tokens) > PATHS else []
-            yield doc, tie, xxhash.xxh3_128_digest(tokens.tobytes()), len(tokens), _under(tokens, ranks, PATHS).view(np.int64).tolist(), more, _under(tokens, ranks, SAMPLE).tobytes()
+            yield doc, tie, xxhash.xxh3_128_digest(tokens.tobytes()), len(tokens), _under(tokens, ranks, PATHS).view(np.int64).tolist(), _under(tokens, ranks, SAMPLE).tobytes()
 
-    rows = df.select(F.col(quoted(id)).alias("doc"), F.xxhash64(quoted(text)).alias("tie"), as_bytes(quoted(text)).alias("data"))
+    rows = texts_of(df, id, text)
     kind = rows.schema["doc"].dataType.simpleString()
-    return map_rows(rows, run, f"doc {kind}, tie long, set binary, n int, roots array<long>, more array<array<long>>, sample binary")
+    return map_rows(rows, run, f"doc {kind}, tie long, set binary, n int, roots array<long>, sample binary")
+
+
+def texts_of(df: DataFrame, id: str, text: str) -> DataFrame:
+    return df.select(F.col(quoted(id)).alias("doc"), F.xxhash64(quoted(text)).alias("tie"), as_bytes(quoted(text)).alias("data"))
+
+
+def drawn_anew(texts: DataFrame, due: DataFrame, words: int) -> DataFrame:
+    """(set, draw, roots) of draws have + 1 to want, with fresh tokens; a set of up to PATHS tokens starts from all of them again."""
+
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for data, key, have, want in rows:
+            tokens = token_set(data, words)
+            for draw in range(have + 1, want + 1):
+                yield key, draw, _under(tokens, mix(mix(tokens ^ _ORDER) ^ U64(draw)), PATHS).view(np.int64).tolist()
+
+    due = due.select("set", "have", "want", F.col("holder.doc").alias("doc"), F.col("holder.tie").alias("tie"))
+    held = texts.alias("t").join(due.alias("w"), F.col("t.doc").eqNullSafe(F.col("w.doc")) & (F.col("t.tie") == F.col("w.tie")))
+    return map_rows(held.select("t.data", "w.set", "w.have", "w.want"), run, "set binary, draw int, roots array<long>").dropDuplicates(["set", "draw"])
 
 
 def _labels(linked: np.ndarray) -> np.ndarray:
@@ -175,7 +204,7 @@ def _blocks(df: DataFrame, size: str, member: str, block: int) -> DataFrame:
 
 
 def paths(sets: DataFrame, starts: DataFrame, labels: DataFrame | None, run: tuple[int, int], similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame | None, int]:
-    """(node, i, j, set, label) of the nodes of a run that hold sets of more than one group, large ones in pairs of blocks; (set) in nodes that were split; the number of splits.
+    """(node, i, j, set, label) of the nodes of a run that hold sets of more than one group, large ones in pairs of blocks; (node, set) of starts whose nodes were split; the number of splits.
 
     starts: (set, draw, roots) of the sets that take part. labels: (node, label) of the groups known so
     far; a set without one is its own group.
@@ -196,7 +225,7 @@ def paths(sets: DataFrame, starts: DataFrame, labels: DataFrame | None, run: tup
         large = met.filter(F.col("m") > LEAF)
         if depth == DEPTH or large.limit(1).count() == 0:
             break
-        crowded = large.select("set") if crowded is None else crowded.unionByName(large.select("set"))
+        crowded = large.select("node", "set") if crowded is None else crowded
         left = large.join(starts, ["set", "draw"]).withColumn("left", F.array_except("roots", "path"))
         ended = left.filter(F.size("left") == 0).select("node", "set", "label", "m")
         if ended.limit(1).count():
@@ -208,6 +237,14 @@ def paths(sets: DataFrame, starts: DataFrame, labels: DataFrame | None, run: tup
     return leaves, crowded, 0 if crowded is None else depth
 
 
+def _split_starts(crowded: DataFrame, groups: DataFrame) -> DataFrame:
+    """(set, split): how many starts of a set lie in split nodes that hold sets of more than one group by now."""
+    label = F.coalesce("label", "set")
+    known = crowded.join(groups.withColumnRenamed("node", "set"), "set", "left").select("node", "set", label.alias("label"))
+    many = known.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("node")
+    return known.join(many, "node").groupBy("set").agg(F.count("*").cast("int").alias("split"))
+
+
 def _against_all(ended: DataFrame, large: DataFrame, sets: DataFrame, similarity: float, depth: int) -> DataFrame:
     """Sets without a token left, in blocks, each with every block of the sets of its node that may be similar by size."""
     n = sets.select("set", "n")
@@ -229,9 +266,9 @@ def jaccard_join(df: DataFrame, id: str = "doc_id", text: str = "text", words: i
     class_key tells classes apart even where rows of several share an id; it is null for texts without a word.
     """
     parts = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = saved(sets_of(df, id, text, words, max(draws(k, similarity)[-1] for k in range(DEPTH + 1)) - 1), "sets")
+    rows, texts = saved(sets_of(df, id, text, words), "sets"), texts_of(df, id, text)
     some = rows.filter("set is not null")
-    sets = saved(some.groupBy("set").agg(F.min("doc").alias("low"), F.count("*").alias("copies"), F.min(F.struct("doc", "tie")).alias("holder"), F.first("n").alias("n"), F.first("roots").alias("roots"), F.first("more").alias("more"), F.first("sample").alias("sample")), "distinct")
+    sets = saved(some.groupBy("set").agg(F.min("doc").alias("low"), F.count("*").alias("copies"), F.min(F.struct("doc", "tie")).alias("holder"), F.first("n").alias("n"), F.first("roots").alias("roots"), F.first("sample").alias("sample")), "distinct")
 
     def compare(rows: Iterator[tuple]) -> Iterator[tuple]:
         for _, group in groupby(rows, key=lambda r: r[:3]):
@@ -239,20 +276,14 @@ def jaccard_join(df: DataFrame, id: str = "doc_id", text: str = "text", words: i
             if len(members) > 1:
                 yield from _candidates(members, similarity)
 
-    need = lambda splits: F.get(F.lit(draws(splits, similarity)), F.least("n", F.lit(PATHS + 1)))
-
-    def drawn(some: DataFrame, low: Column, high: Column) -> DataFrame:
-        """(set, draw, roots): a set of up to PATHS tokens starts from all of them in every draw."""
-        each = some.withColumn("draw", F.explode(F.sequence(low, high - 1)))
-        return each.select("set", "draw", F.when((F.col("draw") == 0) | (F.col("n") <= PATHS), F.col("roots")).otherwise(F.get("more", F.col("draw") - 1)).alias("roots"))
-
     links, groups, crowded, taken, splits = None, None, None, None, 0
-    starts, runs = drawn(sets, F.lit(0), need(0)), RUNS
+    starts, runs = sets.select("set", F.lit(0).alias("draw"), "roots"), RUNS
     while runs:
         for run in runs:
             met, split, deep = paths(sets, starts, groups, run, similarity)
-            if split is not None:
-                crowded, splits = split if crowded is None else crowded.unionByName(split), max(splits, deep)
+            if split is not None and taken is None:
+                crowded = split if crowded is None else crowded.unionByName(split)
+            splits = max(splits, deep)
             nodes = met.join(sets.select("set", "n", "sample"), "set")
             dealt = nodes.select("node", "i", "j", "set", "label", "n", "sample").repartition(parts, "node", "i", "j").sortWithinPartitions("node", "i", "j", "set")
             found = saved(map_rows(dealt, compare, "a binary, b binary").distinct(), "candidates")
@@ -260,21 +291,26 @@ def jaccard_join(df: DataFrame, id: str = "doc_id", text: str = "text", words: i
             groups = components(links)
         runs = ()
         if crowded is not None:
-            some = sets.select("set", "n").join(crowded.distinct(), "set", "left_semi")
-            some = some.withColumn("have", need(0)) if taken is None else some.join(taken, "set", "left").withColumn("have", F.coalesce("have", need(0)))
-            some = saved(some.withColumn("want", need(splits)), "crowded")
-            due = some.filter("want > have")
-            if due.limit(1).count():
-                starts, runs = saved(drawn(sets.join(due.select("set", "have", "want"), "set"), F.col("have"), F.col("want")), "starts"), (WHOLE,)
-                taken = some.select("set", F.greatest("have", "want").alias("have"))
+            if taken is None:
+                taken = saved(_split_starts(crowded, groups).join(sets.select("set", "holder", "n", F.size("roots").alias("starts")), "set").withColumn("have", F.lit(0)), "crowded")
+            due = taken.withColumn("want", more_draws(splits, similarity, F.col("n"), F.col("starts"), F.col("split")))
+            due = saved(due.withColumn("want", F.greatest("want", "have")), "due")
+            if due.filter("want > have").limit(1).count():
+                starts, runs = saved(drawn_anew(texts, due.filter("want > have"), words), "starts"), (WHOLE,)
+                taken = due.withColumn("have", F.col("want")).drop("want")
     sizes = groups.groupBy("label").agg(F.count("*").alias("m"))
     wanted = groups.join(sizes, "label").withColumnRenamed("node", "set").join(sets.select("set", "holder", "copies"), "set")
     wanted = wanted.select("label", "m", "set", "copies", F.col("holder.doc").alias("doc"), F.col("holder.tie").alias("tie"))
-    texts = df.select(F.col(quoted(id)).alias("doc"), F.xxhash64(quoted(text)).alias("tie"), as_bytes(quoted(text)).alias("data"))
     held = texts.alias("t").join(wanted.alias("w"), F.col("t.doc").eqNullSafe(F.col("w.doc")) & (F.col("t.tie") == F.col("w.tie")))
 
     def whole(rows: Iterator[tuple]) -> Iterator[tuple]:
+        seen: set[bytes] = set()
         for label, m, key, copies, data in rows:
+            if key in seen:  # repeated rows; what is missed here is met again where sets are compared
+                continue
+            if len(seen) >= 100_000:
+                seen.clear()
+            seen.add(key)
             yield label, m, key, copies, token_set(data, words).tobytes()
 
     full = map_rows(held.select("w.label", "w.m", "w.set", "w.copies", "t.data"), whole, "label binary, m long, set binary, copies long, tokens binary", size=lambda r: len(r[4]))

@@ -65,10 +65,33 @@ def test_jaccard_join_equals_all_pairs(spark, monkeypatch, leaf):
     assert Counter((r.doc_id, r.class_id, r.n_links) for r in got.collect()) == classes(rows)
 
 
-def test_draws_grow_with_the_splits():
-    assert max(jaccard.draws(0)) == 1
-    assert [jaccard.draws(k)[-1] for k in range(1, 6)] == sorted(jaccard.draws(k)[-1] for k in range(1, 6)) and jaccard.draws(1)[-1] > 1
-    assert jaccard.draws(1)[5] > jaccard.draws(1)[-1]  # short sets start from few tokens
+def test_draws_grow_with_the_split_starts(spark):
+    def draws(splits, n, starts, split):
+        return spark.range(1).select(jaccard.more_draws(splits, 0.8, F.lit(n), F.lit(starts), F.lit(split))).first()[0]
+
+    assert draws(2, 100, 16, 1) == 0 and draws(2, 100, 16, 16) > 0 and draws(2, 100, 2, 2) >= draws(2, 100, 16, 16)
+    assert [draws(k, 100, 16, 16) for k in range(1, 6)] == sorted(draws(k, 100, 16, 16) for k in range(1, 6))
+    assert draws(2, 5, 5, 3) == 0 and draws(2, 5, 5, 5) > draws(2, 100, 16, 16)  # two starts that weren't split: a pair differs in one token; short sets have few starts
+    assert all(0 < x <= 1 for k in range(6) for x in jaccard.survival(k, 0.8))
+
+
+@pytest.mark.parametrize("splits", [1, 2])
+def test_survival_of_splits(splits):
+    """The share of pairs that part, against the rule of paths() played out over random ranks."""
+    rng, size, both, rounds = np.random.default_rng(splits), 16, 13, 3000
+    rank = lambda *key: zlib.crc32(repr(key).encode()) / 2**32
+
+    def children(salt, path, tokens):
+        left = [t for t in tokens if t not in path]
+        first = min(left, key=lambda t: rank(salt, path, t))
+        return {t for t in left if rank(salt, path, t) * len(left) < jaccard.CHILDREN or t == first}
+
+    def together(salt, path, a, b, k):
+        return k == 0 or any(together(salt, (*path, t), a, b, k - 1) for t in children(salt, path, a) & children(salt, path, b))
+
+    a, b = list(range(size)), [*range(both), *range(100, 100 + size - both)]
+    got = np.mean([together(int(rng.integers(1 << 40)), (0,), a, b, splits) for _ in range(rounds)])
+    assert got >= jaccard.kept(size, both, splits) - 0.03
 
 
 def test_short_sets_survive_splits(spark, monkeypatch):
