@@ -122,17 +122,30 @@ def texts_of(df: DataFrame, id: str, text: str) -> DataFrame:
 
 
 def drawn_anew(texts: DataFrame, due: DataFrame, words: int) -> DataFrame:
-    """(set, draw, roots) of draws have + 1 to want, with fresh tokens; a set of up to PATHS tokens starts from all of them again."""
+    """(set, draw, roots) of draws have + 1 to want.
 
-    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+    A set of up to SAMPLE tokens starts from all of them again. Draw 1 of another starts from its whole
+    sample, which holds as many fresh tokens as the first draw took; later ones go back to the text.
+    """
+
+    def sampled(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for key, n, sample, have, want in rows:
+            for draw in range(have + 1, (want if n <= SAMPLE else min(want, 1)) + 1):
+                yield key, draw, np.frombuffer(sample, np.int64).tolist()
+
+    def read(rows: Iterator[tuple]) -> Iterator[tuple]:
         for data, key, have, want in rows:
             tokens = token_set(data, words)
-            for draw in range(have + 1, want + 1):
+            for draw in range(max(have, 1) + 1, want + 1):
                 yield key, draw, _under(tokens, mix(mix(tokens ^ _ORDER) ^ U64(draw)), PATHS).view(np.int64).tolist()
 
-    due = due.select("set", "have", "want", F.col("holder.doc").alias("doc"), F.col("holder.tie").alias("tie"))
-    held = texts.alias("t").join(due.alias("w"), F.col("t.doc").eqNullSafe(F.col("w.doc")) & (F.col("t.tie") == F.col("w.tie")))
-    return map_rows(held.select("t.data", "w.set", "w.have", "w.want"), run, "set binary, draw int, roots array<long>").dropDuplicates(["set", "draw"])
+    schema = "set binary, draw int, roots array<long>"
+    first = map_rows(due.select("set", "n", "sample", "have", "want"), sampled, schema)
+    rest = due.filter((F.col("n") > SAMPLE) & (F.col("want") > 1)).select("set", "have", "want", F.col("holder.doc").alias("doc"), F.col("holder.tie").alias("tie"))
+    if rest.limit(1).count() == 0:
+        return first
+    held = texts.alias("t").join(rest.alias("w"), F.col("t.doc").eqNullSafe(F.col("w.doc")) & (F.col("t.tie") == F.col("w.tie")))
+    return first.unionByName(map_rows(held.select("t.data", "w.set", "w.have", "w.want"), read, schema).dropDuplicates(["set", "draw"]))
 
 
 def _labels(linked: np.ndarray) -> np.ndarray:
@@ -292,7 +305,7 @@ def jaccard_join(df: DataFrame, id: str = "doc_id", text: str = "text", words: i
         runs = ()
         if crowded is not None:
             if taken is None:
-                taken = saved(_split_starts(crowded, groups).join(sets.select("set", "holder", "n", F.size("roots").alias("starts")), "set").withColumn("have", F.lit(0)), "crowded")
+                taken = saved(_split_starts(crowded, groups).join(sets.select("set", "holder", "n", "sample", F.size("roots").alias("starts")), "set").withColumn("have", F.lit(0)), "crowded")
             due = taken.withColumn("want", more_draws(splits, similarity, F.col("n"), F.col("starts"), F.col("split")))
             due = saved(due.withColumn("want", F.greatest("want", "have")), "due")
             if due.filter("want > have").limit(1).count():
