@@ -54,8 +54,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     held_out = scoring.in_fold(F.col("doc_id"))
-    model, totals = scoring.train(documents.filter(~held_out))
-    scored = scoring.score(documents, model, totals)
+    scored = scoring.score(documents, ~held_out)
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 

@@ -339,47 +339,142 @@ def test_language_id_of_odd_rows(odd, nothing):
     assert {r.lang_pred for r in langid.predict(odd, empty).collect()} == {"und"} and langid.predict(nothing, model).count() == 0
 
 
-def test_scores(spark, odd, nothing):
+def split(text):
+    return [w.lower() for w in (text or "").encode().split()] + [None]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_scores(spark, odd, nothing, monkeypatch, small):
+    if small:  # many chunks, merges inside a part, first words with several rooms
+        monkeypatch.setattr(scoring, "TOKENS", 300)
+        monkeypatch.setattr(scoring, "PART", 4000)
+        monkeypatch.setattr(scoring, "SAMPLE", 2)
+        monkeypatch.setattr(scoring, "EXACT", 40)
     docs = [(i, prose(i % 40, 20 + i % 30) + (" NEW" + str(i) if i % 9 == 0 else "")) for i in range(150)]
     df = frame(spark, docs).select("doc_id", "text").union(odd.select("doc_id", "text")).repartition(3)
-    train = df.filter(~scoring.in_fold(F.col("doc_id")))
-    model, totals = scoring.train(train)
-    split = lambda t: [w.lower() for w in (t or "").encode().split()] + [None]
-    counts = Counter(w for r in train.collect() for w in split(r.text))
+    learns = ~scoring.in_fold(F.col("doc_id"))
+    counts = Counter(w for r in df.filter(learns).collect() for w in split(r.text))
     n, v = sum(counts.values()), len(counts)
-    got = Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in scoring.score(df, model, totals).collect())
+    scored = scoring.score(df, learns).collect()
+    got = Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in scored)
     want = Counter((r.doc_id, len(w), sum(counts[x] > 0 for x in w), n, round(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), 6)) for r in df.collect() for w in [split(r.text)])
     assert got == want
-    held = scoring.score(frame(spark, docs).filter(scoring.in_fold(F.col("doc_id"))), model, totals).agg(F.sum("score"), F.sum("base_score")).first()
-    assert held[0] > held[1]
-    assert scoring.score(nothing, model, totals).count() == 0
-    none, empty = scoring.train(nothing)
-    assert {r.train_tokens for r in scoring.score(odd, none, empty).collect()} == {0}
-
-
-def test_predictive_probabilities_sum_to_one(spark):
-    docs = frame(spark, [(i, prose(i, 40)) for i in range(30)])
-    model, totals = scoring.train(docs)
-    total = np.zeros(scoring.CONTEXTS)
-    unknown = None
-    for r in model.collect():
-        keys = np.frombuffer(r["keys"], np.uint64)
-        kinds, contexts, counts = scoring.arrays(r["kinds"], r["contexts"], r["counts"])
-        seating = scoring.Seating(r["part"], kinds, contexts, counts, totals[:-1])
-        table = (keys, seating, *scoring.predictive(seating, totals), seating.by_word(counts.astype(float)).astype(np.int64))
-        every = np.tile(np.arange(scoring.CONTEXTS, dtype=np.uint8), len(keys))
-        p, _ = scoring.answer(keys, np.full(len(keys), scoring.CONTEXTS), every, table, totals)
-        total += (10**p).reshape(len(keys), scoring.CONTEXTS).sum(0)
-        u, _ = scoring.answer(np.array([12345], np.uint64), np.array([scoring.CONTEXTS]), np.arange(scoring.CONTEXTS, dtype=np.uint8), None, totals)
-        unknown = 10**u
-    assert total + unknown == pytest.approx(np.ones(scoring.CONTEXTS), abs=1e-6)
-
-
-def test_seating_counts():
-    rng = np.random.default_rng(0)
-    customers = np.array([0, 1, 2, 5, 400, 100_000])
-    tables = scoring.seat(customers, np.full(6, 0.7), 0.5, rng)
-    assert tables[0] == 0 and tables[1] == 1 and ((tables >= 1) & (tables <= np.maximum(customers, 1)))[1:].all()
+    held = [r for r in scored if r.doc_id is not None and r.doc_id < 150 and zlib.crc32(str(r.doc_id).encode()) % 7 == 2 and r.n_tokens > 3]
+    assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
+    again = scoring.score(df, learns).collect()
+    assert Counter((r.doc_id, round(r.score, 6)) for r in again) == Counter((r.doc_id, round(r.score, 6)) for r in scored)
+    if not small:
+        assert scoring.score(nothing, F.lit(True)).count() == 0
+        assert {(r.train_tokens, r.score, r.base_score) for r in scoring.score(odd, F.lit(False)).collect()} == {(0, 0.0, 0.0)}
+
+
+class Franchise:
+    """A Gibbs sampler that seats every customer at a table of its own account, one at a time."""
+
+    def __init__(self, texts, d1, d0, seed):
+        self.rng, self.d = random.Random(seed), (d1, d0)
+        self.customers = [(p, w) for t in texts for p, w in zip([None, *split(t)], split(t))]
+        self.words = len({w for _, w in self.customers})
+        self.tables, self.total, self.sizes = defaultdict(list), Counter(), Counter()
+        self.seat = {}
+
+    def p(self, c, w):
+        """Predictive probability of w in restaurant c; the root is ()."""
+        parent = 1 / (self.words + 1) if c == () else self.p((), w)
+        t, d = self.tables[c, w], self.d[c == ()]
+        return (sum(t) - d * len(t) + (scoring.CONCENTRATION + d * self.total[c]) * parent) / (scoring.CONCENTRATION + self.sizes[c])
+
+    def add(self, c, w):
+        t, d = self.tables[c, w], self.d[c == ()]
+        parent = 1 / (self.words + 1) if c == () else self.p((), w)
+        at = self.rng.choices(range(len(t) + 1), [x - d for x in t] + [(scoring.CONCENTRATION + d * self.total[c]) * parent])[0]
+        self.sizes[c] += 1
+        if at == len(t):
+            t.append(1)
+            self.total[c] += 1
+            if c != ():
+                self.add((), w)
+        else:
+            t[at] += 1
+
+    def remove(self, c, w):
+        t = self.tables[c, w]
+        at = self.rng.choices(range(len(t)), t)[0]
+        t[at] -= 1
+        self.sizes[c] -= 1
+        if not t[at]:
+            t.pop(at)
+            self.total[c] -= 1
+            if c != ():
+                self.remove((), w)
+
+    def run(self, sweeps, burn_in, texts):
+        for p, w in self.customers:
+            self.add((p,), w)
+        out = [[0.0] * len(split(t)) for t in texts]
+        for i in range(sweeps):
+            for p, w in self.customers:
+                self.remove((p,), w)
+                self.add((p,), w)
+            if i >= burn_in:
+                for t, sums in zip(texts, out):
+                    for j, (p, w) in enumerate(zip([None, *split(t)], split(t))):
+                        sums[j] += self.p((p,), w) / (sweeps - burn_in)
+        return [sum(math.log10(x) for x in sums) for sums in out]
+
+
+def test_scores_equal_a_sampler_of_single_customers(spark):
+    words = [f"w{i}" for i in range(25)]
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices(words, [1 / (1 + (i * (1 + j % 4)) % 25) for i in range(25)], k=rng.randint(3, 30))) for j in range(60)]
+    held = texts[50:] + ["w1 w1 unseen w2", ""]
+    cells = Counter((p, w) for t in texts[:50] for p, w in zip([None, *split(t)], split(t)))
+    types = Counter(w for _, w in cells)
+    d1, d0 = (scoring.discount_of(sum(n == 1 for n in c.values()), sum(n == 2 for n in c.values())) for c in (cells, types))
+    want = np.mean([Franchise(texts[:50], d1, d0, seed).run(40, 10, held) for seed in range(2)], axis=0)
+    rows = [(i, t) for i, t in enumerate(texts[:50])] + [(100 + i, t) for i, t in enumerate(held)]
+    got = {r.doc_id: r.score for r in scoring.score(frame(spark, rows), F.col("doc_id") < 100).collect()}
+    got = [got[100 + i] for i in range(len(held))]
+    assert got == pytest.approx(want, rel=0.06) and sum(got) == pytest.approx(sum(want), rel=0.02), (got, want)
+
+
+def seatings(n, others, weight, d):
+    """Probability of each number of tables of a dish, by all ways to seat n customers."""
+    out, ways = Counter(), [((1,), (scoring.CONCENTRATION + d * others) * weight)]
+    for _ in range(n - 1):
+        ways = [x for t, p in ways for x in [((*t, 1), p * (scoring.CONCENTRATION + d * (others + len(t))) * weight), *((t[:i] + (t[i] + 1,) + t[i + 1 :], p * (t[i] - d)) for i in range(len(t)))]]
+    for t, p in ways:
+        out[len(t)] += p
+    return np.array([out[t] for t in range(1, n + 1)]) / sum(out.values())
+
+
+@pytest.mark.parametrize(("n", "others", "weight", "d"), [(2, 0, 0.5, 0.5), (5, 3, 0.2, 0.7), (7, 50, 0.3, 0.3)])
+def test_table_draws_follow_the_conditional(n, others, weight, d):
+    got = scoring.draw_tables(n, np.full(40_000, float(others)), np.full(40_000, weight), d, np.random.default_rng(2))
+    assert np.bincount(got.astype(int), minlength=n + 1)[1:] / 40_000 == pytest.approx(seatings(n, others, weight, d), abs=0.012)
+
+
+@pytest.mark.parametrize(("others", "weight", "d"), [(10, 0.01, 0.6), (100, 0.05, 0.6), (2000, 0.001, 0.8), (20000, 0.001, 0.8), (40, 0.3, 0.4)])
+def test_the_limit_of_many_customers_is_close(others, weight, d):
+    args = np.full(20_000, float(others)), np.full(20_000, weight), d
+    exact = scoring.draw_tables(scoring.EXACT, *args, np.random.default_rng(3))
+    limit = scoring.draw_many_tables(np.full(20_000, float(scoring.EXACT)), *args, np.random.default_rng(4))
+    assert limit.mean() == pytest.approx(exact.mean(), rel=0.1) and limit.std() == pytest.approx(exact.std(), rel=0.2)
+
+
+def test_predictive_probabilities_sum_to_one():
+    rng = np.random.default_rng(1)
+    place, n = np.repeat(np.arange(5), 8), rng.integers(0, 30, 40)
+    seating = scoring.Seating(place, n, np.zeros(5), 0.6, rng)
+    guests = np.arange(1, 9)
+    tables = scoring.Seating(np.zeros(8, np.int64), guests, np.zeros(1), 0.4, rng).averaged(np.full(8, 1 / 9), 4, 1)
+    parent = scoring.root_predictive(guests, tables, guests.sum(), tables.sum(), 8, 0.4)
+    unknown = scoring.root_predictive(np.zeros(1), np.zeros(1), guests.sum(), tables.sum(), 8, 0.4)
+    assert parent.sum() + unknown[0] == pytest.approx(1)
+    mean = seating.averaged(np.tile(parent, 5), 4, 1)
+    down = 1 + np.bincount(place, n)
+    own, share = (n - 0.6 * mean) / down[place], (1 + 0.6 * np.bincount(place, mean)) / down
+    assert np.bincount(place, own) + share == pytest.approx(np.ones(5))
 
 
 VECTORS = "vec_id long, embedding array<float>, label int, v string, key string"
