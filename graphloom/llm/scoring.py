@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, as_bytes, map_rows, mix, quoted, word_hashes
 
-TOKENS, PART, SAMPLE = 3_000_000, 6_000_000, 64  # tokens of a chunk, pairs of a part, one text in so many
+TOKENS, PART, SAMPLE = 2_000_000, 2_000_000, 64  # tokens of a chunk, pairs of a part, one text in so many
 SETTLE, SWEEPS, BURN_IN, CONCENTRATION = 3, 4, 1, 1.0  # sweeps of the first round, of the second, of these not averaged
 EXACT = 256
 END = xxhash.xxh64_intdigest(b"")
@@ -232,7 +232,7 @@ class Part:
             e = Entries(*r)
             held.append((e.words, e.first[e.heads], e.second[e.heads], np.add.reduceat(e.learned, e.heads)))
             volume += len(e.heads)
-            if volume >= PART:
+            if volume >= PART // 2:
                 self._merge(held)
                 held, volume = [], 0
         self._merge(held)
