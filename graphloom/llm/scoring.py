@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import U64, as_bytes, map_rows, mix, quoted, word_hashes
 
 TOKENS, PART, SAMPLE = 2_000_000, 2_000_000, 64  # tokens of a chunk, pairs of a part, one text in so many
-SETTLE, SWEEPS, BURN_IN, CONCENTRATION = 3, 4, 1, 1.0  # sweeps of the first round, of the second, of these not averaged
+SETTLE, SWEEPS, BURN_IN, CONCENTRATION = 2, 4, 1, 1.0  # sweeps of the first round, of the second, of these not averaged
 EXACT = 256
 END = xxhash.xxh64_intdigest(b"")
 _ROOM = U64(0xD6E8FEB86659FD93)
@@ -55,6 +55,23 @@ def part_of(keys: np.ndarray, n: int) -> np.ndarray:
     return (((keys >> U64(40)) * U64(n)) >> U64(24)).astype(np.int64)
 
 
+@cache
+def slots(n: int) -> np.ndarray:
+    """A number for each of n parts that Spark's hash puts in a partition of its own, of n."""
+    out, first = np.full(n, -1, np.int64), 0
+    while (out < 0).any():
+        x = np.arange(first, first + 4 * n + 64, dtype=np.uint32)
+        rolled = lambda v, r: (v << np.uint32(r)) | (v >> np.uint32(32 - r))
+        h = rolled(np.uint32(42) ^ rolled(x * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593), 13) * np.uint32(5) + np.uint32(0xE6546B64) ^ np.uint32(4)
+        h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+        h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+        at, found = np.unique((h ^ (h >> np.uint32(16))).view(np.int32).astype(np.int64) % n, return_index=True)
+        fresh = out[at] < 0
+        out[at[fresh]] = first + found[fresh]
+        first += len(x)
+    return out
+
+
 def pack(x: np.ndarray) -> bytes:
     """Numbers from 0 in the narrowest of four widths, which the first byte tells."""
     top = int(x.max()) if len(x) else 0
@@ -296,7 +313,7 @@ def _told(totals: DataFrame, source: int, to: int) -> DataFrame:
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         for (x,) in rows:
-            yield from ((i, TOTALS, source, np.array(x).tobytes(), b"", b"", b"", b"") for i in range(to))
+            yield from ((int(i), TOTALS, source, np.array(x).tobytes(), b"", b"", b"", b"") for i in slots(to))
 
     return map_rows(totals, run, _MESSAGE)
 
@@ -435,19 +452,24 @@ def score(df: DataFrame, learns: Column, id: str = "doc_id", text: str = "text")
     size = df.agg(F.sum(F.octet_length(quoted(text))).alias("n"), F.count("*").alias("rows")).first()
     tokens = (size["n"] or 0) // 6 + size["rows"]
     parts = max(4, -(-tokens // PART))
-    spread = 3 * parts  # partitions: few hold two parts
+    spread = parts
     hot, rooms = hot_words(rows, tokens)
     shared = df.sparkSession.sparkContext.broadcast((hot, rooms))  # at most 100,000 words
     columns = f"{_MESSAGE}, ids array<{kind}>"
 
+    def together(union: DataFrame) -> DataFrame:
+        """Children of a union that are partitioned alike stay where they are, unless that is switched off."""
+        alike = df.sparkSession.conf.get("spark.sql.unionOutputPartitioning") == "true"
+        return union if alike else union.repartition(spread, "to")
+
     def deal(rows: Iterator[tuple]) -> Iterator[tuple]:
         hot, rooms = shared.value
         chunk, texts, learned, ids, n = TaskContext.get().partitionId() << 32, [], [], [], 0
 
         def sent() -> Iterator[tuple]:
-            yield int(mix(np.array([chunk], U64))[0]) % parts, DOCS, chunk, pack(np.array([len(t) for t in texts])), b"", b"", b"", b"", ids
+            yield int(slots(parts)[int(mix(np.array([chunk], U64))[0]) % parts]), DOCS, chunk, pack(np.array([len(t) for t in texts])), b"", b"", b"", b"", ids
             for part, *entries in pairs(texts, learned, parts, hot, rooms):
-                yield part, PAIRS, chunk, *entries, None
+                yield int(slots(parts)[part]), PAIRS, chunk, *entries, None
 
         for doc, data, learn in rows:
             texts.append(token_keys(data))
@@ -473,8 +495,8 @@ def score(df: DataFrame, learns: Column, id: str = "doc_id", text: str = "text")
             for root in range(parts):
                 some, firsts = order[edge[root] : edge[root + 1]], rooms[ends[root] : ends[root + 1]]
                 if len(some) or len(firsts):
-                    yield root, FIRST, to, part.keys[some].tobytes(), pack(known[some]), pack(counts[some]), part.keys[firsts].tobytes(), pack(np.concatenate([seated[firsts], tables[firsts]]))
-            yield 0, TOTALS, -1 - to, np.array([(part.n == 1).sum(), (part.n == 2).sum()], float).tobytes(), b"", b"", b"", b""
+                    yield int(slots(parts)[root]), FIRST, to, part.keys[some].tobytes(), pack(known[some]), pack(counts[some]), part.keys[firsts].tobytes(), pack(np.concatenate([seated[firsts], tables[firsts]]))
+            yield int(slots(parts)[0]), TOTALS, -1 - to, np.array([(part.n == 1).sum(), (part.n == 2).sum()], float).tobytes(), b"", b"", b"", b""
 
     asked = map_rows(dealt.sortWithinPartitions("to"), ask, _MESSAGE, _wide).repartition(spread, "to")
 
@@ -492,7 +514,9 @@ def score(df: DataFrame, learns: Column, id: str = "doc_id", text: str = "text")
 
     def seat(kind: int) -> Callable[[Iterator[tuple]], Iterator[tuple]]:
         def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-            for to, group in groupby(rows, key=lambda r: r[0]):
+            number = {int(x): i for i, x in enumerate(slots(parts))}
+            for slot, group in groupby(rows, key=lambda r: r[0]):
+                to = number[slot]
                 root = _Root(r for r in group if r[1] != TOTALS or r[2] >= 0)
                 tables = root.seat(to, kind)
                 for part, *x in root.answers(tables, kind):
@@ -507,9 +531,9 @@ def score(df: DataFrame, learns: Column, id: str = "doc_id", text: str = "text")
     def with_pairs(*told: DataFrame, twice: bool) -> DataFrame:
         """Messages and the dealt pairs, which stand last, and once more if they are scored too; all are partitioned alike, so nothing moves."""
         out = dealt.withColumn("step", F.lit(1))
-        for step, df_ in [*((2, d) for d in [dealt] * twice), *((0, d.withColumn("ids", F.lit(None).cast(f"array<{kind}>"))) for d in told)]:
-            out = out.unionByName(df_.withColumn("step", F.lit(step)))
-        return out.select("to", "step", "kind", "source", "a", "b", "c", "d", "e", "ids").sortWithinPartitions("to", "step", "source")
+        for step, other in [*((2, d) for d in [dealt] * twice), *((0, d.withColumn("ids", F.lit(None).cast(f"array<{kind}>"))) for d in told)]:
+            out = out.unionByName(other.withColumn("step", F.lit(step)))
+        return together(out.select("to", "step", "kind", "source", "a", "b", "c", "d", "e", "ids")).sortWithinPartitions("to", "step", "source")
 
     def modelled(to: int, group: Iterator[tuple]) -> tuple[_Model | None, Iterator]:
         """The part's model, and its rows of the last step."""
@@ -535,13 +559,13 @@ def score(df: DataFrame, learns: Column, id: str = "doc_id", text: str = "text")
             for root in range(parts):
                 some, firsts = order[edge[root] : edge[root + 1]], rooms[ends[root] : ends[root + 1]]
                 if len(some) or len(firsts):
-                    yield root, SECOND, to, pack(tables[some]), pack(seats[firsts]), b"", b"", b""
+                    yield int(slots(parts)[root]), SECOND, to, pack(tables[some]), pack(seats[firsts]), b"", b"", b""
 
     by_root = ("to", "kind", "source")
-    first = map_rows(known_to.unionByName(asked).select(*_COLUMNS).sortWithinPartitions(*by_root), seat(FIRST), _MESSAGE, _wide).repartition(spread, "to")
+    first = map_rows(together(known_to.unionByName(asked).select(*_COLUMNS)).sortWithinPartitions(*by_root), seat(FIRST), _MESSAGE, _wide).repartition(spread, "to")
     told = [known_to, first, _told(_sum(first.sortWithinPartitions("to"), summed, 2), 1, parts).repartition(spread, "to")]
     swept = map_rows(with_pairs(*told, twice=False), sweep, _MESSAGE, _wide).repartition(spread, "to")
-    second = map_rows(told[2].unionByName(known_to).unionByName(asked).unionByName(swept).select(*_COLUMNS).sortWithinPartitions(*by_root), seat(SECOND), _MESSAGE, _wide).repartition(spread, "to")
+    second = map_rows(together(told[2].unionByName(known_to).unionByName(asked).unionByName(swept).select(*_COLUMNS)).sortWithinPartitions(*by_root), seat(SECOND), _MESSAGE, _wide).repartition(spread, "to")
     told += [second, _told(_sum(second.sortWithinPartitions("to"), _second_totals, 2), 2, parts).repartition(spread, "to")]
 
     def judge(rows: Iterator[tuple]) -> Iterator[tuple]:
