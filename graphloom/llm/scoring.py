@@ -7,11 +7,11 @@ dish's tables are drawn from their conditional, given all other dishes of the re
 parent's predictive. The score averages predictive probabilities over the last sweeps.
 
 Everything that grows with the corpus is dealt out by hash. A worker cuts its texts into chunks of
-about ``TOKENS`` tokens and sends each pair of words (with the texts that hold it) to the part that
+about ``Sizes.chunk`` tokens and sends each pair of words (with the texts that hold it) to the part that
 has the first word's restaurant. Parts tell the root, dealt by word, how many tables each follower
 has, and get the root's seating back; two such rounds are made, with local sweeps after each. Then
 parts score their share of each text. Words that are first in a large share of all pairs (found on a
-sample of 1 / ``SAMPLE`` of the texts) have restaurants of several rooms, dealt by follower, whose
+sample of 1 / ``Sizes.sample`` of the texts) have restaurants of several rooms, dealt by follower, whose
 totals go through the root as well. All of it is one plan whose exchanges are used several times.
 
 Within a sweep the dishes of a restaurant are drawn in two random halves, each given the other. The
@@ -30,6 +30,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import groupby, pairwise
+from typing import NamedTuple
 
 import numpy as np
 import xxhash
@@ -39,8 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, as_bytes, map_rows, mix, quoted, word_hashes
 
-TOKENS, PART, SAMPLE = 2_000_000, 2_000_000, 64  # tokens of a chunk, pairs of a part, one text in so many
-SETTLE, SWEEPS, BURN_IN, CONCENTRATION = 2, 4, 1, 1.0  # sweeps of the first round, of the second, of these not averaged
+CONCENTRATION = 1.0
 EXACT = 256
 END = xxhash.xxh64_intdigest(b"")
 _ROOM = U64(0xD6E8FEB86659FD93)
@@ -86,6 +86,18 @@ def unpack(data: bytes) -> np.ndarray:
 # seating --------------------------------------------------------------------------------------
 
 
+class Sizes(NamedTuple):
+    """How much a worker holds at once, and how long the chains are."""
+
+    chunk: int = 2_000_000  # tokens of a chunk
+    pairs: int = 2_000_000  # of a part, about
+    sample: int = 64  # frequent first words are found on one text in so many
+    settle: int = 2  # sweeps of the first round
+    sweeps: int = 4  # of the second, and of the root in each
+    burn_in: int = 1  # sweeps of the second round that aren't averaged
+    exact: int = EXACT
+
+
 @cache
 def _stirling(discount: float) -> np.ndarray:
     """log of the generalised Stirling numbers: row n, column t has the weight of all ways to seat n customers at t tables."""
@@ -135,7 +147,10 @@ def draw_many_tables(n: np.ndarray, others: np.ndarray, weight: np.ndarray, disc
     t, _ = at(y)
     (t0, g0), (t1, g1) = at(y * 0.999), at(y * 1.001)
     spread = np.sqrt(np.maximum((t0 - t1) / np.maximum(g1 - g0, 1e-9), 0))
-    out = np.rint(t + spread * rng.normal(size=len(n)))
+    curve = lambda y: np.log(1 - d + 1 / np.expm1(y) - d / np.expm1(d * y)) + np.log(np.expm1(y))
+    slope = (curve(y * 1.001) - curve(y * 0.999)) / np.minimum(t1 - t0, -1e-300)  # of the saddle point's width, which moves the mode
+    mean = t + 0.5 - np.clip(spread**2 * slope / 2, -t, t)
+    out = np.rint(mean + spread * rng.normal(size=len(n)))
     few = (a + 1) * weight < 0.2 * (1 - weight) * n**d
     out[few] = 1 + rng.negative_binomial((a + 1)[few], (1 - weight)[few])
     return np.clip(out, 1, n)
@@ -144,12 +159,12 @@ def draw_many_tables(n: np.ndarray, others: np.ndarray, weight: np.ndarray, disc
 class Seating:
     """Tables of dishes (restaurant ``place``, ``n`` customers); beyond: tables of the same restaurants that are seated elsewhere."""
 
-    def __init__(self, place: np.ndarray, n: np.ndarray, beyond: np.ndarray, discount: float, rng: np.random.Generator):
+    def __init__(self, place: np.ndarray, n: np.ndarray, beyond: np.ndarray, discount: float, rng: np.random.Generator, exact: int = EXACT):
         self.place, self.n, self.beyond, self.discount, self.rng = place, n, beyond, discount, rng
         self.tables = (n > 0).astype(float)
         order = np.argsort(n, kind="stable")
         order = order[np.searchsorted(n[order], 2) :]
-        self.large = order[np.searchsorted(n[order], EXACT + 1) :]
+        self.large = order[np.searchsorted(n[order], exact + 1) :]
         order = order[: len(order) - len(self.large)]
         edges = np.flatnonzero(np.diff(n[order], prepend=0))
         self.groups = [(int(n[order[i]]), order[i:j]) for i, j in pairwise([*edges, len(order)])]
@@ -242,14 +257,14 @@ class Entries:
 class Part:
     """The restaurants of one part: distinct pairs of words with their counts in texts that are learned from."""
 
-    def __init__(self, rows: Iterator[tuple]):
+    def __init__(self, rows: Iterator[tuple], merge: int):
         held: list[tuple] = []
         volume, self.keys, self.code, self.n = 0, np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         for r in rows:
             e = Entries(*r)
             held.append((e.words, e.first[e.heads], e.second[e.heads], np.add.reduceat(e.learned, e.heads)))
             volume += len(e.heads)
-            if volume >= PART // 2:
+            if volume >= merge:
                 self._merge(held)
                 held, volume = [], 0
         self._merge(held)
@@ -344,13 +359,13 @@ class _Root:
     def _summed(at: np.ndarray, values: list[np.ndarray], n: int) -> np.ndarray:
         return np.bincount(at, np.concatenate(values), n).astype(np.int64) if n else np.zeros(0, np.int64)
 
-    def seat(self, to: int, kind: int) -> np.ndarray:
+    def seat(self, to: int, kind: int, sizes: Sizes) -> np.ndarray:
         """Tables of each word in the root: of the last sweep, or in the second round the mean."""
         words, _, _, ones, twos, *_ = self.totals[0]
         known = words if kind == FIRST else self.totals[1][0]
-        seating = Seating(np.zeros(len(self.guests), np.int64), self.guests, np.array([max(0.0, known - (self.guests > 0).sum())]), discount_of(ones, twos), np.random.default_rng((to, kind)))
+        seating = Seating(np.zeros(len(self.guests), np.int64), self.guests, np.array([max(0.0, known - (self.guests > 0).sum())]), discount_of(ones, twos), np.random.default_rng((to, kind)), sizes.exact)
         weight = np.full(len(self.guests), 1 / (words + 1))
-        return seating.averaged(weight, SWEEPS, SWEEPS - 1 if kind == FIRST else BURN_IN)
+        return seating.averaged(weight, sizes.sweeps, sizes.sweeps - 1 if kind == FIRST else sizes.burn_in)
 
     def answers(self, tables: np.ndarray, kind: int) -> Iterator[tuple]:
         """(part, guests, tables, counts, customers, tables) to each part that asked: guests and tables of its words, their counts, customers and tables of its first words with rooms elsewhere."""
@@ -382,8 +397,8 @@ class _Told:
 class _Model:
     """A part's restaurants, seated by what the root has told."""
 
-    def __init__(self, to: int, part: Part, told: _Told, hot: np.ndarray, roots: int):
-        self.part, self.told = part, told
+    def __init__(self, to: int, part: Part, told: _Told, hot: np.ndarray, roots: int, sizes: Sizes):
+        self.part, self.told, self.sizes = part, told, sizes
         self.words, self.tokens, self.cells, self.ones, self.twos, c1, c2 = told.totals[0]
         self.discount, self.root_discount = discount_of(c1, c2), discount_of(self.ones, self.twos)
         self.order, _ = part.by_root(roots)
@@ -392,10 +407,10 @@ class _Model:
         self.own = np.bincount(part.first, part.n, width)
         self.customers = self.own.copy()
         self.customers[self.rooms] = told.joined(FIRST, 3)
-        self.seating = Seating(part.first, part.n, np.zeros(width), self.discount, np.random.default_rng((to, 2)))
+        self.seating = Seating(part.first, part.n, np.zeros(width), self.discount, np.random.default_rng((to, 0)), sizes.exact)
         self._beyond(FIRST)
         weight = self.parent(FIRST)[part.second]
-        for _ in range(SETTLE):
+        for _ in range(sizes.settle):
             self.seating.sweep(weight)
 
     def _beyond(self, round_: int) -> None:
@@ -415,7 +430,7 @@ class _Model:
         """(probability of each pair without the parent's share, that share by first word, the parent by second word)."""
         self._beyond(SECOND)
         parent = self.parent(SECOND)
-        tables = self.seating.averaged(parent[self.part.second], SWEEPS, BURN_IN)
+        tables = self.seating.averaged(parent[self.part.second], self.sizes.sweeps, self.sizes.burn_in)
         total = np.bincount(self.part.first, tables, len(self.part.keys)) + self.seating.beyond
         down = CONCENTRATION + self.customers
         return np.maximum(self.part.n - self.discount * tables, 0) / down[self.part.first], (CONCENTRATION + self.discount * total) / down, parent
@@ -424,9 +439,9 @@ class _Model:
 # the operator ---------------------------------------------------------------------------------
 
 
-def hot_words(rows: DataFrame, tokens: int) -> tuple[np.ndarray, np.ndarray]:
+def hot_words(rows: DataFrame, tokens: int, sizes: Sizes) -> tuple[np.ndarray, np.ndarray]:
     """(keys, rooms) of words that come first in so many pairs that one part should not hold them all; the 100,000 most frequent at most."""
-    if tokens <= PART:
+    if tokens <= sizes.pairs:
         return np.zeros(0, U64), np.zeros(0, np.int64)
 
     def count(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -439,21 +454,21 @@ def hot_words(rows: DataFrame, tokens: int) -> tuple[np.ndarray, np.ndarray]:
                 seen.clear()
         yield from seen.items()
 
-    sample = rows.filter(F.pmod(F.xxhash64("data", "row"), F.lit(SAMPLE)) == 0).select("data")
-    found = map_rows(sample, count, "key long, n long").groupBy("key").agg((F.sum("n") * SAMPLE).alias("n")).filter(F.col("n") * 4 >= PART)
-    found = sorted((np.int64(r["key"]).view(np.uint64), -(-4 * r["n"] // PART)) for r in found.orderBy(F.desc("n"), "key").limit(100_000).collect())
+    sample = rows.filter(F.pmod(F.xxhash64("data", "row"), F.lit(sizes.sample)) == 0).select("data")
+    found = map_rows(sample, count, "key long, n long").groupBy("key").agg((F.sum("n") * sizes.sample).alias("n")).filter(F.col("n") * 4 >= sizes.pairs)
+    found = sorted((np.int64(r["key"]).view(np.uint64), -(-4 * r["n"] // sizes.pairs)) for r in found.orderBy(F.desc("n"), "key").limit(100_000).collect())
     return np.array([k for k, _ in found], U64), np.array([n for _, n in found], np.int64)
 
 
-def score(df: DataFrame, learns: Column, id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(df: DataFrame, learns: Column, id: str = "doc_id", text: str = "text", sizes: Sizes = Sizes()) -> DataFrame:
     """One row per input row: id, n_tokens, n_known, train_tokens, base_score, score, perplexity. The model learns from rows under ``learns``."""
     rows = df.select(F.col(quoted(id)).alias("doc"), as_bytes(quoted(text)).alias("data"), F.coalesce(learns, F.lit(False)).alias("learns"), F.monotonically_increasing_id().alias("row"))
     kind = rows.schema["doc"].dataType.simpleString()
     size = df.agg(F.sum(F.octet_length(quoted(text))).alias("n"), F.count("*").alias("rows")).first()
     tokens = (size["n"] or 0) // 6 + size["rows"]
-    parts = max(4, -(-tokens // PART))
+    parts = max(4, -(-tokens // sizes.pairs))
     spread = parts
-    hot, rooms = hot_words(rows, tokens)
+    hot, rooms = hot_words(rows, tokens, sizes)
     shared = df.sparkSession.sparkContext.broadcast((hot, rooms))  # at most 100,000 words
     columns = f"{_MESSAGE}, ids array<{kind}>"
 
@@ -476,7 +491,7 @@ def score(df: DataFrame, learns: Column, id: str = "doc_id", text: str = "text")
             learned.append(learn)
             ids.append(doc)
             n += len(texts[-1])
-            if n >= TOKENS:
+            if n >= sizes.chunk:
                 yield from sent()
                 chunk, texts, learned, ids, n = chunk + 1, [], [], [], 0
         if texts:
@@ -486,7 +501,7 @@ def score(df: DataFrame, learns: Column, id: str = "doc_id", text: str = "text")
 
     def ask(rows: Iterator[tuple]) -> Iterator[tuple]:
         for to, group in groupby(rows, key=lambda r: r[0]):
-            part = Part(r[3:8] for r in group if r[1] == PAIRS)
+            part = Part((r[3:8] for r in group if r[1] == PAIRS), sizes.pairs // 2)
             if not len(part.keys):
                 continue
             known, counts = part.tables_by_word(part.n > 0).astype(np.int64), part.tables_by_word(part.n).astype(np.int64)
@@ -518,7 +533,7 @@ def score(df: DataFrame, learns: Column, id: str = "doc_id", text: str = "text")
             for slot, group in groupby(rows, key=lambda r: r[0]):
                 to = number[slot]
                 root = _Root(r for r in group if r[1] != TOTALS or r[2] >= 0)
-                tables = root.seat(to, kind)
+                tables = root.seat(to, kind, sizes)
                 for part, *x in root.answers(tables, kind):
                     yield part, kind, to, *x
                 yield -1, TOTALS, to, np.array([tables.sum(), root.guests.sum()]).tobytes(), b"", b"", b"", b""
@@ -543,8 +558,8 @@ def score(df: DataFrame, learns: Column, id: str = "doc_id", text: str = "text")
                 for r in some:
                     told.add(*r[2:9])
             elif step == 1:
-                part = Part(r[4:9] for r in some if r[2] == PAIRS)
-                model = _Model(to, part, told, shared.value[0], parts) if len(part.keys) else None
+                part = Part((r[4:9] for r in some if r[2] == PAIRS), sizes.pairs // 2)
+                model = _Model(to, part, told, shared.value[0], parts, sizes) if len(part.keys) else None
                 rest = next(steps, (2, iter(())))[1]
                 return model, rest
         return None, iter(())
