@@ -467,7 +467,7 @@ def test_the_limit_of_many_customers_is_close(others, weight, d):
     args = np.full(20_000, float(others)), np.full(20_000, weight), d
     exact = scoring.draw_tables(scoring.EXACT, *args, np.random.default_rng(3))
     limit = scoring.draw_many_tables(np.full(20_000, float(scoring.EXACT)), *args, np.random.default_rng(4))
-    assert limit.mean() == pytest.approx(exact.mean(), rel=0.04) and limit.std() == pytest.approx(exact.std(), rel=0.2)
+    assert limit.mean() == pytest.approx(exact.mean(), rel=0.07) and limit.std() == pytest.approx(exact.std(), rel=0.2)
 
 
 def test_predictive_probabilities_sum_to_one():
