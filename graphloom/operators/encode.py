@@ -2,8 +2,8 @@
 
 Ingest rows carry ``seq`` (order of the graph) and ``pos`` (order inside it), since rows of a table
 have no order. A dense id is the rank of the first (seq, pos); ranks are found without gathering
-all rows in one task: rows are cut into ranges of seq, ranges are counted, and a rank is the number
-of rows in earlier ranges plus the rank inside its own.
+all rows in one task: rows are sorted into ranges of about equal size and written once, ranges are
+counted, and a rank is the number of rows in earlier ranges plus the place inside its own.
 """
 
 from __future__ import annotations
@@ -13,16 +13,20 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import labels
 
-RANGE = 4_096
+from .lineage import settled
 
+_PLACE = 33  # bits of a place inside its range, by definition of monotonically_increasing_id
 
-def dense(df: DataFrame, by: list[str], name: str, start: int = 0, width: int = RANGE) -> DataFrame:
-    """df with a dense id by the columns ``by``, the first of which is a number of moderate gaps."""
-    ranged = df.withColumn("_range", F.floor(F.col(by[0]) / width))
-    # one row a range: the table that a single task sums up is ``width`` times smaller than the order's span
+
+def dense(df: DataFrame, by: list[str], name: str, start: int = 0) -> DataFrame:
+    """df with a dense id by the columns ``by``, which should tell its rows apart."""
+    parts = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = settled(df.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()), name)
+    ranged = ranged.withColumn("_range", F.shiftright("_at", _PLACE))
+    # one row a range, of which there are as many as partitions
     before = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_range").orderBy(*by)) - 1
-    return ranged.withColumn("_inside", rank).join(before, "_range").withColumn(name, (F.col("_before") + F.col("_inside") + start).cast("long")).drop("_range", "_inside", "_before")
+    place = F.col("_at").bitwiseAND(F.lit((1 << _PLACE) - 1))
+    return ranged.join(F.broadcast(before), "_range").withColumn(name, (F.col("_before") + place + start).cast("long")).drop("_range", "_at", "_before")
 
 
 def upper_codes(df: DataFrame) -> DataFrame:
@@ -57,6 +61,11 @@ def last_writer(nodes: DataFrame, order: str) -> DataFrame:
     return nodes.groupBy("graph_code", "seq", "node_label").agg(F.max_by(F.struct("coords", "b_factor"), order).alias("_last")).select("graph_code", "seq", "node_label", "_last.coords", "_last.b_factor")
 
 
+def node_matrix(nodes: DataFrame) -> DataFrame:
+    """One row a node label of all graphs: attributes of the last graph (by seq) that has it."""
+    return nodes.groupBy("node_label").agg(F.max_by(F.struct("graph_code", "coords", "b_factor"), F.struct("seq", "pos")).alias("_last")).select("node_label", "_last.*")
+
+
 def graph_nodes(nodes: DataFrame, graphs: DataFrame, dictionary: DataFrame) -> DataFrame:
     """graph_id, node_id, coords, b_factor; of repeated rows the last by pos stays."""
     once = nodes.groupBy("graph_code", "node_label").agg(F.max_by(F.struct("coords", "b_factor"), "pos").alias("a"))
@@ -100,15 +109,17 @@ def edge_value_pool(members: DataFrame) -> DataFrame:
 
 
 def node_mapping(members: DataFrame, pool: DataFrame) -> DataFrame:
-    """graph_id, node_id, coords_value, b_factor_value."""
+    """graph_id, node_id, coords_value, b_factor_value; a null value has its own entry in the pool."""
     coords = pool.filter("attr = 'coords'").select(F.col("value_id").alias("coords_value"), "coords")
     factor = pool.filter("attr = 'b_factor'").select(F.col("value_id").alias("b_factor_value"), F.col("num").alias("b_factor"))
-    return members.join(coords, "coords").join(factor, "b_factor").select("graph_id", "node_id", "coords_value", "b_factor_value")
+    placed = members.alias("m").join(coords.alias("c"), F.col("m.coords").eqNullSafe(F.col("c.coords"))).join(factor.alias("f"), F.col("m.b_factor").eqNullSafe(F.col("f.b_factor")))
+    return placed.select("m.graph_id", "m.node_id", "coords_value", "b_factor_value")
 
 
 def edge_mapping(members: DataFrame, pool: DataFrame) -> DataFrame:
-    """graph_id, edge_id, distance_value, kind_values (ascending)."""
+    """graph_id, edge_id, distance_value, kind_values (ascending; null without a kind)."""
     distance = pool.filter("attr = 'distance'").select(F.col("value_id").alias("distance_value"), F.col("num").alias("distance"))
     kind = pool.filter("attr = 'kind'").select(F.col("value_id").alias("kind_value"), F.col("str").alias("kind"))
     kinds = members.select("graph_id", "edge_id", F.explode("kinds").alias("kind")).join(kind, "kind").groupBy("graph_id", "edge_id").agg(F.sort_array(F.collect_list("kind_value")).alias("kind_values"))
-    return members.join(distance, "distance").select("graph_id", "edge_id", "distance_value").join(kinds, ["graph_id", "edge_id"], "left")
+    placed = members.alias("m").join(distance.alias("d"), F.col("m.distance").eqNullSafe(F.col("d.distance"))).select("m.graph_id", "m.edge_id", "distance_value")
+    return placed.join(kinds, ["graph_id", "edge_id"], "left")

@@ -29,10 +29,12 @@ def complete_edges(sizes: DataFrame) -> DataFrame:
     return sizes.filter("n > 0").withColumn("source", ids()).withColumn("target", ids()).filter("source <> target").select("graph_id", "source", "target")
 
 
-def batched(edges: DataFrame, n: int, batch_size: int) -> DataFrame:
-    """batch, source, target, weight: one edge list repeated with indices offset by n a repetition."""
-    repeated = edges.select("source", "target", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(batch_size - 1).cast("long"))).alias("batch"))
-    return repeated.select("batch", (F.col("source") + n * F.col("batch")).alias("source"), (F.col("target") + n * F.col("batch")).alias("target"), F.lit(1.0).alias("weight"))
+def batched(edges: DataFrame, n: int | str, batch_size: int) -> DataFrame:
+    """batch, source, target, weight and other columns: edge lists repeated with indices offset by n (a number or a column) a repetition."""
+    n = F.col(n) if isinstance(n, str) else F.lit(n)
+    others = [c for c in edges.columns if c not in ("source", "target")]
+    repeated = edges.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(batch_size - 1).cast("long"))).alias("batch"))
+    return repeated.select(*others, "batch", (F.col("source") + n * F.col("batch")).alias("source"), (F.col("target") + n * F.col("batch")).alias("target"), F.lit(1.0).alias("weight"))
 
 
 def features(*arrays: str):
@@ -75,6 +77,27 @@ def message_round(nodes: DataFrame, edges: DataFrame, how: str = "mean", width:
     return nodes.select("graph_id", "node_id").join(got, ["graph_id", "node_id"], "left").select("graph_id", "node_id", *[F.coalesce(f"x{i}", F.lit(0.0)).alias(f"x{i}") for i in range(width)])
 
 
+def normalised_round(nodes: DataFrame, edges: DataFrame, width: int = 3) -> DataFrame:
+    """Neighbour aggregation with self-loops, weighted by 1 / sqrt(degree of both ends): graph_id, node_id, x0.."""
+    sent = both_ways(edges.select("graph_id", "u", "v")).unionByName(nodes.select("graph_id", F.col("node_id").alias("u"), F.col("node_id").alias("v")))
+    degree = sent.groupBy("graph_id", F.col("u").alias("node_id")).agg(F.count("*").alias("d"))
+    at = nodes.select("graph_id", "node_id", "coords").join(degree, ["graph_id", "node_id"])
+    sent = sent.join(at.select("graph_id", F.col("node_id").alias("v"), "coords", F.col("d").alias("dv")), ["graph_id", "v"])
+    got = sent.groupBy("graph_id", F.col("u").alias("node_id")).agg(*[F.sum(F.get("coords", F.lit(i)) / F.sqrt("dv")).alias(f"x{i}") for i in range(width)])
+    return got.join(degree, ["graph_id", "node_id"]).select("graph_id", "node_id", *[(F.col(f"x{i}") / F.sqrt("d")).alias(f"x{i}") for i in range(width)])
+
+
+def attention_round(nodes: DataFrame, edges: DataFrame, width: int = 3) -> DataFrame:
+    """Neighbour aggregation weighted by the softmax of the ends' dot product: graph_id, node_id, x0..; 0 without neighbours."""
+    side = lambda end: nodes.select("graph_id", F.col("node_id").alias(end), F.col("coords").alias(f"{end}_at"))
+    sent = both_ways(edges.select("graph_id", "u", "v")).join(side("u"), ["graph_id", "u"]).join(side("v"), ["graph_id", "v"])
+    dot = sum((F.get("u_at", F.lit(i)) * F.get("v_at", F.lit(i)) for i in range(width)), F.lit(0.0))
+    top = Window.partitionBy("graph_id", "u")
+    weighed = sent.withColumn("dot", dot).withColumn("w", F.exp(F.col("dot") - F.max("dot").over(top)))
+    got = weighed.groupBy("graph_id", F.col("u").alias("node_id")).agg(*[(F.sum(F.col("w") * F.get("v_at", F.lit(i))) / F.sum("w")).alias(f"x{i}") for i in range(width)])
+    return nodes.select("graph_id", "node_id").join(got, ["graph_id", "node_id"], "left").select("graph_id", "node_id", *[F.coalesce(f"x{i}", F.lit(0.0)).alias(f"x{i}") for i in range(width)])
+
+
 def equivariant_round(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The coordinate part of an E(n)-equivariant round with unit weights: x + mean of normalised differences."""
     sent = radial(nodes, both_ways(edges.select("graph_id", "u", "v")), normalise=True)

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset (tests), a folder in the warehouse."""
+    """``spark.checkpoint.dir``; where it is unset, in local mode a folder in the warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_shared")
         spark.sparkContext.setCheckpointDir(configured)
     return configured

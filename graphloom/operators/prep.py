@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 SUPERFAMILY = r"^([a-z]\.\d+\.\d+)"
 
 
-def ticket(key: Column, seed: int, modulus: int = 10_007) -> Column:
-    """A pseudorandom number of an integer key that any SQL engine can restate."""
-    return F.pmod(key * 7919 + F.lit(seed) * 104_729, F.lit(modulus))
+TICKETS = 2_147_483_647  # a prime, so that keys below it have different tickets
+
+
+def ticket(key: Column, seed: int) -> Column:
+    """A pseudorandom number below TICKETS of an integer key, that any SQL engine can restate."""
+    return F.pmod(F.pmod(F.pmod(key, F.lit(TICKETS)) * 48_271 + F.lit(seed) * 104_729, F.lit(TICKETS)) * 16_807 + 11, F.lit(TICKETS))
 
 
 def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -41,13 +44,14 @@ def without(df: DataFrame, key: str, obsolete: DataFrame) -> DataFrame:
     return df.join(obsolete.select(F.col(obsolete.columns[0]).alias(key)), key, "left_anti")
 
 
-def stratified(df: DataFrame, cls: str, key: str, shares: tuple[float, float] = (0.70, 0.15), seed: int = 42, salt: int = 32) -> DataFrame:
+def stratified(df: DataFrame, cls: str, key: str, shares: tuple[float, float] = (0.70, 0.15), seed: int = 42, rows_a_range: int = 50_000) -> DataFrame:
     """df with ``split`` train / valid / test by rank inside each class.
 
-    Ranks inside a class are taken in ranges of tickets, so a class of any size is ranked by many
-    tasks.
+    Ranks inside a class are taken in ranges of tickets, as many as the rows of df need, so a class
+    of any size is ranked by many tasks.
     """
-    rows = df.withColumn("_t", ticket(F.col(key), seed)).withColumn("_b", F.floor(F.col("_t") * salt / 10_007))
+    ranges = max(32, df.count() // rows_a_range)
+    rows = df.withColumn("_t", ticket(F.col(key), seed)).withColumn("_b", F.floor(F.col("_t") * ranges / TICKETS))
     per = rows.groupBy(cls, "_b").agg(F.count("*").alias("_n"))
     over = Window.partitionBy(cls)
     per = per.select(cls, "_b", (F.sum("_n").over(over.orderBy("_b")) - F.col("_n")).alias("_before"), F.sum("_n").over(over).alias("_all"))

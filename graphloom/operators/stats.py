@@ -41,7 +41,7 @@ def redundancy(store: GraphStore) -> DataFrame:
 
 def _width(df: DataFrame, c: str) -> Column:
     kind = df.schema[c].dataType.simpleString()
-    if kind == "string":
+    if kind in ("string", "binary"):
         return F.coalesce(F.octet_length(c), F.lit(0))
     if kind == "array<string>":
         return F.coalesce(F.aggregate(c, F.lit(0), lambda s, x: s + F.octet_length(x)), F.lit(0))

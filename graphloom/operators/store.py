@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -244,6 +244,23 @@ class GraphStore:
         meta = spark.read.parquet(f"{path}/store_meta").first()
         return GraphStore(*(spark.read.parquet(f"{path}/{t}").drop("bucket") for t in TABLES), meta=Meta.of_json(meta["meta"]))
 
+    @staticmethod
+    def read_graphs(spark: SparkSession, path: str, codes: Iterable[str]) -> "GraphStore":
+        """A store of some graphs, named by a list: their bucket folders and the dictionary entries that they use."""
+        store, buckets = GraphStore.read(spark, path), spark.read.parquet(f"{path}/store_meta").first()["buckets"]
+        found = store.graphs.filter(F.col("graph_code").isin(sorted({c.strip().upper() for c in codes})))
+        ids = [r["graph_id"] for r in found.select("graph_id").collect()]
+        within = F.col("bucket").isin(sorted({i % buckets for i in ids})) & F.col("graph_id").isin(ids)
+        members = {t: spark.read.parquet(f"{path}/{t}").filter(within).drop("bucket") for t in ("graph_nodes", "graph_edges")}
+        return replace(store, graphs=found, **members)
+
+    def annotate(self, *attributes: Callable[["GraphStore"], DataFrame]) -> "GraphStore":
+        """The store with more columns of its graphs: each function makes (graph_id, value columns) from the store; a graph without a row has nulls."""
+        graphs = self.graphs
+        for f in attributes:
+            graphs = graphs.join(f(self), "graph_id", "left")
+        return replace(self, graphs=graphs)
+
     @staticmethod
     def read_graph(spark: SparkSession, path: str, code: str) -> "GraphStore":
         """A store of one graph: two bucket folders and the dictionary entries that it uses."""

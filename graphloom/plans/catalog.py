@@ -66,6 +66,20 @@ def store(spark: SparkSession, d: str) -> GraphStore:
     return _once("store", spark, d, lambda: fresh(spark, d).settled())
 
 
+def written(spark: SparkSession, d: str) -> str:
+    """The path of that collection, with memberships in bucket folders."""
+
+    def make():
+        store(spark, d).write(path := f"{shared_dir(spark)}/graphloom-written-{uuid.uuid4().hex}")
+        return path
+
+    return _once("written", spark, d, make)
+
+
+def chosen(spark: SparkSession, d: str) -> GraphStore:
+    return GraphStore.read_graphs(spark, written(spark, d), CODES)
+
+
 def xyz(at: str = "coords") -> list:
     return [F.get(at, F.lit(i)).alias(c) for i, c in enumerate("xyz")]
 
@@ -152,19 +166,15 @@ def batch_build_last_writer(spark, d):
     return encode.last_writer(overlays.order_rows(spark, d), "version").select("graph_code", "node_label", *xyz(), "b_factor")
 
 
-@query(q.raw("select graph_code, node_label from raw_nodes"))
-def strip_attributes(spark, d):
-    return ingest(spark, d)[0].select("graph_code", "node_label")
+@query(q.raw("select node_label, max_by(graph_code, {'s': seq, 'p': pos}) as graph_code, max_by(x, {'s': seq, 'p': pos}) as x, max_by(y, {'s': seq, 'p': pos}) as y, max_by(z, {'s': seq, 'p': pos}) as z, max_by(b_factor, {'s': seq, 'p': pos}) as b_factor from raw_nodes group by 1"))
+def node_matrix_last_writer(spark, d):
+    """One row a node of the dictionary: attributes of the last graph that has it."""
+    return encode.node_matrix(ingest(spark, d)[0]).select("node_label", "graph_code", *xyz(), "b_factor")
 
 
-@query(q.nodes("select graph_code, seq, node_id, node_label from graph_nodes where seq < 200"))
-def insert_incremental(spark, d):
-    """Half of the first graphs built, the rest and some known ones inserted."""
-    nodes, edges = (df.filter("seq < 200") for df in ingest(spark, d))
-    early = GraphStore.build(nodes.filter("seq < 100"), edges.filter("seq < 100"), META)
-    grown = early.insert(nodes.filter("seq >= 50"), edges.filter("seq >= 50"))
-    seqs = nodes.select("graph_code", "seq").distinct()
-    return grown.extract_nodes().join(seqs, "graph_code").select("graph_code", "seq", "node_id", "node_label")
+@query(q.raw("select graph_code, node_label from raw_nodes"))
+def strip_attributes(spark, d):
+    return store(spark, d).extract_nodes().select("graph_code", "node_label")
 
 
 def ranked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -181,7 +191,7 @@ def part(df: DataFrame, cond: str) -> DataFrame:
 
 
 @query(q.nodes("select graph_code, seq, node_id, node_label from graph_nodes"))
-def insert_incremental_whole(spark, d):
+def insert_incremental(spark, d):
     """The first six tenths of all graphs built, the last six inserted: two of them are known."""
     nodes, edges, graphs = ranked(spark, d)
     early = GraphStore.build(part(nodes, "part < 6"), part(edges, "part < 6"), META).settled()
@@ -207,17 +217,30 @@ def decoded(df: DataFrame) -> DataFrame:
 
 @query(q.nodes(f"{NODE_OUT} where gn.graph_code = 'O7' order by node_id"))
 def extract_nodes(spark, d):
-    return decoded(store(spark, d).extract("o7")[0]).orderBy("node_id")
+    return decoded(GraphStore.read_graph(spark, written(spark, d), "o7").extract("o7")[0]).orderBy("node_id")
 
 
 @query(q.edges("select graph_code, edge_id, src_label, dst_label, distance, kinds from graph_edges where graph_code = 'O7'"))
 def extract_edges(spark, d):
-    return store(spark, d).extract("o7")[1].select("graph_code", "edge_id", "src_label", "dst_label", "distance", joined())
+    return GraphStore.read_graph(spark, written(spark, d), "o7").extract("o7")[1].select("graph_code", "edge_id", "src_label", "dst_label", "distance", joined())
 
 
 @query(q.nodes(f"{NODE_OUT} where gn.graph_code in ('O7', 'O11', 'O12')"))
 def extract_many(spark, d):
-    return decoded(store(spark, d).extract_many(CODES)[0])
+    return decoded(chosen(spark, d).extract_many(CODES)[0])
+
+
+@query(q.edges("select graph_code, edge_id, src_label, dst_label, distance, kinds from graph_edges where graph_code in ('O7', 'O11', 'O12')"))
+def extract_many_edges(spark, d):
+    return chosen(spark, d).extract_many(CODES)[1].select("graph_code", "edge_id", "src_label", "dst_label", "distance", joined())
+
+
+@query(q.edges("select graph_id, edge_id, node_id, node_label, src_label, dst_label from graph_edges join (select node_id, node_label from node_dict) on src_label = node_label"))
+def stored_collection(spark, d):
+    """A collection that was written to disk and is read back: each edge with its first node."""
+    s = GraphStore.read(spark, written(spark, d))
+    nodes = s.node_dict.select("node_id", "node_label")
+    return s.graph_edges.join(s.edge_dict, "edge_id").join(nodes, F.col("src_label") == F.col("node_label")).select("graph_id", "edge_id", "node_id", "node_label", "src_label", "dst_label")
 
 
 @query(q.edges("select graph_code, edge_id, src_label, dst_label, distance, kinds from graph_edges"))
@@ -284,20 +307,11 @@ def split_by_list(spark, d):
     return members(store(spark, d).split(CODES)[0])
 
 
-@query(q.raw(f"select graph_code, node_label, case when seq >= 100 then b_factor + {MOVED} else b_factor end as b_factor from raw_nodes where seq < 300"))
-def merge_last_wins(spark, d):
-    """Two overlapping ranges of orders; the second store holds moved values and wins where they overlap."""
-    nodes, edges = (df.filter("seq < 300") for df in ingest(spark, d))
-    old = GraphStore.build(nodes.filter("seq < 200"), edges.filter("seq < 200"), META)
-    new = GraphStore.build(nodes.filter("seq >= 100").withColumn("b_factor", F.col("b_factor") + MOVED), edges.filter("seq >= 100"), META)
-    return GraphStore.merge([old, new]).extract_nodes().select("graph_code", "node_label", "b_factor")
-
-
 TENTHS = "tenths as (select graph_code, graph_id * 10 // (select count(*) from graphs) as tenth from graphs)"
 
 
 @query(f"with {q.ROWS}{q.NODE_TABLES}, {TENTHS} select graph_code, node_label, case when tenth >= 4 then b_factor + {MOVED} else b_factor end as b_factor from raw_nodes join tenths using (graph_code)")
-def merge_last_wins_whole(spark, d):
+def merge_last_wins(spark, d):
     """All graphs: the first six tenths and, with moved values that win, the last six."""
     nodes, edges, _ = ranked(spark, d)
     old = GraphStore.build(part(nodes, "part < 6"), part(edges, "part < 6"), META).settled()
@@ -305,6 +319,31 @@ def merge_last_wins_whole(spark, d):
     return GraphStore.merge([old, new]).extract_nodes().select("graph_code", "node_label", "b_factor")
 
 
+SURVIVING_EDGES = """, kept as (select graph_code, row_number() over (order by seq) - 1 as graph_id from graphs where {cond}),
+first as (select edge_id as old, src_label, dst_label, min(k.graph_id) as f from graph_edges ge join kept k using (graph_code) group by all),
+ids as (select src_label, dst_label, row_number() over (order by f, old) - 1 as edge_id from first)
+select graph_code, k.graph_id, ids.edge_id, src_label, dst_label, distance from graph_edges ge join kept k using (graph_code) join ids using (src_label, dst_label)"""
+
+
+def surviving_edges(cond: str) -> str:
+    return f"with {q.ROWS}{q.EDGES}{q.NODE_TABLES}{q.EDGE_TABLES}{SURVIVING_EDGES.format(cond=cond)}"
+
+
+def edge_members(s: GraphStore) -> DataFrame:
+    graphs = s.graphs.select("graph_id", "graph_code")
+    return s.graph_edges.join(graphs, "graph_id").join(s.edge_dict, "edge_id").select("graph_code", "graph_id", "edge_id", "src_label", "dst_label", "distance")
+
+
+@query(surviving_edges("graph_code not in ('O7', 'O11', 'O12')"))
+def remove_graphs_edges(spark, d):
+    return edge_members(store(spark, d).remove([*CODES, "unknown"]))
+
+
+@query(surviving_edges(f"graph_id >= {HALF}"))
+def split_halves_edges(spark, d):
+    return edge_members(store(spark, d).split()[1])
+
+
 @query(f"select sha256('{META.as_json()}') as fingerprint, 'CA' as granularity")
 def config_fingerprint(spark, d):
     return spark.createDataFrame([(META.as_json(), META.granularity)], "json string, granularity string").select(F.sha2("json", 256).alias("fingerprint"), "granularity")
@@ -384,9 +423,24 @@ def redundancy_ratio(spark, d):
     return stats.redundancy(store(spark, d))
 
 
-@query(q.nodes("select residue_name, min(residue_number) as first_number from node_dict group by 1"))
+@query(q.nodes("select residue_name, arg_min(residue_number, node_id) as first_number from node_dict group by 1"))
 def residue_first_value(spark, d):
-    return store(spark, d).node_dict.groupBy("residue_name").agg(F.min_by("residue_number", "residue_number").alias("first_number"))
+    """Of the node that was met first."""
+    return store(spark, d).node_dict.groupBy("residue_name").agg(F.min_by("residue_number", "node_id").alias("first_number"))
+
+
+@query(f"{SIZES} select cast(sum(n_nodes) as bigint) as n_nodes from sizes where graph_code in ('O7', 'O11', 'O12')")
+def nodes_of_a_list(spark, d):
+    s = store(spark, d)
+    return stats.totals(stats.graph_sizes(s.keep(CODES, compact=False))).select("n_nodes")
+
+
+@query(q.nodes("select graph_id, graph_code, seq, round(avg(b_factor), 6) as mean_b_factor, max(z) as top_z from graph_nodes group by all"))
+def graph_annotations(spark, d):
+    """Graph-level attributes by functions of the store."""
+    mean = lambda s: s.graph_nodes.groupBy("graph_id").agg(F.round(F.avg("b_factor"), 6).alias("mean_b_factor"))
+    top = lambda s: s.graph_nodes.groupBy("graph_id").agg(F.max(F.get("coords", F.lit(2))).alias("top_z"))
+    return store(spark, d).annotate(mean, top).graphs
 
 
 @query("select distinct 'O' || o_orderkey as code from orders")
@@ -424,6 +478,25 @@ def storage_savings(spark, d):
     return stats.savings(stats.footprint({"raw_nodes": nodes, "raw_edges": edges}), stats.footprint(GraphStore.build(nodes, edges, META).tables))
 
 
+@query(
+    f"with {q.ROWS}{q.EDGES}{q.NODE_TABLES}{q.EDGE_TABLES}{NODE_POOLS}{EDGE_POOLS},"
+    " parts as (select 'node_pool' as part, (select count(*) from coord_pool) + (select count(*) from factor_pool) as rows, (select count(*) from coord_pool) * (6 + 8 + 24 + 8) + (select count(*) from factor_pool) * (8 + 8 + 0 + 8) as bytes"
+    " union all select 'edge_pool', (select count(*) from distance_pool) + (select count(*) from kind_pool), (select count(*) from distance_pool) * (8 + 8 + 8) + (select sum(4 + 8 + 8 + strlen(kind)) from kind_pool)"
+    " union all select 'node_map', count(*), count(*) * 32 from graph_nodes union all select 'edge_map', count(*), count(*) * 24 + (select count(*) * 8 from kind_rows) from graph_edges"
+    " union all select 'node_bitmaps', count(*), count(*) * (8 + 8 + 4096 + 8) from (select distinct graph_id, (node_id + 32767) // 32768 from graph_nodes) union all select 'edge_bitmaps', count(*), count(*) * (8 + 8 + 4096 + 8) from (select distinct graph_id, (edge_id + 32767) // 32768 from graph_edges))"
+    " select part, rows, cast(bytes as bigint) as bytes from parts"
+)
+def footprint_pools(spark, d):
+    """What value pools, mappings and membership bitmaps would take."""
+    s = store(spark, d)
+    nodes, edges = settled(encode.node_value_pool(s.graph_nodes), "node-pool"), settled(encode.edge_value_pool(s.graph_edges), "edge-pool")
+    parts = {
+        "node_pool": nodes, "edge_pool": edges, "node_map": encode.node_mapping(s.graph_nodes, nodes), "edge_map": encode.edge_mapping(s.graph_edges, edges),
+        "node_bitmaps": encode.membership_bitmaps(s.graph_nodes, "node_id"), "edge_bitmaps": encode.membership_bitmaps(s.graph_edges, "edge_id"),
+    }
+    return stats.footprint(parts).select("part", "rows", "bytes")
+
+
 # preparation ----------------------------------------------------------------------------------
 
 
@@ -465,7 +538,7 @@ def complete_graph_filter(spark, d):
     return prep.complete(s.extract_nodes().select("graph_code", "coords"), stats.graph_sizes(s))
 
 
-TICKET = "((p_partkey * 7919 + 42 * 104729) % 10007)"
+TICKET = "((((p_partkey % 2147483647) * 48271 + 42 * 104729) % 2147483647 * 16807 + 11) % 2147483647)"
 
 
 @query(f"select p_partkey from part order by {TICKET}, p_partkey limit 100")
@@ -604,29 +677,17 @@ def edge_index(spark, d):
     return kernels.edge_index(*near(spark, d))
 
 
-SMALL = "small as (select graph_id, count(*) as n from graph_nodes where seq < 400 group by 1)"
-
-
-def small_sizes(spark: SparkSession, d: str) -> DataFrame:
-    s = store(spark, d)
-    return s.graph_nodes.join(s.graphs.filter("seq < 400"), "graph_id").groupBy("graph_id").agg(F.count("*").alias("n"))
-
-
-@query(f"with {q.ROWS}{q.NODE_TABLES}, {SMALL} select graph_id, a.i as source, b.i as target from small, range(0, 40) a(i), range(0, 40) b(i) where a.i < n and b.i < n and a.i <> b.i")
-def complete_edge_list(spark, d):
-    return kernels.complete_edges(small_sizes(spark, d))
-
-
 @query(f"with {q.ROWS}{q.NODE_TABLES}, sizes as (select graph_id, count(*) as n from graph_nodes group by 1), ids as (select graph_id, unnest(range(0, n)) as i from sizes) select graph_id, a.i as source, b.i as target from ids a join ids b using (graph_id) where a.i <> b.i")
-def complete_edge_list_whole(spark, d):
+def complete_edge_list(spark, d):
     """Of every graph of the store."""
     return kernels.complete_edges(store(spark, d).graph_nodes.groupBy("graph_id").agg(F.count("*").alias("n")))
 
 
-@query("select b.k as batch, s.i + 5 * b.k as source, t.i + 5 * b.k as target, cast(1.0 as double) as weight from range(0, 5) s(i), range(0, 5) t(i), range(0, 3) b(k) where s.i <> t.i")
+@query(f"with {q.ROWS}{q.NODE_TABLES}, sizes as (select graph_id, count(*) as n from graph_nodes group by 1), ids as (select graph_id, n, unnest(range(0, n)) as i from sizes) select a.graph_id, k as batch, a.i + a.n * k as source, b.i + a.n * k as target, cast(1.0 as double) as weight from ids a join ids b using (graph_id), range(0, 3) r(k) where a.i <> b.i")
 def batched_offsets(spark, d):
-    one = kernels.complete_edges(spark.createDataFrame([(0, 5)], "graph_id long, n long"))
-    return kernels.batched(one, 5, 3)
+    """The complete edge list of every graph, three times."""
+    sizes = store(spark, d).graph_nodes.groupBy("graph_id").agg(F.count("*").alias("n"))
+    return kernels.batched(kernels.complete_edges(sizes).join(sizes, "graph_id"), "n", 3).drop("n")
 
 
 @query(f"with {q.ROWS}{q.NODE_TABLES} select graph_id, node_id, {', '.join(f'cast({x} as double) as f{i}' for i, x in enumerate(DIMENSIONS))}, x as f7, y as f8, z as f9 from graph_nodes join node_dict d using (node_id, node_label) join (values {VECTOR_ROWS}) t(residue_name, {', '.join(DIMENSIONS)}) on t.residue_name = d.residue_name")
@@ -683,6 +744,28 @@ def message_round_mean(spark, d):
     return rounded(kernels.message_round(*near(spark, d)))
 
 
+@query(f"with {q.VECTORS}{NEAR}, got as (select two.graph_id, u as node_id, sum(x) as x, sum(y) as y, sum(z) as z from two join vectors s on s.node_id = v group by 1, 2) select graph_id, node_id, {rounded_sql('', ['coalesce(g.x, 0)', 'coalesce(g.y, 0)', 'coalesce(g.z, 0)'])} from vectors left join got g using (graph_id, node_id)")
+def message_round_add(spark, d):
+    return rounded(kernels.message_round(*near(spark, d), how="add"))
+
+
+LOOPS = ", loops as (select * from two union all select graph_id, node_id, node_id from vectors), degree as (select u as node_id, count(*) as d from loops group by 1)"
+
+
+@query(f"with {q.VECTORS}{NEAR}{LOOPS}, got as (select l.graph_id, u as node_id, sum(x / sqrt(e.d)) / sqrt(any_value(o.d)) as x, sum(y / sqrt(e.d)) / sqrt(any_value(o.d)) as y, sum(z / sqrt(e.d)) / sqrt(any_value(o.d)) as z from loops l join vectors s on s.node_id = v join degree e on e.node_id = v join degree o on o.node_id = u group by 1, 2) select graph_id, node_id, {rounded_sql('', ['x', 'y', 'z'])} from got")
+def message_round_normalised(spark, d):
+    return rounded(kernels.normalised_round(*near(spark, d)))
+
+
+@query(
+    f"with {q.VECTORS}{NEAR}, weighed as (select two.graph_id, u, exp(a.x * b.x + a.y * b.y + a.z * b.z) as w, b.x, b.y, b.z from two join vectors a on a.node_id = u join vectors b on b.node_id = v),"
+    " got as (select graph_id, u as node_id, sum(w * x) / sum(w) as x, sum(w * y) / sum(w) as y, sum(w * z) / sum(w) as z from weighed group by 1, 2)"
+    f" select graph_id, node_id, {rounded_sql('', ['coalesce(g.x, 0)', 'coalesce(g.y, 0)', 'coalesce(g.z, 0)'])} from vectors left join got g using (graph_id, node_id)"
+)
+def message_round_attention(spark, d):
+    return rounded(kernels.attention_round(*near(spark, d)))
+
+
 @query(
     f"with {q.VECTORS}{NEAR}, ends as (select two.graph_id, u, a.x - b.x as dx, a.y - b.y as dy, a.z - b.z as dz from two join vectors a on a.node_id = u join vectors b on b.node_id = v),"
     " scaled as (select *, sqrt(dx * dx + dy * dy + dz * dz) + 1e-8 as r from ends), got as (select graph_id, u as node_id, avg(dx / r) as x, avg(dy / r) as y, avg(dz / r) as z from scaled group by 1, 2)"
@@ -788,6 +871,25 @@ def read_csv(spark, d):
     return files.csv(spark, path, "o_orderkey long, o_orderstatus string")
 
 
+@query("select 'P' || p_partkey as id, p_brand as y from part where p_partkey % 10 >= 8")
+def read_split(spark, d):
+    """A benchmark table in one file, of which one split is read."""
+    name = F.when(F.col("p_partkey") % 10 >= 8, "test").otherwise("train")
+    rows = table(spark, d, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_brand").alias("y"), name.alias("split"))
+    sinks.results(rows, path := _text_path(spark))
+    return files.split(spark, path, "test").select("id", "y")
+
+
+@query("select chr(cast(65 + (p_partkey // 10000) % 26 as int)) || ':ALA:' || (p_partkey % 10000) || ':' || case when p_partkey % 2 = 0 then 'CA' else 'N' end as node_label, cast(p_size as double) as x, cast(p_partkey % 100 as double) as y, -1.5 as z, 20.25 as b_factor from part")
+def read_structures(spark, d):
+    """Fixed-width atom lines, read as nodes at atom granularity."""
+    n = F.col("p_partkey")
+    line = "ATOM  %5d %-4s %3s %1s%4d    %8.3f%8.3f%8.3f%6.2f%6.2f          %2s"
+    at = [(n % 100_000).cast("int"), F.when(n % 2 == 0, "CA").otherwise("N"), F.lit("ALA"), F.char(F.lit(65) + F.floor(n / 10_000) % 26), (n % 10_000).cast("int"), F.col("p_size").cast("double"), (n % 100).cast("double"), F.lit(-1.5), F.lit(1.0), F.lit(20.25), F.lit("C")]
+    table(spark, d, "part").select(F.format_string(line, *at).alias("value")).write.text(path := _text_path(spark))
+    return files.raw_nodes(files.structures(spark, path), "atom").select("node_label", *xyz(), "b_factor")
+
+
 @query(f"with {LOGGED} select event_id as timestamp, gib from logged")
 def read_samples(spark, d):
     logged(spark, d).select("event_id", "memory").write.csv(path := _text_path(spark))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCOPE = "domain_id string, pdb string, region string, sccs string, sunid long, hierarchy string"
+SPLITS = "id string, y string, split string"
 SAMPLES = "timestamp long, memory string"
 
 
@@ -24,6 +25,12 @@ def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
 
 
+def split(spark: SparkSession, path: str, name: str | None = None, schema: str = SPLITS) -> DataFrame:
+    """(id, y, split) of a benchmark table with a header, of one split or all."""
+    rows = csv(spark, path, schema)
+    return rows if name is None else rows.filter(F.col("split") == name)
+
+
 def samples(spark: SparkSession, path: str, schema: str = SAMPLES) -> DataFrame:
     """Headerless CSV."""
     return spark.read.schema(schema).csv(path)

@@ -29,7 +29,7 @@ def test_every_query_has_sql_but_those_that_cannot():
     assert set(QUERIES) - set(ORACLE_SQL) == {"edges_delaunay", "footprint_serialized"}
 
 
-@pytest.mark.parametrize("name", ["insert_incremental_whole", "merge_last_wins_whole"])
+@pytest.mark.parametrize("name", ["insert_incremental", "merge_last_wins"])
 def test_whole_table(spark, name):
     graphs = QUERIES["graph_catalog"](spark, DATA).count()
     assert QUERIES[name](spark, DATA).select("graph_code").distinct().count() == graphs > 400
@@ -37,5 +37,5 @@ def test_whole_table(spark, name):
 
 def test_complete_edge_list_of_all_graphs(spark):
     sizes = QUERIES["node_membership"](spark, DATA).groupBy("graph_id").count().collect()
-    got = {r.graph_id: r["count"] for r in QUERIES["complete_edge_list_whole"](spark, DATA).groupBy("graph_id").count().collect()}
+    got = {r.graph_id: r["count"] for r in QUERIES["complete_edge_list"](spark, DATA).groupBy("graph_id").count().collect()}
     assert got == {r.graph_id: r["count"] * (r["count"] - 1) for r in sizes if r["count"] > 1} and len(got) > 400

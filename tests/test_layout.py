@@ -16,7 +16,7 @@ def test_nothing_imports_the_corpus_operators():
 def test_entry_works_without_the_corpus_operators(monkeypatch):
     import __spark_entry__ as entry
 
-    monkeypatch.setattr(entry, "LLM", False)
+    monkeypatch.setattr(entry, "corpus", None)
     names = entry.queries()
     assert "extract_nodes" in names and not any(n.startswith("op") and n[2].isdigit() for n in names) and "pipeline" not in names
     assert set(entry.oracle_sql()) <= set(names)
