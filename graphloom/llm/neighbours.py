@@ -3,31 +3,36 @@
 Trees are fitted on a bounded sample (``SAMPLE`` vectors at most) by splitting between two random
 points; every vector of the table is then indexed in each tree. A query descends all trees through
 one shared priority queue of margins until the leaves it has met hold ``search`` sample points (a
-share of the index, if the table is larger than the sample). Candidates of these leaves are ranked
-exactly by cosine in double precision.
+share of the index, if the table is larger than the sample). By default ``search`` is found on the
+sample itself: so many that ``TARGET`` of the nearest sample points of some of them are met. The
+candidates of these leaves are ranked exactly by cosine in double precision.
+
+Vectors are stored once, in blocks of about ``BLOCK`` rows that are neighbours in the first tree. A
+query goes to the blocks that hold a candidate of its, with the list of its leaves; there the rows
+in one of these are ranked, each once.
 
 Equal vectors are one entry with its ``k + 1`` smallest ids, which is all that k neighbours can
-need; a third of all rows may be one vector. Large leaves are cut into blocks of ``BLOCK`` rows
-that meet the leaf's queries apart. No bucket is capped.
+need; a third of all rows may be one vector. No bucket is capped.
 
 Defined results: rows whose id or vector is null, or whose vector is zero, holds null or non-finite
-components, or isn't of the usual length, take no part. Ties go to the smaller id. Rows that repeat
-an id and a vector count once. An empty table gives no rows.
+components, or isn't of the usual length, take no part. Ties go to the smaller id, those of vectors
+of one direction too, as far as their cosines are equal in double precision. Rows that repeat an id
+and a vector count once. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, quoted, saved
+from .common import chunked, map_rows, quoted, saved
 
-SAMPLE, TREES, LEAF, SEARCH, BLOCK = 16_384, 16, 96, 12_000, 4_096
+SAMPLE, TREES, LEAF, BLOCK, TARGET, CLOSE = 16_384, 16, 96, 4_096, 0.985, 1e-9
 
 
 def usable(vector: Column, length: int) -> Column:
@@ -86,7 +91,7 @@ def leaves(forest: list[dict], vectors: np.ndarray) -> np.ndarray:
     return out
 
 
-def probes(forest: list[dict], vector: np.ndarray, search: int) -> Iterator[tuple[int, int]]:
+def probes(forest: list[dict], vector: np.ndarray, search: float) -> Iterator[tuple[int, int]]:
     """(tree, leaf) in the order of the queue that all trees share, until ``search`` sample points are met."""
     unit = vector / np.linalg.norm(vector)
     margins = [tree["normals"] @ unit - tree["offsets"] for tree in forest]
@@ -110,14 +115,34 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return dot(a, b) / (np.sqrt(dot(a, a)) * np.sqrt(dot(b, b)))
 
 
-def nearest(df: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE, trees: int = TREES, leaf: int = LEAF, search: int = SEARCH, block: int = BLOCK) -> DataFrame:
+def needed(forest: list[dict], points: np.ndarray, k: int, target: float = TARGET, queries: int = 128) -> int:
+    """Sample points to be met until a share ``target`` of the k nearest of some sample points have been."""
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    asked = np.linspace(0, len(points) - 1, min(queries, len(points))).astype(int)
+    at, found = leaves(forest, points), []
+    for i in asked:
+        near = unit @ unit[i]
+        near[i] = -np.inf
+        missing, met = set(np.argsort(-near)[: min(k, len(points) - 1)].tolist()), 0
+        for t, x in probes(forest, points[i], np.inf):
+            met += int(forest[t]["sizes"][x])
+            hit = [j for j in missing if at[j, t] == x]
+            found += [met] * len(hit)
+            missing -= set(hit)
+            if not missing:
+                break
+    return int(np.quantile(found, target)) if found else 1
+
+
+def nearest(df: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE, trees: int = TREES, leaf: int = LEAF, search: int | None = None, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: for each row under ``is_query`` its k nearest other rows found."""
     spark = df.sparkSession
+    nothing = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     kind = "array<float>" if df.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
     raw = df.select(F.col(quoted(id)).cast("long").alias("id"), F.col(quoted(vector)).cast(kind).alias("v"), is_query.alias("q")).filter("id is not null and v is not null")
     usual = raw.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     if not usual:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return nothing
     rows = raw.filter(usable(F.col("v"), usual[0]["n"])).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)).cast(kind))  # -0.0 is 0.0
     order = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     entries = rows.select("id", "v").distinct().withColumn("n", order).filter(F.col("n") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
@@ -129,65 +154,76 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id", vec
     share = min(1.0, sample / max(total, 1))
     chosen = entries.filter(F.pmod(F.xxhash64("entry", F.lit("sample")), F.lit(1 << 24)) < share * (1 << 24)).select("v").limit(2 * sample).toArrow()
     if not chosen.num_rows:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return nothing
     points = np.array(chosen["v"].combine_chunks().flatten(), float).reshape(chosen.num_rows, -1)
     points = points[np.lexsort(points.T)]  # the forest doesn't depend on the order of rows
-    forest = spark.sparkContext.broadcast(fit(points, trees, leaf))  # bounded by the sample
+    grown = fit(points, trees, leaf)
+    search = needed(grown, points, k) if search is None else search
+    forest = spark.sparkContext.broadcast(grown)  # bounded by the sample
+    first = np.cumsum([0] + [len(t["sizes"]) for t in grown])  # a leaf's code is its number over all trees
 
     def index(rows: Iterator[tuple]) -> Iterator[tuple]:
-        from .common import chunked
-
         for part in chunked(rows, 512):
-            found = leaves(forest.value, np.array([r[1] for r in part]))
+            found = leaves(forest.value, np.array([r[1] for r in part])) + first[:-1]
             for (entry, v), at in zip(part, found, strict=True):
-                for t, x in enumerate(at.tolist()):
-                    yield t, x, entry, v
+                yield entry, v, at.tolist()
 
     def search_(rows: Iterator[tuple]) -> Iterator[tuple]:
         for query, v in rows:
-            for t, x in probes(forest.value, np.array(v), search):
-                yield t, x, query, v
-
-    schema = f"tree int, leaf int, key long, v {kind}"
-    wide = lambda r: 8 * len(r[3])
-    stored, probing = map_rows(entries.select("entry", "v"), index, schema, wide), map_rows(queries.select("query", "v"), search_, schema, wide)
-    # one row a leaf: bounded by the sample; a leaf is cut into blocks by its size
-    blocks = stored.groupBy("tree", "leaf").count().select("tree", "leaf", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    stored = stored.join(F.broadcast(blocks), ["tree", "leaf"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    probing = probing.join(F.broadcast(blocks), ["tree", "leaf"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    both = stored.withColumn("asks", F.lit(False)).unionByName(probing.withColumn("asks", F.lit(True)))
+            yield query, v, [int(first[t]) + x for t, x in probes(forest.value, np.array(v), search)]
+
+    wide = lambda r: 8 * len(r[1]) + 8 * len(r[2])
+    stored = saved(map_rows(entries.select("entry", "v"), index, f"entry long, v {kind}, leaves array<int>", wide), "indexed")
+    # leaves of the first tree, of which there are as many as the sample allows: some make a block, or one makes several
+    sizes = {r["leaf"]: r["n"] for r in stored.groupBy(F.get("leaves", F.lit(0)).alias("leaf")).agg(F.count("*").alias("n")).collect()}
+    spans, last, held = [], 0, 0
+    for x in range(int(first[1])):
+        n = sizes.get(x, 0)
+        if held and held + n > block:
+            last, held = last + 1, 0
+        cut = max(1, -(-n // block))
+        spans.append((x, last, cut))
+        last, held = (last + cut, 0) if cut > 1 else (last, held + n)
+    places = F.broadcast(spark.createDataFrame(spans, "leaf int, low int, cut int"))
+    stored = stored.withColumn("leaf", F.get("leaves", F.lit(0))).join(places, "leaf").withColumn("block", (F.col("low") + F.pmod(F.xxhash64("entry"), F.col("cut"))).cast("int"))
+    probing = saved(map_rows(queries.select("query", "v"), search_, f"query long, v {kind}, leaves array<int>", wide), "probes")
+    held_by = stored.select("block", F.explode("leaves").alias("leaf")).distinct().groupBy("leaf").agg(F.collect_list("block").alias("blocks"))
+    meets = probing.select("query", F.explode("leaves").alias("leaf")).join(held_by, "leaf").groupBy("query").agg(F.array_distinct(F.flatten(F.collect_set("blocks"))).alias("blocks"))
+    sent = probing.join(meets, "query").select(F.explode("blocks").alias("block"), F.lit(True).alias("asks"), F.col("query").alias("key"), "v", "leaves")
+    both = stored.select("block", F.lit(False).alias("asks"), F.col("entry").alias("key"), "v", "leaves").unionByName(sent)
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = both.select("tree", "leaf", "block", "asks", "key", "v").repartition(parts, "tree", "leaf", "block").sortWithinPartitions("tree", "leaf", "block", "asks")
-
-    def best_of(q: list, s: list) -> Iterator[tuple]:
-        if not q or not s:
-            return
-        found, keys = np.array([x[1] for x in s], float), np.array([x[0] for x in s])
-        unit = found / np.linalg.norm(found, axis=1, keepdims=True)
-        for i in range(0, len(q), 256):
-            asked_ = np.array([x[1] for x in q[i : i + 256]], float)
-            near = asked_ @ unit.T
-            m = min(k + 1, len(s))
-            top = np.argpartition(-near, m - 1, axis=1)[:, :m]
-            for j, row in enumerate(top):
-                exact = cosine(np.broadcast_to(asked_[j], (m, asked_.shape[1])), found[row])
-                for key, score in zip(keys[row].tolist(), exact.tolist(), strict=True):
-                    yield q[i + j][0], key, score
+    dealt = both.repartition(parts, "block").sortWithinPartitions("block", "asks")
+    codes = int(first[-1])
 
     def rank(rows: Iterator[tuple]) -> Iterator[tuple]:
-        now, s, q = None, [], []
-        for t, x, b, asks, key, v in rows:
-            if (t, x, b) != now:
-                yield from best_of(q, s)
-                now, s, q = (t, x, b), [], []
-            (q if asks else s).append((key, v))
-        yield from best_of(q, s)
-
-    pairs = map_rows(dealt, rank, "query long, entry long, score double").groupBy("query", "entry").agg(F.max("score").alias("score"))
-    ids = entries.select("entry", F.explode("ids").alias("id"))
-    by = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+        for _, group in groupby(rows, key=lambda r: r[0]):
+            held, unit = [], None
+            for _, asks, key, v, leaves_ in group:
+                if not asks:
+                    held.append((key, v, leaves_))
+                    continue
+                if not held:
+                    break
+                if unit is None:
+                    keys, found, at = np.array([h[0] for h in held]), np.array([h[1] for h in held], float), np.array([h[2] for h in held])
+                    unit = found / np.linalg.norm(found, axis=1, keepdims=True)
+                wanted = np.zeros(codes, bool)
+                wanted[leaves_] = True
+                some = np.flatnonzero(wanted[at].any(1))
+                if not len(some):
+                    continue
+                query = np.array(v, float)
+                near = unit[some] @ (query / np.linalg.norm(query))
+                if len(some) > k + 1:  # all that may be among the first k + 1, whatever the last bits of their scores
+                    some = some[near >= np.partition(near, len(near) - k - 1)[len(near) - k - 1] - CLOSE]
+                exact = cosine(np.broadcast_to(query, found[some].shape), found[some])
+                for i in np.lexsort((keys[some], -exact))[: k + 1]:
+                    yield key, int(keys[some[i]]), float(exact[i])
+
+    pairs = map_rows(dealt, rank, "query long, entry long, score double")
     few = pairs.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "entry"))).filter(F.col("n") <= k + 1)
-    lists = few.join(ids, "entry").withColumn("n", F.row_number().over(by)).filter(F.col("n") <= k + 1).groupBy("query").agg(F.sort_array(F.collect_list(F.struct("n", "id", "score"))).alias("found"))
+    by = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    lists = few.join(entries.select("entry", F.explode("ids").alias("id")), "entry").withColumn("n", F.row_number().over(by)).filter(F.col("n") <= k + 1).groupBy("query").agg(F.sort_array(F.collect_list(F.struct("n", "id", "score"))).alias("found"))
     each = asked.join(queries, "v").select(F.col("id").alias("query_id"), "query").join(lists, "query")
     others = F.slice(F.filter("found", lambda x: x["id"] != F.col("query_id")), 1, k)
     ranked = each.select("query_id", F.posexplode(others).alias("p", "x"))

@@ -519,7 +519,7 @@ def test_neighbours_are_exact_when_all_leaves_are_searched(spark):
     rows += [(i, rows[20][1]) for i in range(300, 340)] + [(400, rows[20][1])]  # one vector many times
     rows += [(500, None), (510, [0.0] * 8), (520, [float("nan")] * 8), (530, [1.0, None] + [0.0] * 6), (540, [1.0, 2.0]), (None, rows[0][1]), (550, [float("inf")] * 8)]
     want = exact_nearest(rows, {i for i, _ in rows if i is not None and i % 10 == 0}, 5)
-    assert nearest(vectors(spark, rows)) == want
+    assert nearest(vectors(spark, rows), search=10**6) == want
     assert nearest(vectors(spark, rows), leaf=8, block=16, trees=3, search=10**6) == want
 
 
@@ -530,6 +530,28 @@ def test_neighbours_recall(spark):
     assert np.mean([len(set(want[q]) & set(got[q])) / 5 for q in want]) >= 0.9
 
 
+def test_ties_of_vectors_of_one_direction(spark):
+    """Scaled copies, by powers of two so that their cosines are equal to the last bit."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=8)
+    rows = [(i, float32(base * 2.0 ** (i % 7))) for i in range(0, 300)] + [(i, float32(rng.normal(size=8))) for i in range(300, 340)]
+    rng.shuffle(rows)
+    want = exact_nearest(rows, {i for i, _ in rows if i % 10 == 0}, 5)
+    assert nearest(vectors(spark, rows), block=16, leaf=8, trees=3, search=10**6) == want == nearest(vectors(spark, rows), search=10**6)
+
+
+def test_searches_are_as_wide_as_the_sample_needs(spark):
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(60, 8))
+    near = centres[rng.integers(0, 60, 1500)] + 0.02 * rng.normal(size=(1500, 8))
+    spread = rng.normal(size=(1500, 8))
+    wide, narrow = (neighbours.needed(neighbours.fit(x, 8, 32), x, 5) for x in (spread, near))
+    assert narrow < wide
+    rows = [(i, float32(v)) for i, v in enumerate(near)]
+    want, got = exact_nearest(rows, set(range(0, 1500, 10)), 5), nearest(vectors(spark, rows), leaf=32, trees=8)
+    assert np.mean([len(set(want[q]) & set(got[q])) / 5 for q in want]) >= 0.9
+
+
 def test_neighbours_of_few_rows(spark):
     assert nearest(vectors(spark, [])) == {}
     assert nearest(vectors(spark, [(10, float32([1] * 8))])) == {}
