@@ -4,13 +4,13 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier:
 in the same text at a smaller offset. Strings are judged on the input.
 
 1. Anchors. In each window of LENGTH bytes the k-gram of smallest hash is its anchor, so equal
-   strings have equal anchors at equal offsets. An anchor carries two hashes: of its k-gram, and of
-   its context (all windows it can stand for).
+   strings have equal anchors at equal offsets. An anchor carries a hash of its k-gram and two of
+   its context (all windows it can stand for), by independent bases and code tables: 96 bits.
 2. Anchors meet by k-gram. Equal contexts: all but the first occurrence are covered whole; workers
    settle what repeats inside their own share before the shuffle, so a passage that a third of all
    texts hold arrives once a share. Only the first occurrences of differing contexts go on.
-3. These contexts are suffix-sorted to the right of the anchor and, reversed, to the left: a
-   mergesort whose comparisons find the common extension by bisection over prefix polynomial
+3. The contexts of each k-gram are suffix-sorted to the right of the anchor and, reversed, to the
+   left: a mergesort whose comparisons find the common extension by bisection over prefix polynomial
    hashes; neighbours' common prefixes are verified byte by byte. Occurrences that agree on LENGTH
    bytes at an offset share a class in both orders, and all but the first are covered there.
    K-grams with over ``GROUP`` such contexts don't meet in one task: their strings are hashed to 128
@@ -44,7 +44,6 @@ NULL_ID = -(2**63)
 _RNG = np.random.default_rng(20)
 _CODE = _RNG.integers(1, 2**63, 256, np.uint64)
 _BASE = int(_RNG.integers(1, 2**62)) * 2 + 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -60,21 +59,27 @@ def _powers(base: int, n: int) -> np.ndarray:
 class Hashes:
     """Prefix polynomial hashes of bytes: any substring's hash in constant time (modulo 2**64)."""
 
-    up, down = _powers(_BASE, 4096), _powers(_INVERSE, 4096)
+    base, code, up, down = _BASE, _CODE, np.zeros(0, U64), np.zeros(0, U64)
 
     def __init__(self, data: np.ndarray):
-        n = len(data)
-        if n + 1 > len(Hashes.up):
-            Hashes.up, Hashes.down = _powers(_BASE, 2 * n), _powers(_INVERSE, 2 * n)
+        n, kind = len(data), type(self)
+        if n + 1 > len(kind.up):
+            kind.up, kind.down = _powers(kind.base, max(4096, 2 * n)), _powers(pow(kind.base, -1, 1 << 64), max(4096, 2 * n))
         self.sums = np.zeros(n + 1, U64)
-        np.cumsum(_CODE[data] * Hashes.up[:n], out=self.sums[1:])
+        np.cumsum(kind.code[data] * kind.up[:n], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * Hashes.down[start]
+        return (self.sums[end] - self.sums[start]) * type(self).down[start]
 
     def grams(self, k: int) -> np.ndarray:
         m = len(self.sums) - k
-        return (self.sums[k:] - self.sums[:m]) * Hashes.down[:m]
+        return (self.sums[k:] - self.sums[:m]) * type(self).down[:m]
+
+
+class Checks(Hashes):
+    """The same by another base and code table."""
+
+    base, code, up, down = int(_RNG.integers(1, 2**62)) * 2 + 1, _RNG.integers(1, 2**63, 256, np.uint64), np.zeros(0, U64), np.zeros(0, U64)
 
 
 def _window_minimum(x: np.ndarray, w: int) -> np.ndarray:
@@ -87,8 +92,8 @@ def _window_minimum(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[:-rest], x[rest:]) if rest else x
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(k-gram hash, context hash, position) of a text's anchors."""
+def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(k-gram hash, context hash, 32 bits of its other hash, position) of a text's anchors."""
     n, last, found = len(data), -1, []
     for first in range(0, max(0, n - LENGTH + 1), SEGMENT):
         low, high = max(0, first - REACH), min(n, first + SEGMENT + 2 * LENGTH)
@@ -105,14 +110,15 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             last = int(at[-1]) + low
             left, right = np.maximum(at - REACH, 0 if low == 0 else at - REACH), np.minimum(at + LENGTH, high - low)
             shape = (at - left).astype(np.uint64) * U64(1 << 20) + (right - at).astype(np.uint64)
-            found.append((grams[at], mix(hashes.of(left, right) ^ mix(shape)), at + low))
+            check = (mix(Checks(part).of(left, right)) >> U64(32)).astype(np.uint32).view(np.int32)
+            found.append((grams[at], mix(hashes.of(left, right) ^ mix(shape)), check, at + low))
     if not found:
-        return np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64)
+        return np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int32), np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-_MET = "gram long, context long, doc long, tie int, pos int, marks binary"
-_COVER = "doc long, tie int, gram long, pos int, first boolean, marks binary"
+_MET = "gram long, context long, check int, doc long, tie long, pos int, marks binary"
+_COVER = "doc long, tie long, gram long, pos int, first boolean, marks binary"
 
 
 def _met(df: DataFrame) -> DataFrame:
@@ -120,18 +126,18 @@ def _met(df: DataFrame) -> DataFrame:
     schema = arrow_schema(df.sparkSession.createDataFrame([], _MET).schema)
 
     def settle(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        gram, context, pos = (np.concatenate([h[i] for h in held]) for i in (2, 3, 4))
+        gram, context, check, pos = (np.concatenate([h[i] for h in held]) for i in (2, 3, 4, 5))
         lengths = [len(h[2]) for h in held]
         number = np.repeat(np.arange(len(held)), lengths)
         doc, tie = (np.array([h[i] for h in held], np.int64) for i in (0, 1))
-        order = np.lexsort((pos, tie[number], doc[number], context, gram))
-        g, c, n, p = gram[order], context[order], number[order], pos[order]
+        order = np.lexsort((pos, tie[number], doc[number], check, context, gram))
+        g, c, k, n, p = gram[order], context[order], check[order], number[order], pos[order]
         fresh = np.ones(len(order), bool)
-        fresh[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
+        fresh[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1]) | (k[1:] != k[:-1])
         head = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
         itself = (doc[n] == doc[n[head]]) & (tie[n] == tie[n[head]]) & (p == p[head])
         keep, again = fresh, ~fresh & ~itself
-        columns = [g[keep].view(np.int64), c[keep].view(np.int64), doc[n[keep]], tie[n[keep]].astype(np.int32), p[keep].astype(np.int32)]
+        columns = [g[keep].view(np.int64), c[keep].view(np.int64), k[keep], doc[n[keep]], tie[n[keep]], p[keep].astype(np.int32)]
         for i in range(0, int(keep.sum()), 50_000):
             part = [pa.array(x[i : i + 50_000]) for x in columns]
             yield pa.RecordBatch.from_arrays([*part, pa.nulls(len(part[0]), pa.binary())], schema=schema)
@@ -139,7 +145,7 @@ def _met(df: DataFrame) -> DataFrame:
             by = np.lexsort((p[again], n[again]))
             owner, spots = n[again][by], p[again][by].astype("<i4")
             edges = np.flatnonzero(np.diff(owner, prepend=-1))
-            rows = ((None, None, int(doc[owner[a]]), int(tie[owner[a]]), None, spots[a:b].tobytes()) for a, b in zip(edges, [*edges[1:], len(owner)], strict=True))
+            rows = ((None, None, None, int(doc[owner[a]]), int(tie[owner[a]]), None, spots[a:b].tobytes()) for a, b in zip(edges, [*edges[1:], len(owner)], strict=True))
             yield from in_batches(rows, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +168,7 @@ def _covers(met: DataFrame, parts: int) -> DataFrame:
     """From anchors dealt by k-gram: covered positions (first = false), first occurrences of contexts that differ (first = true), marks."""
     schema = arrow_schema(met.sparkSession.createDataFrame([], _COVER).schema)
     key = F.coalesce(F.col("gram"), F.xxhash64("doc", "tie"))
-    dealt = met.repartition(parts, key).sortWithinPartitions("gram", "context", "doc", "tie", "pos")
+    dealt = met.repartition(parts, key).sortWithinPartitions("gram", "context", "check", "doc", "tie", "pos")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = None  # the last class's first row, and whether another class of its k-gram came before
@@ -175,14 +181,14 @@ def _covers(met: DataFrame, parts: int) -> DataFrame:
             batch = batch.filter(pa.compute.invert(absent))
             if not batch.num_rows:
                 continue
-            g, c, d, t, p = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            g, c, k, d, t, p = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
             other = np.zeros(len(g), bool)
             if head is not None:
-                g, c, d, t, p = (np.concatenate([h, x]) for h, x in zip(head[0], (g, c, d, t, p), strict=True))
+                g, c, k, d, t, p = (np.concatenate([h, x]) for h, x in zip(head[0], (g, c, k, d, t, p), strict=True))
                 other = np.zeros(len(g), bool)
                 other[0] = head[1]
             fresh = np.ones(len(g), bool)
-            fresh[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
+            fresh[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1]) | (k[1:] != k[:-1])
             firsts = np.flatnonzero(fresh)
             at = firsts[np.cumsum(fresh) - 1]
             again = ~fresh & ((d != d[at]) | (t != t[at]) | (p != p[at]))
@@ -191,13 +197,13 @@ def _covers(met: DataFrame, parts: int) -> DataFrame:
             differs[1:] |= same
             before = differs.copy()
             differs[:-1] |= same
-            head = [x[firsts[-1:]] for x in (g, c, d, t, p)], bool(before[-1])
+            head = [x[firsts[-1:]] for x in (g, c, k, d, t, p)], bool(before[-1])
             emit = np.concatenate([np.flatnonzero(again), firsts[:-1][differs[:-1]]])
             if len(emit):
                 first = np.arange(len(emit)) >= again.sum()
                 yield pa.RecordBatch.from_arrays([pa.array(d[emit]), pa.array(t[emit]), pa.array(g[emit]), pa.array(p[emit]), pa.array(first), pa.nulls(len(emit), pa.binary())], schema=schema)
         if head is not None and head[1]:
-            g, c, d, t, p = head[0]
+            g, _, _, d, t, p = head[0]
             yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(t), pa.array(g), pa.array(p), pa.array([True]), pa.nulls(1, pa.binary())], schema=schema)
 
     return dealt.mapInArrow(run, _COVER)
@@ -230,51 +236,61 @@ class Suffixes:
         byte_a, byte_b = self.text[a, np.minimum(n, last)], self.text[b, np.minimum(n, last)]
         return np.where(ends_a & ends_b, a < b, np.where(ends_a, True, np.where(ends_b, False, byte_a < byte_b)))
 
-    def sorted(self) -> np.ndarray:
-        """Bottom-up mergesort: each level ranks every row in its sibling run by bisection, all rows at once."""
-        n, run = len(self.text), 1
-        order = np.arange(n)
-        while run < n:
-            at = np.arange(n)
+    def sorted(self, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Bottom-up mergesort inside groups: each level ranks every row in its sibling run by bisection, all rows at once.
+
+        first, size: of each row, where its group begins and how many rows that has.
+        """
+        order, inside, run = np.arange(len(self.text)), np.arange(len(self.text)) - first, 1
+        while (rows := np.flatnonzero(size > run)).size:
+            begin, at = first[rows], inside[rows]
             mine = at // run
             start = np.where(mine % 2 == 0, mine + 1, mine - 1) * run
-            low, high = np.minimum(start, n), np.minimum(start + run, n)
-            first = low.copy()
+            low, high = begin + np.minimum(start, size[rows]), begin + np.minimum(start + run, size[rows])
+            ahead = low.copy()
             while (todo := np.flatnonzero(low < high)).size:
                 middle = (low[todo] + high[todo]) // 2
-                less = self.before(order[middle], order[todo])
+                less = self.before(order[middle], order[rows[todo]])
                 low[todo] = np.where(less, middle + 1, low[todo])
                 high[todo] = np.where(less, high[todo], middle)
-            place = (mine // 2) * 2 * run + (at - mine * run) + (low - first)
-            merged = np.empty(n, np.int64)
-            merged[place] = order
+            merged = order.copy()
+            merged[begin + (mine // 2) * 2 * run + (at - mine * run) + (low - ahead)] = order[rows]
             order, run = merged, run * 2
         return order
 
 
-def common_classes(text: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix order, common prefix of each row with the one before it), verified byte by byte."""
-    for salt in range(8):
+def common_classes(text: np.ndarray, length: np.ndarray, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(suffix order inside each group, common prefix of each row with the one before it; -1 for a group's first), verified byte by byte.
+
+    group: a number a row, equal ones adjacent. A base for which hashes collide is given up for the next.
+    """
+    group = np.zeros(len(text), np.int64) if group is None else group
+    heads = np.flatnonzero(np.diff(group, prepend=group[0] - 1)) if len(group) else np.zeros(0, np.int64)
+    sizes = np.diff(heads, append=len(group))
+    salt = 0
+    while True:
         suffixes = Suffixes(text, length, salt)
-        order = suffixes.sorted()
+        order = suffixes.sorted(np.repeat(heads, sizes), np.repeat(sizes, sizes))
         common = np.zeros(len(order), np.int64)
         common[1:] = suffixes.common(order[:-1], order[1:])
+        common[heads] = -1
         inside = np.arange(text.shape[1])[None, :] < common[1:, None]
         if not ((text[order[1:]] != text[order[:-1]]) & inside).any():
             return order, common
-    raise RuntimeError("prefix hashes collide for every base")
+        salt += 1
 
 
 def covered(rows: list[tuple]) -> Iterator[tuple]:
     """(doc, tie, start, end) that earlier rows cover; rows are (gram, doc, tie, pos, left bytes, right bytes)."""
-    rows = sorted(rows, key=lambda r: r[1:4])
-    n = len(rows)
+    key = [np.array([r[i] for r in rows], np.int64) for i in range(4)]
+    by = np.lexsort(key[::-1])
+    rows, group, n = [rows[i] for i in by], key[0][by], len(rows)
     sides = []
     for column, width, flip in ((4, REACH, True), (5, LENGTH, False)):
         parts = [r[column][::-1] if flip else r[column] for r in rows]
         text = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in parts), np.uint8).reshape(n, width)
         length = np.array([len(p) for p in parts], np.int64)
-        order, common = common_classes(text, length)
+        order, common = common_classes(text, length, group)
         place = np.empty(n, np.int64)
         place[order] = np.arange(n)
         sides.append((length, common, place))
@@ -286,8 +302,8 @@ def covered(rows: list[tuple]) -> Iterator[tuple]:
             continue
         left = np.cumsum(left_common < offset)[left_place[fits]]
         right = np.cumsum(right_common < LENGTH - offset)[right_place[fits]]
-        _, first, group = np.unique(left * (n + 1) + right, return_index=True, return_inverse=True)
-        again = fits[first[group] != np.arange(len(fits))]
+        _, first, which = np.unique(left * (n + 1) + right, return_index=True, return_inverse=True)
+        again = fits[first[which] != np.arange(len(fits))]
         low[again] = np.minimum(low[again], offset)
         high[again] = np.maximum(high[again], offset)
     for i in np.flatnonzero(high >= 0):
@@ -296,7 +312,7 @@ def covered(rows: list[tuple]) -> Iterator[tuple]:
 
 
 def _keyed(df: DataFrame, id: str, text: str) -> dict:
-    return {"_graphloom_doc": F.coalesce(F.col(quoted(id)).cast("long"), F.lit(NULL_ID)), "_graphloom_tie": F.hash(quoted(text))}
+    return {"_graphloom_doc": F.coalesce(F.col(quoted(id)).cast("long"), F.lit(NULL_ID)), "_graphloom_tie": F.xxhash64(quoted(text))}
 
 
 def covers_of(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -317,7 +333,7 @@ def covers_of(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
                 pos = s["pos"]
                 yield s["gram"], doc, tie, pos, data[max(0, pos - REACH) : pos], data[pos : pos + LENGTH], bool(s["hot"])
 
-    schema = "gram long, doc long, tie int, pos int, before binary, after binary, hot boolean"
+    schema = "gram long, doc long, tie long, pos int, before binary, after binary, hot boolean"
     found = map_rows(texts.dropDuplicates(["doc", "tie"]).join(spots, ["doc", "tie"]), contexts, schema, size=lambda r: 200)
     found = saved(found, "contexts") if some else found
     dealt = found.filter("not hot").drop("hot").repartition(parts, "gram").sortWithinPartitions("gram")
@@ -332,7 +348,7 @@ def covers_of(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
         if held:
             yield from covered(held)
 
-    partly = map_rows(dealt, compare, "doc long, tie int, low int, high int")
+    partly = map_rows(dealt, compare, "doc long, tie long, low int, high int")
     wholly = covers.filter("not first").select("doc", "tie", (F.col("pos") - REACH).alias("low"), (F.col("pos") + LENGTH).alias("high"), "marks")
     if some:
         partly = partly.unionByName(_of_hot(found.filter("hot")))
@@ -350,7 +366,7 @@ def _of_hot(contexts: DataFrame) -> DataFrame:
                 a, b = struct.unpack("<qq", xxhash.xxh3_128_digest(both[start : start + LENGTH]))
                 yield a, b, doc, tie, pos - len(before) + start
 
-    each = map_rows(contexts.select("doc", "tie", "pos", "before", "after"), strings, "a long, b long, doc long, tie int, low int")
+    each = map_rows(contexts.select("doc", "tie", "pos", "before", "after"), strings, "a long, b long, doc long, tie long, low int")
     place = F.struct("doc", "tie", "low")
     first = each.groupBy("a", "b").agg(F.min(place).alias("first"))
     again = each.join(first, ["a", "b"]).filter(place > F.col("first"))
@@ -365,7 +381,7 @@ def repeats(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
             yield (None if doc == NULL_ID else doc), tie, len(data), *cut(data, covers or [])
 
     texts = df.withColumns(_keyed(df, id, text)).select("_graphloom_doc", "_graphloom_tie", as_bytes(quoted(text)).alias("data"))
-    out = f"{quoted(id)} long, tie int, n_bytes long, n_removed long, spans array<struct<low:int,high:int>>, kept binary"
+    out = f"{quoted(id)} long, tie long, n_bytes long, n_removed long, spans array<struct<low:int,high:int>>, kept binary"
     return map_rows(texts.join(covers_of(df, id, text), ["_graphloom_doc", "_graphloom_tie"], "left").select("_graphloom_doc", "_graphloom_tie", "data", "_graphloom_covers"), remove, out, size=lambda r: len(r[5]))
 
 

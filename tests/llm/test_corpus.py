@@ -192,6 +192,33 @@ def test_suffix_sort_equals_sorting():
     for k in range(1, len(order)):
         a, b = strings[order[k - 1]], strings[order[k]]
         assert common[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    group = np.sort(np.array([rng.randrange(40) for _ in strings]))
+    order, common = suffixes.common_classes(text, np.array([len(s) for s in strings]), group)
+    assert (group[order] == group).all() and [strings[i] for i in order] == [s for g in range(40) for s in sorted(strings[i] for i in np.flatnonzero(group == g))]
+    assert (common[1:] == -1).tolist() == (group[1:] != group[:-1]).tolist()
+
+
+def test_suffix_sort_survives_colliding_hashes(monkeypatch):
+    """A first base under which all strings of a length hash alike."""
+    plain = suffixes.Suffixes.__init__
+
+    def weak(self, text, length, salt):
+        plain(self, text, length, salt)
+        if salt == 0:
+            self.hash[:] = 0
+
+    monkeypatch.setattr(suffixes.Suffixes, "__init__", weak)
+    strings = [b"abc", b"abd", b"aaa", b"zzz"]
+    order, common = suffixes.common_classes(np.frombuffer(b"".join(strings), np.uint8).reshape(-1, 3), np.full(4, 3))
+    assert [strings[i] for i in order] == sorted(strings) and common.tolist() == [-1, 1, 2, 0]
+
+
+def test_rows_of_one_id_are_told_by_64_bits(spark):
+    """Without ids, hundreds of texts share one key but for the hash of the text."""
+    shared = prose(5, 30)
+    rows = [(None, f"{prose(i, 20)} {shared if i % 2 else ''} {prose(i + 5000, 10)}") for i in range(300)]
+    got = suffixes.repeats(frame(spark, rows))
+    assert dict(got.dtypes)["tie"] == "bigint" and got.count() == 300 and got.filter("n_removed > 0").count() >= 149
 
 
 def test_mixing_targets():
