@@ -13,8 +13,9 @@ in the same text at a smaller offset. Strings are judged on the input.
    left: a mergesort whose comparisons find the common extension by bisection over prefix polynomial
    hashes; neighbours' common prefixes are verified byte by byte. Occurrences that agree on LENGTH
    bytes at an offset share a class in both orders, and all but the first are covered there.
-   K-grams with over ``GROUP`` such contexts don't meet in one task: their strings are hashed to 128
-   bits, and the first of each is found by partial aggregation.
+   A k-gram with over ``GROUP`` such contexts is dealt out finer: by halves of the offsets, and in each
+   by the bytes that all strings at these offsets share, until groups are small. Strings of a single
+   offset that are still more are equal byte by byte; the first is found by partial aggregation.
 
 Defined results: null text is empty; texts under LENGTH bytes keep everything; null ids come before
 all others; repeated rows (same id and text) are one occurrence and get the same result; one id
@@ -24,13 +25,11 @@ in memory only; no length, group or count is capped.
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -281,7 +280,7 @@ def common_classes(text: np.ndarray, length: np.ndarray, group: np.ndarray | Non
 
 
 def covered(rows: list[tuple]) -> Iterator[tuple]:
-    """(doc, tie, start, end) that earlier rows cover; rows are (gram, doc, tie, pos, left bytes, right bytes)."""
+    """(doc, tie, start, end) that earlier rows of a group cover by strings that start ``least`` to ``most`` bytes before the anchor; rows are (group, doc, tie, pos, left bytes, right bytes, least, most)."""
     key = [np.array([r[i] for r in rows], np.int64) for i in range(4)]
     by = np.lexsort(key[::-1])
     rows, group, n = [rows[i] for i in by], key[0][by], len(rows)
@@ -295,9 +294,10 @@ def covered(rows: list[tuple]) -> Iterator[tuple]:
         place[order] = np.arange(n)
         sides.append((length, common, place))
     (left_n, left_common, left_place), (right_n, right_common, right_place) = sides
+    least, most = (np.array([r[i] for r in rows]) for i in (6, 7))
     low, high = np.full(n, REACH + 1), np.full(n, -1)
     for offset in range(REACH + 1):
-        fits = np.flatnonzero((left_n >= offset) & (right_n >= LENGTH - offset))
+        fits = np.flatnonzero((left_n >= offset) & (right_n >= LENGTH - offset) & (least <= offset) & (offset <= most))
         if len(fits) < 2:
             continue
         left = np.cumsum(left_common < offset)[left_place[fits]]
@@ -307,7 +307,7 @@ def covered(rows: list[tuple]) -> Iterator[tuple]:
         low[again] = np.minimum(low[again], offset)
         high[again] = np.maximum(high[again], offset)
     for i in np.flatnonzero(high >= 0):
-        _, doc, tie, pos, _, _ = rows[i]
+        _, doc, tie, pos, *_ = rows[i]
         yield doc, tie, int(pos - high[i]), int(pos - low[i] + LENGTH)
 
 
@@ -336,7 +336,13 @@ def covers_of(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
     schema = "gram long, doc long, tie long, pos int, before binary, after binary, hot boolean"
     found = map_rows(texts.dropDuplicates(["doc", "tie"]).join(spots, ["doc", "tie"]), contexts, schema, size=lambda r: 200)
     found = saved(found, "contexts") if some else found
-    dealt = found.filter("not hot").drop("hot").repartition(parts, "gram").sortWithinPartitions("gram")
+    whole = [F.lit(0).alias("least"), F.lit(REACH).alias("most")]
+    groups = found.filter("not hot").select(F.col("gram").alias("key"), "doc", "tie", "pos", "before", "after", *whole)
+    equal = None
+    if some:
+        finer, equal = _finer(found.filter("hot").select(F.col("gram").alias("key"), "doc", "tie", "pos", "before", "after", *whole))
+        groups = groups.unionByName(finer)
+    dealt = groups.repartition(parts, "key").sortWithinPartitions("key")
 
     def compare(rows: Iterator[tuple]) -> Iterator[tuple]:
         held: list[tuple] = []
@@ -350,26 +356,40 @@ def covers_of(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
 
     partly = map_rows(dealt, compare, "doc long, tie long, low int, high int")
     wholly = covers.filter("not first").select("doc", "tie", (F.col("pos") - REACH).alias("low"), (F.col("pos") + LENGTH).alias("high"), "marks")
-    if some:
-        partly = partly.unionByName(_of_hot(found.filter("hot")))
+    if equal is not None:
+        partly = partly.unionByName(_again(equal))
     all_ = wholly.unionByName(partly.withColumn("marks", F.lit(None).cast("binary")))
     return all_.groupBy(F.col("doc").alias("_graphloom_doc"), F.col("tie").alias("_graphloom_tie")).agg(F.collect_list(F.struct("low", "high", "marks")).alias("_graphloom_covers"))
 
 
-def _of_hot(contexts: DataFrame) -> DataFrame:
-    """What earlier strings cover in contexts of very frequent k-grams, string by string."""
-
-    def strings(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for doc, tie, pos, before, after in rows:
-            both = before + after
-            for start in range(len(both) - LENGTH + 1):
-                a, b = struct.unpack("<qq", xxhash.xxh3_128_digest(both[start : start + LENGTH]))
-                yield a, b, doc, tie, pos - len(before) + start
-
-    each = map_rows(contexts.select("doc", "tie", "pos", "before", "after"), strings, "a long, b long, doc long, tie long, low int")
+def _finer(level: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Large groups as groups of up to GROUP rows, by offsets and the bytes that strings at these offsets share; and rows of larger groups of one offset."""
+    done, equal = level.limit(0), None
+    while True:
+        middle = F.floor((F.col("least") + F.col("most")) / 2).cast("int")
+        halves = F.array(F.struct(F.col("least").alias("a"), middle.alias("b")), F.struct((middle + 1).alias("a"), F.col("most").alias("b")))
+        cut = level.withColumn("half", F.explode(halves)).withColumns({"least": F.col("half.a"), "most": F.col("half.b")}).drop("half")
+        cut = cut.filter((F.length("before") >= F.col("least")) & (F.length("after") >= LENGTH - F.col("most")))
+        shared = [F.expr("substring(before, length(before) - least + 1, least)"), F.expr(f"substring(after, 1, {LENGTH} - most)")]
+        cut = cut.withColumn("key", F.xxhash64("least", "most", *shared))
+        counted = saved(cut.join(cut.groupBy("key").agg(F.count("*").alias("m")), "key"), "finer")
+        done = done.unionByName(counted.filter(F.col("m") <= GROUP).drop("m"))
+        large = counted.filter(F.col("m") > GROUP).drop("m")
+        single = large.filter("least = most")
+        if single.limit(1).count():
+            equal = single if equal is None else equal.unionByName(single)
+        level = large.filter("least < most")
+        if level.limit(1).count() == 0:
+            return done, equal
+
+
+def _again(rows: DataFrame) -> DataFrame:
+    """What earlier rows cover, of rows that meet at one offset only."""
+    string = F.concat(F.expr("substring(before, length(before) - least + 1, least)"), F.expr(f"substring(after, 1, {LENGTH} - least)"))
+    each = rows.select("doc", "tie", (F.col("pos") - F.col("least")).alias("low"), string.alias("string"))
     place = F.struct("doc", "tie", "low")
-    first = each.groupBy("a", "b").agg(F.min(place).alias("first"))
-    again = each.join(first, ["a", "b"]).filter(place > F.col("first"))
+    first = each.groupBy("string").agg(F.min(place).alias("first"))
+    again = each.join(first, "string").filter(place > F.col("first"))
     return again.select("doc", "tie", "low", (F.col("low") + LENGTH).alias("high")).distinct()
 
 

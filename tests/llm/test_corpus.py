@@ -159,11 +159,8 @@ def found(df):
 
 @pytest.mark.parametrize("small", [False, True])
 def test_suffix_dedup_equals_all_strings(spark, monkeypatch, small):
-    if small:  # segments and chunks of workers, as in long inputs
-        monkeypatch.setattr(suffixes, "SEGMENT", 300)
-        monkeypatch.setattr(suffixes, "HELD", 40)
-        monkeypatch.setattr(suffixes, "CHUNK", 30)
-        monkeypatch.setattr(suffixes, "GROUP", 4)
+    if small:
+        monkeypatch.setattr(suffixes, "GROUP", 2)  # hot groups are dealt out finer, down to strings of one offset
     rng = random.Random(3)
     passages = [prose(i, 25) for i in range(4)]
     rows = []
@@ -174,6 +171,15 @@ def test_suffix_dedup_equals_all_strings(spark, monkeypatch, small):
     assert found(frame(spark, rows).repartition(3)) == removed(rows)
 
 
+def test_work_of_a_share_in_small_pieces(monkeypatch):
+    """Segments of a text, as in long ones: the same anchors."""
+    data = np.frombuffer((prose(3, 300) + "a" * 500 + prose(4, 100)).encode(), np.uint8)
+    whole = suffixes.anchors(data)
+    monkeypatch.setattr(suffixes, "SEGMENT", 300)
+    cut = suffixes.anchors(data)
+    assert all((a == b).all() for a, b in zip(whole, cut, strict=True))
+
+
 def test_suffix_dedup_of_odd_rows(odd, nothing):
     rows = [(r.doc_id, r.text) for r in odd.filter("doc_id is null or doc_id <> 4").collect()]
     assert found(odd.filter("doc_id is null or doc_id <> 4")) == removed(rows)
