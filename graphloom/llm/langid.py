@@ -36,6 +36,9 @@ _START, _END = 1, 2
 _SCORERS: dict[str, "Scorer"] = {}
 
 
+_WORDS = re.compile(r"[^\W\d_]+")
+
+
 @cache
 def _letters() -> re.Pattern:
     """Runs of letters: of word characters without digits, "_" and numbers that are no letters."""
@@ -44,7 +47,8 @@ def _letters() -> re.Pattern:
 
 
 def letter_runs(token: str) -> list[str]:
-    return _letters().findall(token.lower())
+    runs = _WORDS.findall(token.lower())
+    return runs if all(map(str.isalpha, runs)) else _letters().findall(token.lower())
 
 
 def _codes(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
