@@ -40,3 +40,11 @@ def test_run_over_a_table(spark, tmp_path):
     frame(spark, [(i, prose(i, 100), "en", "a") for i in range(12)]).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() > 6
     assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "jaccard_join", "suffix_dedup", "mixing", "packing"]
+
+
+def test_stages_over_no_rows_and_a_very_long_blank(spark, nothing):
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, nothing, "")
+        assert out.count() == 0 and (name == "packing" or out.columns == nothing.columns), name
+    blank = frame(spark, [(1, "a" + " " * 1_000_000 + "b <|endoftext|>"), (2, "\n" * 1_000_000)])
+    assert corpus_pipeline.packed(spark, blank, "").agg(F.countDistinct("doc_id")).first()[0] == 2
