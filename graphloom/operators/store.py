@@ -246,13 +246,7 @@ class GraphStore:
 
     @staticmethod
     def read_graphs(spark: SparkSession, path: str, codes: Iterable[str]) -> "GraphStore":
-        """A store of some graphs, named by a list: their bucket folders and the dictionary entries that they use."""
-        store, buckets = GraphStore.read(spark, path), spark.read.parquet(f"{path}/store_meta").first()["buckets"]
-        found = store.graphs.filter(F.col("graph_code").isin(sorted({c.strip().upper() for c in codes})))
-        ids = [r["graph_id"] for r in found.select("graph_id").collect()]
-        within = F.col("bucket").isin(sorted({i % buckets for i in ids})) & F.col("graph_id").isin(ids)
-        members = {t: spark.read.parquet(f"{path}/{t}").filter(within).drop("bucket") for t in ("graph_nodes", "graph_edges")}
-        return replace(store, graphs=found, **members)
+        return Stored.open(spark, path).graphs(codes)
 
     def annotate(self, *attributes: Callable[["GraphStore"], DataFrame]) -> "GraphStore":
         """The store with more columns of its graphs: each function makes (graph_id, value columns) from the store; a graph without a row has nulls."""
@@ -263,10 +257,25 @@ class GraphStore:
 
     @staticmethod
     def read_graph(spark: SparkSession, path: str, code: str) -> "GraphStore":
-        """A store of one graph: two bucket folders and the dictionary entries that it uses."""
-        store, buckets = GraphStore.read(spark, path), spark.read.parquet(f"{path}/store_meta").first()["buckets"]
-        found = store.graphs.filter(F.col("graph_code") == code.strip().upper())
-        one = found.first()
-        id = one["graph_id"] if one else -1
-        members = {t: spark.read.parquet(f"{path}/{t}").filter((F.col("bucket") == id % buckets) & (F.col("graph_id") == id)).drop("bucket") for t in ("graph_nodes", "graph_edges")}
-        return replace(store, graphs=found, **members)
+        return Stored.open(spark, path).graphs([code])
+
+
+@dataclass(frozen=True)
+class Stored:
+    """A written collection, opened once: graphs are then read without looking at files that don't hold them."""
+
+    store: GraphStore
+    buckets: int
+    members: dict[str, DataFrame]
+
+    @staticmethod
+    def open(spark: SparkSession, path: str) -> "Stored":
+        buckets = spark.read.parquet(f"{path}/store_meta").first()["buckets"]
+        return Stored(GraphStore.read(spark, path), buckets, {t: spark.read.parquet(f"{path}/{t}") for t in ("graph_nodes", "graph_edges")})
+
+    def graphs(self, codes: Iterable[str]) -> GraphStore:
+        """A store of some graphs, named by a list: their bucket folders, and the dictionaries."""
+        found = self.store.graphs.filter(F.col("graph_code").isin(sorted({c.strip().upper() for c in codes})))
+        ids = [r["graph_id"] for r in found.select("graph_id").collect()]
+        within = F.col("bucket").isin(sorted({i % self.buckets for i in ids})) & F.col("graph_id").isin(ids)
+        return replace(self.store, graphs=found, **{t: df.filter(within).drop("bucket") for t, df in self.members.items()})

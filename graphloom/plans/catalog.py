@@ -12,7 +12,7 @@ from graphloom.functions import labels, units
 from graphloom.functions.residues import DESCRIPTORS, DIMENSIONS, ONE_HOT_ORDER, one_hot, with_descriptors
 from graphloom.operators import construct, encode, kernels, prep, stats, validate
 from graphloom.operators.lineage import settled, shared_dir
-from graphloom.operators.store import GraphStore, Meta
+from graphloom.operators.store import EDGES, GraphStore, Meta
 from graphloom.sources import files, overlays, sinks
 from graphloom.sources.overlays import table
 
@@ -61,6 +61,11 @@ def fresh(spark: SparkSession, d: str) -> GraphStore:
     return GraphStore.build(*ingest(spark, d), META)
 
 
+def node_side(spark: SparkSession, d: str) -> GraphStore:
+    """Nodes alone, encoded by the query itself."""
+    return GraphStore.build(ingest(spark, d)[0], spark.createDataFrame([], EDGES), META)
+
+
 def store(spark: SparkSession, d: str) -> GraphStore:
     """A collection that was encoded and written before."""
     return _once("store", spark, d, lambda: fresh(spark, d).settled())
@@ -93,7 +98,7 @@ def joined(kinds: str = "kinds"):
 
 @query(q.nodes("select graph_id, graph_code, seq from graphs"))
 def graph_catalog(spark, d):
-    return fresh(spark, d).graphs
+    return encode.graph_catalog(encode.upper_codes(ingest(spark, d)[0]))
 
 
 @query(q.nodes("select graph_code from graphs"))
@@ -103,17 +108,17 @@ def list_codes(spark, d):
 
 @query(q.nodes("select node_id, node_label from node_dict"))
 def node_dictionary(spark, d):
-    return fresh(spark, d).node_dict.select("node_id", "node_label")
+    return encode.node_dictionary(encode.upper_codes(ingest(spark, d)[0]), META.granularity).select("node_id", "node_label")
 
 
 @query(q.edges("select edge_id, src_label, dst_label from edge_dict"))
 def edge_dictionary(spark, d):
-    return fresh(spark, d).edge_dict
+    return encode.edge_dictionary(encode.upper_codes(ingest(spark, d)[1]))
 
 
 @query(q.nodes("select graph_id, node_id from graph_nodes"))
 def node_membership(spark, d):
-    return fresh(spark, d).graph_nodes.select("graph_id", "node_id")
+    return node_side(spark, d).graph_nodes.select("graph_id", "node_id")
 
 
 @query(q.edges("select graph_id, edge_id from graph_edges"))
@@ -123,7 +128,7 @@ def edge_membership(spark, d):
 
 @query(q.nodes("select graph_id, count(*) as n from graph_nodes group by graph_id"))
 def membership_bitmaps(spark, d):
-    return encode.membership_bitmaps(fresh(spark, d).graph_nodes, "node_id").groupBy("graph_id").agg(F.sum("n").alias("n"))
+    return encode.membership_bitmaps(node_side(spark, d).graph_nodes, "node_id").groupBy("graph_id").agg(F.sum("n").alias("n"))
 
 
 NODE_POOLS = """, coord_pool as (
@@ -137,7 +142,7 @@ kind_pool as (select kind, row_number() over (order by f.g, f.m, kind) - 1 as va
 
 @query(f"with {q.ROWS}{q.NODE_TABLES}{NODE_POOLS} select 'coords' as attr, value_id, x, y, z, null::double as num from coord_pool union all select 'b_factor', value_id, null, null, null, b_factor from factor_pool")
 def node_value_pool(spark, d):
-    return encode.node_value_pool(fresh(spark, d).graph_nodes).select("attr", "value_id", *xyz(), "num")
+    return encode.node_value_pool(node_side(spark, d).graph_nodes).select("attr", "value_id", *xyz(), "num")
 
 
 @query(f"with {q.ROWS}{q.EDGES}{q.NODE_TABLES}{q.EDGE_TABLES}{EDGE_POOLS} select 'distance' as attr, value_id, distance as num, null::varchar as str from distance_pool union all select 'kind', value_id, null, kind from kind_pool")
@@ -147,7 +152,7 @@ def edge_value_pool(spark, d):
 
 @query(f"with {q.ROWS}{q.NODE_TABLES}{NODE_POOLS} select graph_id, node_id, c.value_id as coords_value, f.value_id as b_factor_value from graph_nodes join coord_pool c using (x, y, z) join factor_pool f using (b_factor)")
 def node_local_mapping(spark, d):
-    members = fresh(spark, d).graph_nodes
+    members = node_side(spark, d).graph_nodes
     return encode.node_mapping(members, encode.node_value_pool(members))
 
 
