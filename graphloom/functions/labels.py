@@ -14,14 +14,14 @@ def parsed(label: Column, granularity: str = "CA") -> list[Column]:
     """chain_id, residue_name, residue_number, atom_type, element_symbol of a label.
 
     Below atom granularity the granularity itself stands for the atom type; the element is the
-    first character of the atom type.
+    first character of the atom type. An insertion code behind the number isn't part of it.
     """
     parts = F.split(label, ":")
     atom = F.get(parts, F.lit(3)) if granularity == "atom" else F.lit(granularity)
     return [
         F.get(parts, F.lit(0)).alias("chain_id"),
         F.get(parts, F.lit(1)).alias("residue_name"),
-        F.get(parts, F.lit(2)).try_cast("int").alias("residue_number"),
+        F.regexp_replace(F.get(parts, F.lit(2)), "[A-Za-z]$", "").try_cast("int").alias("residue_number"),
         atom.alias("atom_type"),
         F.substring(atom, 1, 1).alias("element_symbol"),
     ]

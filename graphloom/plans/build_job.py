@@ -16,6 +16,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions import labels
 from graphloom.operators import construct, stats
 from graphloom.operators.encode import dense
 from graphloom.operators.lineage import settled
@@ -29,9 +30,8 @@ def collection(codes: DataFrame, atoms: DataFrame, functions: tuple[str, ...] =
     """(nodes, edges, errors) in ingest form of the codes that atoms has; seq is an order of the codes by hash, as lines of a file have none."""
     wanted = codes.filter("code <> ''").distinct().withColumn("_first", F.pmod(F.xxhash64("code"), F.lit(1 << 24)))
     ordered = dense(wanted, ["_first", "code"], "seq").select(F.col("code").alias("graph_code"), "seq")
-    nodes = settled(files.raw_nodes(atoms, granularity).drop("seq").join(ordered, "graph_code"), "atoms")
-    points = nodes.select("seq", "node_label", "coords", *[F.split("node_label", ":")[i].alias(c) for i, c in enumerate(("chain_id", "residue_name"))], F.split("node_label", ":")[2].cast("int").alias("residue_number"))
-    points = points.select(F.col("seq").alias("graph_id"), F.col("node_label").alias("node_id"), "coords", "chain_id", "residue_name", "residue_number", F.lit("C").alias("element_symbol"))
+    nodes = settled(files.raw_nodes(atoms, granularity, order=ordered), "atoms")
+    points = nodes.select(F.col("seq").alias("graph_id"), F.col("node_label").alias("node_id"), "coords", *labels.parsed(F.col("node_label"), granularity))
     built = construct.combine(points, [construct.registry[f] for f in functions])
     built = built.join(ordered.withColumnRenamed("seq", "graph_id"), "graph_id")
     edges = built.select("graph_code", F.col("graph_id").alias("seq"), F.xxhash64("u", "v").alias("pos"), "u", "v", "distance", "kinds")

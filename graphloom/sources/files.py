@@ -43,26 +43,38 @@ def numbers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def structures(spark: SparkSession, path: str) -> DataFrame:
-    """Atoms of fixed-width structure files: code (file name), model, serial, atom, residue, chain, number, x, y, z, b_factor, element.
+    """Atoms of fixed-width structure files: code (file name), model, record, serial, atom_type, alternate, residue_name, chain_id, residue_number, insertion, x, y, z, b_factor, element_symbol.
 
-    Columns are those of the public PDB format. Lines are parsed apart, so a file of any size is
-    read in splits; models after the first are told by ``model`` only where one file is one split.
+    Columns are those of the public PDB format. A record of the reader is a model, which ends at its
+    own line; the format's five-digit serials bound its size, so a file of any number of models is
+    read in splits. Atoms outside models are of model 1. Blank ``alternate`` and ``insertion`` are
+    empty strings; numbers that don't parse are null.
     """
-    lines = spark.read.text(path).select("value", F.upper(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1)).alias("code"))
+    models = spark.read.option("lineSep", "\nENDMDL").text(path).select("value", F.upper(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1)).alias("code"))
+    numbered = models.withColumn("model", F.coalesce(F.regexp_extract("value", r"(?m)^MODEL +(\d+)", 1).try_cast("int"), F.lit(1)))
+    lines = numbered.select("code", "model", F.explode(F.split("value", r"\r?\n")).alias("value"))
     cut = lambda a, n: F.trim(F.substring("value", a, n))
     number = lambda a, n: cut(a, n).try_cast("double")
     atoms = lines.filter(F.substring("value", 1, 6).isin("ATOM  ", "HETATM"))
     return atoms.select(
-        "code", F.substring("value", 1, 6).alias("record"), cut(7, 5).try_cast("int").alias("serial"), cut(13, 4).alias("atom_type"),
-        cut(18, 3).alias("residue_name"), cut(22, 1).alias("chain_id"), cut(23, 4).try_cast("int").alias("residue_number"),
+        "code", "model", F.substring("value", 1, 6).alias("record"), cut(7, 5).try_cast("int").alias("serial"), cut(13, 4).alias("atom_type"), cut(17, 1).alias("alternate"),
+        cut(18, 3).alias("residue_name"), cut(22, 1).alias("chain_id"), cut(23, 4).try_cast("int").alias("residue_number"), cut(27, 1).alias("insertion"),
         number(31, 8).alias("x"), number(39, 8).alias("y"), number(47, 8).alias("z"), number(61, 6).alias("b_factor"), cut(77, 2).alias("element_symbol"),
     )
 
 
-def raw_nodes(atoms: DataFrame, granularity: str = "CA") -> DataFrame:
-    """Ingest rows from parsed atoms: all of them at atom granularity, else those of the named atom type."""
-    kept = atoms if granularity == "atom" else atoms.filter(F.col("atom_type") == granularity)
-    label = [F.col("chain_id"), F.col("residue_name"), F.col("residue_number").cast("string")]
+def raw_nodes(atoms: DataFrame, granularity: str = "CA", model: int = 1, insertions: bool = True, order: DataFrame | None = None) -> DataFrame:
+    """Ingest rows from parsed atoms of one model: all of them at atom granularity, else those of the named atom type.
+
+    Of an atom's alternate places the first by serial counts. An inserted residue is one of its own,
+    with the insertion code behind its number; ``insertions=False`` leaves such residues out. ``seq``
+    comes from ``order`` (graph_code, seq), whose codes are the ones kept; without it ``seq`` is 0.
+    """
+    kept = atoms.filter(F.col("model") == model)
+    kept = kept if granularity == "atom" else kept.filter(F.col("atom_type") == granularity)
+    kept = kept if insertions else kept.filter("insertion = ''")
+    label = [F.col("chain_id"), F.col("residue_name"), F.concat(F.col("residue_number").cast("string"), "insertion")]
     label += [F.col("atom_type")] if granularity == "atom" else []
-    first = kept.groupBy("code", F.concat_ws(":", *label).alias("node_label")).agg(F.min_by(F.struct("x", "y", "z", "b_factor"), "serial").alias("at"), F.min("serial").alias("pos"))
-    return first.select(F.col("code").alias("graph_code"), F.lit(0).cast("long").alias("seq"), F.col("pos").cast("long").alias("pos"), "node_label", F.array("at.x", "at.y", "at.z").alias("coords"), F.col("at.b_factor").alias("b_factor"))
+    first = kept.groupBy(F.col("code").alias("graph_code"), F.concat_ws(":", *label).alias("node_label")).agg(F.min_by(F.struct("x", "y", "z", "b_factor"), "serial").alias("at"), F.min("serial").alias("pos"))
+    placed = first.withColumn("seq", F.lit(0)) if order is None else first.join(order, "graph_code")
+    return placed.select("graph_code", F.col("seq").cast("long").alias("seq"), F.col("pos").cast("long").alias("pos"), "node_label", F.array("at.x", "at.y", "at.z").alias("coords"), F.col("at.b_factor").alias("b_factor"))

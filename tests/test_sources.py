@@ -1,6 +1,6 @@
 import pytest
 
-from graphloom.functions import units
+from graphloom.functions import labels, units
 from graphloom.sources import files, sinks
 from pyspark.sql import functions as F
 
@@ -37,6 +37,26 @@ def test_structures(spark, tmp_path):
     assert files.raw_nodes(atoms, "atom").count() == 2
 
 
+def test_models_alternates_and_insertions(spark, tmp_path):
+    atom = "ATOM  {:5d} {:^4s}{:1s}{:3s} {:1s}{:4d}{:1s}   {:8.3f}{:8.3f}{:8.3f}{:6.2f}{:6.2f}          {:>2s}\n"
+    rows = [(1, "CA", "A", "ALA", "H", 52, ""), (2, "CA", "B", "ALA", "H", 52, ""), (3, "CA", "", "ALA", "H", 52, "A"), (4, "CA", "", "GLY", "H", -3, "")]
+    model = lambda m: f"MODEL     {m:4d}\n" + "".join(atom.format(*r, 10.0 * m + r[0], 0.0, 0.0, 1.0, 0.5, "C") for r in rows) + "ENDMDL\n"
+    (tmp_path / "2abc.pdb").write_text("HEADER    TEST\n" + model(1) + model(2) + "END\n")
+    (tmp_path / "3abc.pdb").write_text(atom.format(*rows[0], 1.0, 0.0, 0.0, 1.0, 0.5, "C").replace("\n", "\r\n"))
+    (tmp_path / "4abc.pdb").write_text("")
+    atoms = files.structures(spark, str(tmp_path))
+    assert {(r.code, r.model): r["count"] for r in atoms.groupBy("code", "model").count().collect()} == {("2ABC", 1): 4, ("2ABC", 2): 4, ("3ABC", 1): 1}
+    of = lambda **options: sorted((r.graph_code, r.seq, r.node_label, r.coords[0]) for r in files.raw_nodes(atoms, **options).collect())
+    first = [("2ABC", 0, "H:ALA:52", 11.0), ("2ABC", 0, "H:ALA:52A", 13.0), ("2ABC", 0, "H:GLY:-3", 14.0), ("3ABC", 0, "H:ALA:52", 1.0)]
+    assert of() == first
+    assert of(insertions=False) == [first[0], *first[2:]]
+    assert [r[3] for r in of(model=2)] == [21.0, 23.0, 24.0]
+    order = spark.createDataFrame([("3ABC", 5)], "graph_code string, seq long")
+    assert of(order=order) == [("3ABC", 5, "H:ALA:52", 1.0)]
+    numbers = files.raw_nodes(atoms).select(*labels.parsed(F.col("node_label"))).collect()
+    assert sorted(r.residue_number for r in numbers) == [-3, 52, 52, 52]
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a", 1.5)], "dataset string, seconds double")
     sinks.results(df, str(tmp_path / "r"))
