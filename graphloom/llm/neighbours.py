@@ -15,15 +15,17 @@ Equal vectors are one entry with its ``k + 1`` smallest ids, which is all that k
 need; a third of all rows may be one vector. No bucket is capped.
 
 Defined results: rows whose id or vector is null, or whose vector is zero, holds null or non-finite
-components, or isn't of the usual length, take no part. Ties go to the smaller id, those of vectors
-of one direction too, as far as their cosines are equal in double precision. Rows that repeat an id
-and a vector count once. An empty table gives no rows.
+components, take no part. Vectors of different lengths have no cosine: each length is searched
+apart, with a forest of its own, and lengths without a query not at all. Ties go to the smaller id,
+those of vectors of one direction too, as far as their cosines are equal in double precision. Rows
+that repeat an id and a vector count once. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 from itertools import groupby
 
 import numpy as np
@@ -35,9 +37,9 @@ from .common import chunked, map_rows, quoted, saved
 SAMPLE, TREES, LEAF, BLOCK, TARGET, CLOSE = 16_384, 16, 96, 4_096, 0.985, 1e-9
 
 
-def usable(vector: Column, length: int) -> Column:
+def usable(vector: Column) -> Column:
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    return vector.isNotNull() & (F.size(vector) == length) & ~F.exists(vector, bad) & F.exists(vector, lambda x: x != 0)
+    return vector.isNotNull() & ~F.exists(vector, bad) & F.exists(vector, lambda x: x != 0)
 
 
 def fit(points: np.ndarray, trees: int = TREES, leaf: int = LEAF, seed: int = 5) -> list[dict]:
@@ -140,10 +142,16 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id", vec
     nothing = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     kind = "array<float>" if df.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
     raw = df.select(F.col(quoted(id)).cast("long").alias("id"), F.col(quoted(vector)).cast(kind).alias("v"), is_query.alias("q")).filter("id is not null and v is not null")
-    usual = raw.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    if not usual:
-        return nothing
-    rows = raw.filter(usable(F.col("v"), usual[0]["n"])).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)).cast(kind))  # -0.0 is 0.0
+    rows = raw.filter(usable(F.col("v"))).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)).cast(kind))  # -0.0 is 0.0
+    # one row a length
+    lengths = sorted(r["n"] for r in raw.groupBy(F.size("v").alias("n")).agg(F.max("q").alias("asks")).filter("asks and n > 0").collect())
+    found = [_of_one_length(rows.filter(F.size("v") == n), k, kind, sample, trees, leaf, search, block) for n in lengths]
+    return reduce(DataFrame.unionByName, [x for x in found if x is not None] or [nothing])
+
+
+def _of_one_length(rows: DataFrame, k: int, kind: str, sample: int, trees: int, leaf: int, search: int | None, block: int) -> DataFrame | None:
+    """``nearest`` of rows (id, v, q) whose vectors are of one length; None if there are none."""
+    spark = rows.sparkSession
     order = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     entries = rows.select("id", "v").distinct().withColumn("n", order).filter(F.col("n") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     entries = saved(entries.withColumn("entry", F.get("ids", F.lit(0))), "entries")
@@ -154,7 +162,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id", vec
     share = min(1.0, sample / max(total, 1))
     chosen = entries.filter(F.pmod(F.xxhash64("entry", F.lit("sample")), F.lit(1 << 24)) < share * (1 << 24)).select("v").limit(2 * sample).toArrow()
     if not chosen.num_rows:
-        return nothing
+        return None
     points = np.array(chosen["v"].combine_chunks().flatten(), float).reshape(chosen.num_rows, -1)
     points = points[np.lexsort(points.T)]  # the forest doesn't depend on the order of rows
     grown = fit(points, trees, leaf)

@@ -525,8 +525,8 @@ def vectors(spark, rows):
     return spark.createDataFrame([(i, v, 0, "x", "y") for i, v in rows], VECTORS)
 
 
-def exact_nearest(rows, queries, k):
-    x = {i: np.array(v, float) for i, v in rows if i is not None and v is not None and len(v) == 8 and all(c is not None and math.isfinite(c) for c in v) and any(v)}
+def exact_nearest(rows, queries, k, length=8):
+    x = {i: np.array(v, float) for i, v in rows if i is not None and v is not None and len(v) == length and all(c is not None and math.isfinite(c) for c in v) and any(v)}
     out = {}
     for q in queries & set(x):
         scored = sorted((-float(neighbours.cosine(x[q][None], x[i][None])[0]), i) for i in x if i != q)
@@ -556,6 +556,15 @@ def test_neighbours_are_exact_when_all_leaves_are_searched(spark):
     assert nearest(vectors(spark, rows), leaf=8, block=16, trees=3, search=10**6) == want
 
 
+def test_each_length_of_vectors_is_searched_apart(spark):
+    rng = np.random.default_rng(14)
+    rows = [(i, float32(rng.normal(size=3 if i % 4 else 8))) for i in range(240)] + [(i, float32(rng.normal(size=5))) for i in range(241, 249)] + [(250, []), (260, [1.0])]
+    queries = set(range(0, 240, 10))
+    want = exact_nearest(rows, queries, 5) | exact_nearest(rows, queries, 5, 3)
+    assert set(want) == queries
+    assert nearest(vectors(spark, rows), leaf=8, block=16, trees=3, search=10**6) == want
+
+
 def test_neighbours_recall(spark):
     rng = np.random.default_rng(6)
     rows = [(i, float32(rng.normal(size=8))) for i in range(1500)]
