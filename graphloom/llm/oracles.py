@@ -60,3 +60,36 @@ read as (
     cast(sum(upto) filter (role = 'assistant' or last) as bigint) as formatted_chars
   from sized group by 1)
 select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256, formatted_chars from read"""
+
+COPIES = """
+with texts as (select doc_id, coalesce(text, '') as t from documents),
+groups as (select t, max(doc_id) as keep_id, count(*) as group_size from texts group by t)
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t) as text_sha256 from texts join groups using (t)"""
+
+
+def _codes(rounds: int = 6, parts: int = 8, entries: int = 16) -> str:
+    """The codebooks round by round: a table of components, one of entries, and the nearest entry of each part."""
+    steps = [
+        """
+kept as materialized (select vec_id, label, embedding as x from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0),
+comps as materialized (select vec_id, (i - 1) // w as p, (i - 1) % w as j, cast(floor(4096 * cast(x[i] as double)) as bigint) as v
+  from (select vec_id, x, len(x) // {parts} as w, unnest(range(1, len(x) + 1)) as i from kept)),
+vecs as materialized (select vec_id, p, list(v order by j) as q from comps group by all),
+book0 as materialized (select p, e, q from vecs join (select vec_id, row_number() over (order by vec_id) - 1 as e from kept qualify e < {entries}) using (vec_id))""".format(parts=parts, entries=entries)
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""
+near{r} as materialized (select vec_id, p, min({{'d': d, 'e': e}}) as n from (
+  select vec_id, p, e, cast(list_sum(list_transform(list_zip(a.q, b.q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as bigint) as d from vecs a join book{r} b using (p)) group by all)""")
+        if r < rounds:
+            steps.append(f"""
+book{r + 1} as materialized (select p, e, coalesce(m.q, b.q) as q from book{r} b left join (
+  select p, e, list((s - ((s % n) + n) % n) // n order by j) as q from (select p, n.e as e, j, sum(v)::bigint as s, count(*) as n from comps join near{r} using (vec_id, p) group by all) group by all) m using (p, e))""")
+    return f"""with {",".join(steps)},
+coded as (select vec_id, string_agg(printf('%02x', n.e), '' order by p) as code, cast(sum(n.d) as bigint) as error from near{rounds} group by all),
+sha as (select sha256(string_agg(array_to_string(q, ','), ',' order by p, e)) as codebooks_sha256 from book{rounds})
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256 from coded join kept using (vec_id), sha"""
+
+
+CODES = _codes()

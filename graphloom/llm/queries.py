@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, langid, mixing, neighbours, oracles, packing, quality, scoring, suffixes, tokens
+from . import chat, codes, exact, jaccard, langid, mixing, neighbours, oracles, packing, quality, scoring, suffixes, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +80,15 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.examples(rows.unionByName(extra)))
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    return exact.duplicates(documents, carry=("text_sha256",))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_packing": op2_packing,
@@ -91,6 +100,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_quality_rules": op10_quality_rules,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 #: The others can't be restated in SQL (tokenizers, fitted models, draws, byte strings); tests hold them against brute force.
@@ -98,4 +109,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_jaccard_join": oracles.JACCARD,
     "op9_chat_formatting": oracles.CHAT,
     "op10_quality_rules": oracles.QUALITY,
+    "op12_exact_dedup": oracles.COPIES,
+    "op13_vector_codes": oracles.CODES,
 }
