@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, codes, exact, jaccard, langid, mixing, neighbours, oracles, packing, quality, scoring, suffixes, tokens
+from . import align, chat, codes, exact, jaccard, langid, mixing, neighbours, oracles, packing, quality, scoring, suffixes, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +80,12 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.examples(rows.unionByName(extra)))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    return align.align(table(spark, sf_dir, "documents"), tokenizer_json(), model)[0]
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
     return exact.duplicates(documents, carry=("text_sha256",))
@@ -100,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_quality_rules": op10_quality_rules,
+    "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
     "op12_exact_dedup": op12_exact_dedup,
     "op13_vector_codes": op13_vector_codes,
 }
