@@ -98,13 +98,15 @@ def aligned(data: bytes, a: Side, b: Side) -> tuple[np.ndarray, np.ndarray, np.n
     whole = b" " + data
     text = data.decode()
     x, y = a.encode(" " + text), b.encode(text)
-    if b"".join([a.bytes_of[i] for i in x]) != whole or b"".join([b.bytes_of[i] for i in y]) != whole:
+    if b"".join(map(a.bytes_of.__getitem__, x)) != whole or b"".join(map(b.bytes_of.__getitem__, y)) != whole:
         return None
     x, y = np.array(x, np.int64), np.array(y, np.int64)
     at_x, at_y = np.cumsum(a.sizes[x]), np.cumsum(b.sizes[y])
-    # tokens without bytes end where the one before ends: the last of them closes the group
-    both = np.intersect1d(at_x, at_y)
-    return x, y, np.searchsorted(at_x, both, "right"), np.searchsorted(at_y, both, "right")
+    # how many tokens of A, and of B, end at or before each byte that both end at; tokens without bytes join the one before
+    ends_x, ends_y = np.zeros(len(whole) + 1, np.int32), np.zeros(len(whole) + 1, np.int32)
+    ends_x[at_x], ends_y[at_y] = np.arange(1, len(x) + 1), np.arange(1, len(y) + 1)
+    both = np.flatnonzero((ends_x > 0) & (ends_y > 0))
+    return x, y, ends_x[both].astype(np.int64), ends_y[both].astype(np.int64)
 
 
 def group_key(x: np.ndarray, y: np.ndarray) -> bytes:
@@ -167,9 +169,11 @@ def numbered(x: np.ndarray, y: np.ndarray, ends_x: np.ndarray, ends_y: np.ndarra
     pairs = (x[starts_x[single]] << SHIFT) | y[starts_y[single]]
     out[single] = np.fromiter(map(groups.__getitem__, pairs.tolist()), np.int64, len(pairs))
     rest = np.flatnonzero(~single)
-    bounds = zip(rest.tolist(), starts_x[rest].tolist(), ends_x[rest].tolist(), starts_y[rest].tolist(), ends_y[rest].tolist())
-    for i, a, b, c, d in bounds:
-        out[i] = groups[group_key(x[a:b], y[c:d])]
+    flat_x, flat_y = x.astype("<u4").tobytes(), y.astype("<u4").tobytes()
+    sizes = (ends_x - starts_x)[rest].astype("<u4").tobytes()
+    bounds = zip((4 * starts_x[rest]).tolist(), (4 * ends_x[rest]).tolist(), (4 * starts_y[rest]).tolist(), (4 * ends_y[rest]).tolist())
+    keys = [sizes[4 * i : 4 * i + 4] + flat_x[a:b] + flat_y[c:d] for i, (a, b, c, d) in enumerate(bounds)]  # as group_key gives them
+    out[rest] = np.fromiter(map(groups.__getitem__, keys), np.int64, len(keys))
     return out
 
 
