@@ -2,7 +2,7 @@
 
 A text is encoded by two tokenizers, A and B, over the same bytes. Offsets at which tokens of both
 end cut the text into groups, each a run of A ids and a run of B ids. Equal groups occur again and
-again, so they are interned: a task numbers the distinct groups of a chunk of documents, the groups
+again, and so do words, whose groups a task looks up. Groups are interned: a task numbers the distinct ones of a chunk of documents, the groups
 of all chunks are merged into one dictionary with their document frequencies, links (all A-B pairs
 of a group) are expanded once for each distinct group, and what a group is worth goes back to the
 chunks by its key, where documents add it up by number.
@@ -21,7 +21,9 @@ by occurrence, a row of A at a time.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -34,17 +36,22 @@ from pyspark.sql import functions as F
 from .common import as_bytes, by_group, in_batches, map_rows, quoted, rows_of, saved
 from .packing import _RUN, RUN, byte_alphabet
 
-CHUNK = 1_000_000  # tokens of A and B
+#: A chunk ends at so many tokens of A and B, or distinct words; a task holds the distinct words and groups of a chunk.
+CHUNK, WORDS = 8_000_000, 400_000
 WIDE = 200_000  # pairs of distinct ids from which a group isn't expanded as one array
 _SIDES: dict[int, "Side"] = {}
 SHIFT, LOW = np.int64(32), np.int64(0xFFFFFFFF)
 
 
 class Side:
-    """A tokenizer: ``encode(text)`` gives ids, ``bytes_of[id]`` what a token spells, ``sizes`` their lengths."""
+    """A tokenizer: ``encode(text)`` gives ids, ``bytes_of[id]`` what a token spells, ``sizes`` their lengths.
 
-    def __init__(self, encode: Callable[[str], list[int]], bytes_of: list[bytes]):
-        self.encode, self.bytes_of = encode, bytes_of
+    ``by_words``: no token holds a space behind something else, so a text may be cut before a space
+    that follows no white space, and each part be encoded alone.
+    """
+
+    def __init__(self, encode: Callable[[str], list[int]], bytes_of: list[bytes], by_words: bool):
+        self.encode, self.bytes_of, self.by_words = encode, bytes_of, by_words
         self.sizes = np.array([len(b) for b in bytes_of], np.int64)
 
 
@@ -73,7 +80,9 @@ def byte_level(tokenizer_json: str) -> Side:
         return exact[0].encode(text, add_special_tokens=False).ids
 
     known = {i: b for b, i in ranks.items()}
-    return Side(encode, [known.get(i, b"") for i in range(max(known) + 1)])
+    # its pattern puts the space in front of a word and never behind
+    by_words = (spec.get("pre_tokenizer") or {}) | {"trim_offsets": None} == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": None, "use_regex": True} and not spec.get("normalizer")
+    return Side(encode, [known.get(i, b"") for i in range(max(known) + 1)], by_words)
 
 
 def pieces(model: bytes) -> Side:
@@ -83,7 +92,18 @@ def pieces(model: bytes) -> Side:
     sp = sentencepiece.SentencePieceProcessor()
     sp.LoadFromSerializedProto(model)
     spelt = [bytes([int(sp.id_to_piece(i)[3:-1], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace("▁", " ").encode() for i in range(sp.get_piece_size())]
-    return Side(lambda text: sp.encode(text, num_threads=1), spelt)
+    # pieces hold a space in front alone, and only merges of known pieces are made
+    by_words = not any(b" " in b.lstrip(b" ") for b in spelt)
+    return Side(lambda text: sp.encode(text, num_threads=1), spelt, by_words)
+
+
+_CUT = re.compile(r"(?<=[^\s▁]) (?!\Z)")  # the sign that pieces write for a space is one in a text as well
+_RAGGED = re.compile(r"[\s▁] |^ | \Z")
+
+
+def words_of(text: str) -> list[str]:
+    """The text, with a space in front, cut before each space that follows no white space and isn't the last character; without the first space of each part."""
+    return _CUT.split(text) if _RAGGED.search(text) else text.split(" ")
 
 
 def _side(make: Callable, source: str | bytes) -> Side:
@@ -93,8 +113,8 @@ def _side(make: Callable, source: str | bytes) -> Side:
     return _SIDES[key]
 
 
-def aligned(data: bytes, a: Side, b: Side) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-    """A ids, B ids, and where each group ends in them; None if a tokenizer doesn't spell the text."""
+def aligned(data: bytes, a: Side, b: Side) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """A ids, B ids, where each group ends in them, and at which byte, of a text or a part that stands behind a space; None if a tokenizer doesn't spell it."""
     whole = b" " + data
     text = data.decode()
     x, y = a.encode(" " + text), b.encode(text)
@@ -106,7 +126,7 @@ def aligned(data: bytes, a: Side, b: Side) -> tuple[np.ndarray, np.ndarray, np.n
     ends_x, ends_y = np.zeros(len(whole) + 1, np.int32), np.zeros(len(whole) + 1, np.int32)
     ends_x[at_x], ends_y[at_y] = np.arange(1, len(x) + 1), np.arange(1, len(y) + 1)
     both = np.flatnonzero((ends_x > 0) & (ends_y > 0))
-    return x, y, ends_x[both].astype(np.int64), ends_y[both].astype(np.int64)
+    return x, y, ends_x[both].astype(np.int64), ends_y[both].astype(np.int64), both
 
 
 def group_key(x: np.ndarray, y: np.ndarray) -> bytes:
@@ -177,6 +197,59 @@ def numbered(x: np.ndarray, y: np.ndarray, ends_x: np.ndarray, ends_y: np.ndarra
     return out
 
 
+class Words(dict):
+    """word -> place in the lists of what a word of the chunk's texts is: groups by number, tokens, and its groups as shown."""
+
+    def __init__(self, a: Side, b: Side, groups: Groups):
+        super().__init__()
+        self.a, self.b, self.groups = a, b, groups
+        self.numbers: list[list[int]] = []
+        self.n_a: list[int] = []
+        self.n_b: list[int] = []
+        self.shown: list[str] = []
+        self.misspelt: set[int] = set()
+
+    def _learn(self, words: list[str]) -> None:
+        """New words, encoded as one text; it is cut before each of them as the text they come from is."""
+        found = aligned(" ".join(words).encode(), self.a, self.b)
+        if found is None and len(words) > 1:  # one of them isn't spelt
+            for word in words:
+                self._learn([word])
+            return
+        if found is None:
+            self.misspelt.add(len(self.numbers))
+            self._add(words[0], [], 0, 0)
+            return
+        x, y, ends_x, ends_y, ends = found
+        numbers, shown = numbered(x, y, ends_x, ends_y, self.groups).tolist(), self.groups.shown
+        last = np.searchsorted(ends, np.cumsum([len(w.encode()) + 1 for w in words]))
+        at = at_x = at_y = 0
+        for word, to, to_x, to_y in zip(words, (last + 1).tolist(), ends_x[last].tolist(), ends_y[last].tolist()):
+            self._add(word, numbers[at:to], to_x - at_x, to_y - at_y)
+            at, at_x, at_y = to, to_x, to_y
+
+    def _add(self, word: str, numbers: list[int], n_a: int, n_b: int) -> None:
+        self[word] = len(self.numbers)
+        self.numbers.append(numbers)
+        self.n_a.append(n_a)
+        self.n_b.append(n_b)
+        self.shown.append(";".join([self.groups.shown[g] for g in numbers]))
+
+    def text(self, text: str) -> tuple[int, int, np.ndarray, str] | None:
+        """Tokens of A, of B, the number of each group, and the groups as shown; None if a tokenizer doesn't spell the text."""
+        words = words_of(text) if self.a.by_words and self.b.by_words else [text]
+        new = [w for w in dict.fromkeys(words[:-1]) if w not in self]
+        if words[-1] not in self and words[-1] not in new:
+            new.append(words[-1])  # it alone may end in white space, so it goes last
+        if new:
+            self._learn(new)
+        places = list(map(self.__getitem__, words))
+        if self.misspelt and not self.misspelt.isdisjoint(places):
+            return None
+        numbers = np.fromiter(itertools.chain.from_iterable(map(self.numbers.__getitem__, places)), np.int64)
+        return sum(map(self.n_a.__getitem__, places)), sum(map(self.n_b.__getitem__, places)), numbers, ";".join(map(self.shown.__getitem__, places))
+
+
 def counted_again(distinct: np.ndarray, groups: Groups, keys: Callable[[int], bytes], add: Callable[[int, int], None]) -> None:
     """add(pair, k - 1) for each pair that k > 1 of a document's distinct groups have."""
     arrays = [groups.pairs[g] for g in distinct.tolist()]
@@ -210,6 +283,7 @@ def encoded(df: DataFrame, tokenizer_json: str, model: bytes, id: str, text: str
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         a, b = _side(byte_level, sources.value[0]), _side(pieces, sources.value[1])
         place, volume, groups, again = TaskContext.get().partitionId() << 32, 0, Groups(), Counter()
+        words = Words(a, b, groups)
         order: list[bytes] = []
 
         def key(number: int) -> bytes:
@@ -222,28 +296,28 @@ def encoded(df: DataFrame, tokenizer_json: str, model: bytes, id: str, text: str
 
         def closed() -> Iterator[tuple]:
             for number, (k, n) in enumerate(zip(groups.keys_in_order(), groups.documents)):
-                yield GROUP, place, None, None, None, None, None, None, None, None, number, k, n, None, None
+                if n:  # words of texts that aren't spelt have groups that no document counts
+                    yield GROUP, place, None, None, None, None, None, None, None, None, number, k, n, None, None
             for pair, n in again.items():
                 yield AGAIN, place, None, None, None, None, None, None, None, None, None, None, n, pair >> 32, pair & 0xFFFFFFFF
 
         for doc, data in rows:
-            found = aligned(data, a, b) if data else None
+            found = words.text(data.decode()) if data else None
             if found is None:
                 yield DOC, place, doc, 0, 0, 0, 0, "", b"", b"", None, None, None, None, None
                 continue
-            x, y, ends_x, ends_y = found
-            numbers = numbered(x, y, ends_x, ends_y, groups)
+            n_a, n_b, numbers, shown_ = found
             distinct, times = np.unique(numbers, return_counts=True)
             for g in distinct.tolist():
                 groups.documents[g] += 1
             counted_again(distinct, groups, key, count)
-            text = ";".join([groups.shown[g] for g in numbers.tolist()])
             n_links = sum(groups.links[g] * t for g, t in zip(distinct.tolist(), times.tolist()))
-            yield DOC, place, doc, len(x), len(y), len(numbers), n_links, hashlib.sha256(text.encode()).hexdigest(), distinct.astype("<u4").tobytes(), times.astype("<u4").tobytes(), None, None, None, None, None
-            volume += len(x) + len(y)
-            if volume >= chunk:
+            yield DOC, place, doc, n_a, n_b, len(numbers), n_links, hashlib.sha256(shown_.encode()).hexdigest(), distinct.astype("<u4").tobytes(), times.astype("<u4").tobytes(), None, None, None, None, None
+            volume += n_a + n_b
+            if volume >= chunk or len(words) >= WORDS:
                 yield from closed()
                 place, volume, groups, again = place + 1, 0, Groups(), Counter()
+                words = Words(a, b, groups)
                 order.clear()
         yield from closed()
 
@@ -277,9 +351,8 @@ def pair_counts(links: DataFrame, again: DataFrame) -> DataFrame:
 
 def _added_up(docs: pa.Table, values: pa.Table) -> pa.Table:
     """Documents of a chunk with what their groups are worth, found by number."""
-    n = values.num_rows
-    worth = np.zeros((n, 2), np.int64)
     at = values.column("number").to_numpy()
+    worth = np.zeros((at.max(initial=-1) + 1, 2), np.int64)
     worth[at, 0], worth[at, 1] = values.column("best").to_numpy(), values.column("count_sum").to_numpy()
     best, total = [], []
     for numbers, times in zip(docs.column("numbers").to_pylist(), docs.column("times").to_pylist()):

@@ -69,7 +69,7 @@ def by_hand(rows, a, b):
     return sorted(out, key=str)
 
 
-TEXTS = ["Hello world", "unbelievable antidisestablishmentarianism", "Grüße aus Köln, naïve café", "漢字かな交じり文", "💩💩 👩‍👩‍👧 flags 🇩🇪", "<|endoftext|> <s> </s> <unk> <0x41> [INST]", "a▁b", "tab\tnew\nline\r\n  two  spaces   three", "x" * 3000, "0123456789" * 30, "\x00nul\x01", "end ", " start", "  ", "é́", "QWxhZGRpbjpvcGVuIHNlc2FtZQ==" * 9]
+TEXTS = ["Hello world", "unbelievable antidisestablishmentarianism", "Grüße aus Köln, naïve café", "漢字かな交じり文", "💩💩 👩‍👩‍👧 flags 🇩🇪", "<|endoftext|> <s> </s> <unk> <0x41> [INST]", "a▁b", "tab\tnew\nline\r\n  two  spaces   three", "x" * 3000, "0123456789" * 30, "\x00nul\x01", "end ", " start", "  ", "é́", "QWxhZGRpbjpvcGVuIHNlc2FtZQ==" * 9, "a\n  b \n c\n\n d  \ne\t f\u00a0 g \u3000h", "  two in front", "don't  'tis it's", "\n", " \n ", "x\x1c y\x85 z"]
 
 
 @pytest.mark.parametrize("chunk", [1, 60, 1_000_000])
@@ -121,3 +121,16 @@ def test_links_of_a_group():
     key = align.group_key(np.array([5, 7, 5]), np.array([1, 1, 2]))
     assert align.shown(key) == "5,7,5|1,1,2"
     assert {(i, int(j)): int(m) for i, ys, ms in align.links_of(key) for j, m in zip(ys, ms)} == {(5, 1): 4, (5, 2): 2, (7, 1): 2, (7, 2): 1}
+
+
+def test_parts_are_encoded_alone(model, tokenizers):
+    """Texts cut before spaces give the tokens of the whole."""
+    a, b = align.byte_level(tokenizer_json()), align.pieces(model)
+    assert a.by_words and b.by_words
+    rng = random.Random(2)
+    for n in range(400):
+        text = "".join(rng.choice(["a", "Bc", " ", " ", "  ", "\n", "\t", ".", "'s", "12", "ü", "漢", "\u00a0", "\u2003", "!?", "▁", "\x1d"]) for _ in range(n % 40 + 1))
+        parts = align.words_of(text)
+        assert " " + " ".join(parts) == " " + text
+        assert sum((a.encode(" " + p) for p in parts), []) == tokenizers[0].encode(" " + text, add_special_tokens=False).ids
+        assert sum((b.encode(p) for p in parts), []) == tokenizers[1].encode(text)
