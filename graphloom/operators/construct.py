@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 AROMATIC = ("PHE", "TRP", "HIS", "TYR")
@@ -55,7 +55,15 @@ def distance(a: str, b: str) -> Column:
     return F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
 
 
+def placed(nodes: DataFrame) -> DataFrame:
+    """Nodes with three finite coordinates; the others have no place and take no part in any edge."""
+    known = F.col("coords").isNotNull() & (F.size("coords") == 3)
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    return nodes.filter(known & F.forall("coords", finite))
+
+
 def _sides(nodes: DataFrame, extra: list[str]) -> tuple[DataFrame, DataFrame]:
+    nodes = placed(nodes)
     side = lambda s: nodes.select("graph_id", F.col("node_id").alias(s), F.col("coords").alias(f"{s}_at"), *[F.col(c).alias(f"{s}_{c}") for c in extra])
     return side("u"), side("v")
 
@@ -100,13 +108,11 @@ def distance_window(nodes: DataFrame, low: float, high: float) -> DataFrame:
 
 def knn(nodes: DataFrame, k: int = 3, long_interaction_threshold: int = 0) -> DataFrame:
     """Edges from each node to its k nearest, ties to the smaller id; an edge both ends choose is one."""
+    from .knn import nearest
+
     extra = CHAIN if long_interaction_threshold else []
-    a, b = _sides(nodes, extra)
-    pairs = a.join(b, "graph_id").filter("u <> v").withColumn("distance", distance("u_at", "v_at"))
-    if long_interaction_threshold:
-        pairs = pairs.filter(_far_in_chain(long_interaction_threshold))
-    rank = F.row_number().over(Window.partitionBy("graph_id", "u").orderBy("distance", "v"))
-    near = pairs.select("graph_id", "u", "v", "distance", rank.alias("r")).filter(F.col("r") <= k)
+    allowed = _far_in_chain(long_interaction_threshold) if long_interaction_threshold else None
+    near = nearest(placed(nodes), k, extra, allowed)
     return near.select("graph_id", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "distance").distinct().select("graph_id", F.col("a").alias("u"), F.col("b").alias("v"), F.lit("knn").alias("kind"), "distance")
 
 
@@ -145,20 +151,10 @@ def vdw_clashes(nodes: DataFrame) -> DataFrame:
 
 
 def delaunay(nodes: DataFrame) -> DataFrame:
-    """Edges of the 3-D Delaunay triangulation of each graph; a graph is one unit of work."""
-    from .delaunay import edges_of
-
-    def run(key, pdf):
-        import numpy as np
-        import pandas as pd
-
-        pdf = pdf.sort_values("node_id")
-        ids, at = pdf["node_id"].to_numpy(), np.array(pdf["coords"].tolist(), float).reshape(-1, 3)
-        pairs = edges_of(at)
-        return pd.DataFrame({"graph_id": key[0], "u": [ids[a] for a, _ in pairs], "v": [ids[b] for _, b in pairs], "kind": "delaunay", "distance": [float(np.sqrt(((at[a] - at[b]) ** 2).sum())) for a, b in pairs]})
+    """Edges of the 3-D Delaunay triangulation of each graph."""
+    from .delaunay import edges
 
-    kind = nodes.schema["node_id"].dataType.simpleString()
-    return nodes.select("graph_id", "node_id", "coords").groupBy("graph_id").applyInPandas(run, f"graph_id long, u {kind}, v {kind}, kind string, distance double")
+    return _edges(edges(placed(nodes)), "delaunay")
 
 
 def combine(nodes: DataFrame, functions: list[Callable[[DataFrame], DataFrame]]) -> DataFrame:

@@ -8,6 +8,8 @@ counted, and a rank is the number of rows in earlier ranges plus the place insid
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,9 +35,10 @@ def upper_codes(df: DataFrame) -> DataFrame:
     return df.withColumn("graph_code", labels.code(F.col("graph_code")))
 
 
-def graph_catalog(nodes: DataFrame, start: int = 0) -> DataFrame:
-    """graph_id, graph_code, seq."""
-    first = nodes.groupBy("graph_code").agg(F.min("seq").alias("seq"))
+def graph_catalog(*rows: DataFrame, start: int = 0) -> DataFrame:
+    """graph_id, graph_code, seq of the graphs that any of the tables has rows of."""
+    firsts = [df.groupBy("graph_code").agg(F.min("seq").alias("seq")) for df in rows]
+    first = firsts[0] if len(firsts) == 1 else reduce(DataFrame.unionByName, firsts).groupBy("graph_code").agg(F.min("seq").alias("seq"))
     return dense(first, ["seq", "graph_code"], "graph_id", start).select("graph_id", "graph_code", "seq")
 
 

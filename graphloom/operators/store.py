@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import zlib
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,11 +19,16 @@ from pyspark.sql import functions as F
 from graphloom.functions import labels
 from graphloom.functions.residues import one_hot, with_descriptors
 
-from . import encode
+from . import bitmaps, encode, versions
 from .lineage import settled
 
 TABLES = ("graphs", "node_dict", "edge_dict", "graph_nodes", "graph_edges")
-BUCKETS = 64
+DICTIONARIES = {"node_dict": "node_id", "edge_dict": "edge_id"}
+#: Bitmaps of a written collection, what they hold memberships of, and in which dictionary.
+BITS = {"node_bits": ("graph_nodes", "node_dict", "node_id"), "edge_bits": ("graph_edges", "edge_dict", "edge_id")}
+#: Folders of a written collection: buckets of graphs, ids a folder of a dictionary has at least, and how many such folders are aimed at.
+BUCKETS, RANGE, RANGES = 64, 4096, 512
+FEW = 10_000  # memberships that a lookup fetches to the driver
 NODES = "graph_code string, seq long, pos long, node_label string, coords array<double>, b_factor double"
 EDGES = "graph_code string, seq long, pos long, u string, v string, distance double, kinds array<string>"
 
@@ -58,11 +65,28 @@ class GraphStore:
     # building -----------------------------------------------------------------------------------
 
     @staticmethod
-    def build(nodes: DataFrame, edges: DataFrame, meta: Meta = Meta()) -> "GraphStore":
-        """Encode a whole collection; codes are upper-cased, repeated rows keep the last by pos."""
+    def build(nodes: DataFrame, edges: DataFrame, meta: Meta = Meta(), codes: DataFrame | None = None) -> "GraphStore":
+        """Encode a whole collection; codes are upper-cased, repeated rows keep the last by pos.
+
+        A graph that has edges alone is in the catalogue, and so is one that ``codes`` (graph_code, seq) names, with rows or not.
+        """
+        return GraphStore._encoded(nodes, edges, meta, codes)
+
+    @staticmethod
+    def _encoded(nodes: DataFrame, edges: DataFrame, meta: Meta, codes: DataFrame | None, known: "GraphStore | None" = None, start: dict[str, int] | None = None) -> "GraphStore":
+        """What rows add to a store: new graphs, new labels, memberships. ``start``: the next seq and ids."""
+        start = start or {"seq": 0, "graph_id": 0, "node_id": 0, "edge_id": 0}
         nodes, edges = encode.upper_codes(nodes), encode.upper_codes(edges)
-        graphs, node_dict, edge_dict = encode.graph_catalog(nodes), encode.node_dictionary(nodes, meta.granularity), encode.edge_dictionary(edges)
-        return GraphStore(graphs, node_dict, edge_dict, encode.graph_nodes(nodes, graphs, node_dict), encode.graph_edges(edges, graphs, edge_dict), meta)
+        named = [nodes, edges] + ([encode.upper_codes(codes)] if codes is not None else [])
+        graphs = encode.graph_catalog(*named, start=start["graph_id"]).withColumn("seq", F.col("seq") + start["seq"])
+        new_nodes, new_edges = nodes, edges
+        if known is not None:
+            new_nodes = nodes.join(known.node_dict.select("node_label"), "node_label", "left_anti")
+            new_edges = encode.canonical(edges).join(known.edge_dict.select("src_label", "dst_label"), ["src_label", "dst_label"], "left_anti").drop("src_label", "dst_label")
+        node_dict, edge_dict = encode.node_dictionary(new_nodes, meta.granularity, start["node_id"]), encode.edge_dictionary(new_edges, start["edge_id"])
+        all_nodes = node_dict if known is None else known.node_dict.unionByName(node_dict)
+        all_edges = edge_dict if known is None else known.edge_dict.unionByName(edge_dict)
+        return GraphStore(graphs, node_dict, edge_dict, encode.graph_nodes(nodes, graphs, all_nodes), encode.graph_edges(edges, graphs, all_edges), meta)
 
     @staticmethod
     def empty(spark: SparkSession, meta: Meta = Meta()) -> "GraphStore":
@@ -72,36 +96,39 @@ class GraphStore:
         """The same store with its tables written once: for stores that are read more than once."""
         return replace(self, **{t: settled(df, t) for t, df in self.tables.items()})
 
-    def insert(self, nodes: DataFrame, edges: DataFrame, on_duplicate: str = "ignore", meta: Meta | None = None) -> "GraphStore":
+    def insert(self, nodes: DataFrame, edges: DataFrame, on_duplicate: str = "ignore", meta: Meta | None = None, codes: DataFrame | None = None) -> "GraphStore":
         """Append graphs. ``on_duplicate``: 'ignore' keeps what is stored, 'replace' takes the new, 'error' raises.
 
-        Known labels keep their ids; new ones are appended in first-seen order.
+        Known labels keep their ids; new ones are appended in first-seen order. Annotations of the
+        graphs stay; new graphs have nulls there.
         """
-        if meta is not None and meta.fingerprint() != self.meta.fingerprint():
-            raise ValueError("the graphs were built with other functions than the store")
-        nodes, edges = encode.upper_codes(nodes), encode.upper_codes(edges)
-        known, store = self.graphs.select("graph_code"), self
+        store = self
         if on_duplicate == "replace":
             store = self.remove(nodes.select("graph_code"), compact=False)
-        elif on_duplicate == "error":
-            if not nodes.join(known, "graph_code", "left_semi").isEmpty():
+        added = store._added(nodes, edges, on_duplicate, meta, codes, store.next_ids())
+        return replace(store, **{t: df.unionByName(added.tables[t], allowMissingColumns=t == "graphs") for t, df in store.tables.items()})
+
+    def _added(self, nodes: DataFrame, edges: DataFrame, on_duplicate: str, meta: Meta | None, codes: DataFrame | None, start: dict[str, int]) -> "GraphStore":
+        if meta is not None and meta.fingerprint() != self.meta.fingerprint():
+            raise ValueError("the graphs were built with other functions than the store")
+        rows = [encode.upper_codes(df) for df in (nodes, edges, codes) if df is not None]
+        known = self.graphs.select("graph_code")
+        if on_duplicate == "error":
+            if any(not df.join(known, "graph_code", "left_semi").isEmpty() for df in rows):
                 raise ValueError("graphs are in the store already")
         elif on_duplicate == "ignore":
-            nodes, edges = nodes.join(known, "graph_code", "left_anti"), edges.join(known, "graph_code", "left_anti")
-        else:
+            rows = [df.join(known, "graph_code", "left_anti") for df in rows]
+        elif on_duplicate != "replace":
             raise ValueError(f"on_duplicate={on_duplicate!r}")
-        top = lambda df, c: int(df.agg(F.max(c)).first()[0] if df.take(1) else -1) + 1
-        last = top(store.graphs, "seq")
-        graphs = encode.graph_catalog(nodes, top(store.graphs, "graph_id")).withColumn("seq", F.col("seq") + last)
-        new_nodes = encode.node_dictionary(nodes.join(store.node_dict.select("node_label"), "node_label", "left_anti"), self.meta.granularity, top(store.node_dict, "node_id"))
-        fresh = encode.canonical(edges).join(store.edge_dict.select("src_label", "dst_label"), ["src_label", "dst_label"], "left_anti").drop("src_label", "dst_label")
-        new_edges = encode.edge_dictionary(fresh, top(store.edge_dict, "edge_id"))
-        node_dict, edge_dict = store.node_dict.unionByName(new_nodes), store.edge_dict.unionByName(new_edges)
-        return replace(
-            store, graphs=store.graphs.unionByName(graphs), node_dict=node_dict, edge_dict=edge_dict,
-            graph_nodes=store.graph_nodes.unionByName(encode.graph_nodes(nodes, graphs, node_dict)),
-            graph_edges=store.graph_edges.unionByName(encode.graph_edges(edges, graphs, edge_dict)),
-        )
+        return GraphStore._encoded(rows[0], rows[1], self.meta, rows[2] if codes is not None else None, self, start)
+
+    def next_ids(self) -> dict[str, int]:
+        """The next seq, graph_id, node_id and edge_id."""
+        top = {}
+        for t, columns in (("graphs", ["seq", "graph_id"]), ("node_dict", ["node_id"]), ("edge_dict", ["edge_id"])):
+            row = getattr(self, t).agg(*[F.max(c).alias(c) for c in columns]).first()
+            top |= {c: 0 if row[c] is None else int(row[c]) + 1 for c in columns}
+        return top
 
     # reading ------------------------------------------------------------------------------------
 
@@ -175,17 +202,37 @@ class GraphStore:
     def compact(self) -> "GraphStore":
         """Ids dense again: graphs by seq, nodes and edges by (first graph that has them, old id); unused entries vanish."""
         graphs = settled(encode.dense(self.graphs.withColumnRenamed("graph_id", "_old"), ["seq", "graph_code"], "graph_id"), "graphs")
+        return GraphStore._renumbered([(self, graphs.select(F.col("_old").alias("graph_id"), F.col("graph_id").alias("_graph")))], graphs.select(self.graphs.columns), self.meta)
 
-        def again(members: DataFrame, dictionary: DataFrame, id: str) -> tuple[DataFrame, DataFrame]:
-            moved = members.join(graphs.select(F.col("_old").alias("graph_id"), F.col("graph_id").alias("_graph")), "graph_id").drop("graph_id").withColumnRenamed("_graph", "graph_id")
-            first = moved.groupBy(F.col(id).alias("_old")).agg(F.min("graph_id").alias("_first"))
-            ids = settled(encode.dense(first, ["_first", "_old"], id).select("_old", id), id)
-            renamed = lambda df: df.withColumnRenamed(id, "_old").join(ids, "_old").drop("_old")
-            return renamed(moved).select(members.columns), renamed(dictionary).select(dictionary.columns)
+    @staticmethod
+    def _renumbered(parts: list[tuple["GraphStore", DataFrame]], graphs: DataFrame, meta: Meta) -> "GraphStore":
+        """A store of the parts' graphs under new ids: each part comes with (graph_id, _graph), old and new, of the graphs it gives.
 
-        graph_nodes, node_dict = again(self.graph_nodes, self.node_dict, "node_id")
-        graph_edges, edge_dict = again(self.graph_edges, self.edge_dict, "edge_id")
-        return replace(self, graphs=graphs.select(self.graphs.columns), node_dict=node_dict, edge_dict=edge_dict, graph_nodes=graph_nodes, graph_edges=graph_edges)
+        Entries of the dictionaries that a surviving graph has are united by their labels, once each, and
+        ranked; memberships move by old and new id and never meet a label.
+        """
+
+        def again(members: str, dictionary: str, id: str, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+            moved, used = [], []
+            for at, (store, ids) in enumerate(parts):
+                here = getattr(store, members).join(ids, "graph_id").drop("graph_id").withColumnRenamed("_graph", "graph_id")
+                first = here.groupBy(F.col(id).alias("_old")).agg(F.min("graph_id").alias("_first"))
+                entries = getattr(store, dictionary).withColumnRenamed(id, "_old").join(first, "_old")
+                moved.append(here.withColumnRenamed(id, "_old"))
+                used.append(entries.withColumn("_part", F.lit(at)))
+            union = reduce(DataFrame.unionByName, used)
+            rest = [c for c in union.columns if c not in ("_old", "_first", "_part", *keys)]
+            # an entry has one row a part
+            one = union.groupBy(*keys).agg(F.min(F.struct("_first", "_old")).alias("_at"), F.collect_list(F.struct("_part", "_old")).alias("_from"), *[F.first(c).alias(c) for c in rest])
+            ranked = settled(encode.dense(one.select("*", F.col("_at._first").alias("_first"), F.col("_at._old").alias("_place")), ["_first", "_place"], id), id)
+            new = settled(ranked.select(F.explode("_from").alias("_e"), id).select("_e._part", "_e._old", id), "ids")
+            out = [df.join(new.filter(F.col("_part") == at).drop("_part"), "_old").drop("_old") for at, df in enumerate(moved)]
+            columns = getattr(parts[0][0], members).columns
+            return reduce(DataFrame.unionByName, out).select(columns), ranked.select(getattr(parts[0][0], dictionary).columns)
+
+        graph_nodes, node_dict = again("graph_nodes", "node_dict", "node_id", ["node_label"])
+        graph_edges, edge_dict = again("graph_edges", "edge_dict", "edge_id", ["src_label", "dst_label"])
+        return GraphStore(graphs, node_dict, edge_dict, graph_nodes, graph_edges, meta)
 
     def remove(self, codes: DataFrame | str | Iterable[str], compact: bool = True) -> "GraphStore":
         """The store without some graphs; unknown codes do nothing."""
@@ -206,43 +253,81 @@ class GraphStore:
 
     @staticmethod
     def merge(stores: list["GraphStore"]) -> "GraphStore":
-        """Union by code. Of graphs in several stores the last store's wins, then the list order; the list is left alone."""
+        """Union by code. Of graphs in several stores the last store's wins, then the list order; the list is left alone.
+
+        Graphs come in the order of insertion, the last store's first. Annotations come along.
+        """
         if len({s.meta.fingerprint() for s in stores}) > 1:
             raise ValueError("stores were built with different functions")
         order = [stores[-1], *stores[:-1]]
-        owners, nodes, edges = None, None, None
-        for priority, store in enumerate(order):
-            mark = lambda df: df.withColumn("_from", F.lit(priority))  # noqa: E731, B023
-            n, e = (mark(df) for df in store.raw())
-            g = mark(store.graphs.select("graph_code"))
-            owners, nodes, edges = (a if b is None else b.unionByName(a) for a, b in ((g, owners), (n, nodes), (e, edges)))
-        winner = owners.groupBy("graph_code").agg(F.min("_from").alias("_from"))
-        # order of insertion: the winning store's graphs first, then those the others add; seq ranges of stores don't mix
-        span = nodes.groupBy("_from").agg((F.max("seq") + 1).alias("_span"))
-        from pyspark.sql import Window
-
-        shift = span.select("_from", (F.sum("_span").over(Window.orderBy("_from")) - F.col("_span")).alias("_shift"))  # a row a store
-        kept = lambda df: df.join(winner, ["graph_code", "_from"], "left_semi").join(F.broadcast(shift), "_from").withColumn("seq", F.col("seq") + F.col("_shift")).drop("_from", "_shift")
-        return GraphStore.build(settled(kept(nodes), "nodes"), settled(kept(edges), "edges"), stores[-1].meta)
+        shift, every = 0, []
+        for at, store in enumerate(order):
+            every.append(store.graphs.withColumns({"_part": F.lit(at), "_old": F.col("graph_id"), "seq": F.col("seq") + shift}).drop("graph_id"))
+            shift += store.next_ids()["seq"]
+        union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), every)
+        winner = union.groupBy("graph_code").agg(F.min("_part").alias("_part"))
+        graphs = settled(encode.dense(union.join(winner, ["graph_code", "_part"]), ["seq", "graph_code"], "graph_id"), "graphs")
+        ids = lambda at: graphs.filter(F.col("_part") == at).select(F.col("_old").alias("graph_id"), F.col("graph_id").alias("_graph"))
+        columns = ["graph_id", *[c for c in graphs.columns if c not in ("graph_id", "_part", "_old")]]
+        return GraphStore._renumbered([(store, ids(at)) for at, store in enumerate(order)], graphs.select(columns), stores[-1].meta)
 
     # persistence --------------------------------------------------------------------------------
 
-    def write(self, path: str, buckets: int = BUCKETS) -> None:
-        """Parquet; membership tables are partitioned by a bucket of the graph id, so that one graph reads one bucket."""
+    def write(self, path: str, buckets: int = BUCKETS) -> int:
+        """The next version of the collection at ``path``, which may be the one this store was read from; its number.
+
+        Memberships are in folders by a bucket of the graph id, dictionaries by ranges of ids, the
+        catalogue by a slot of the code, so that one graph reads few files.
+        """
         spark = self.graphs.sparkSession
-        self.graphs.write.mode("overwrite").parquet(f"{path}/graphs")
-        for t in ("node_dict", "edge_dict"):
-            getattr(self, t).write.mode("overwrite").parquet(f"{path}/{t}")
-        for t in ("graph_nodes", "graph_edges"):
-            cut = getattr(self, t).withColumn("bucket", F.pmod("graph_id", F.lit(buckets)).cast("int"))
-            # rebalanced, not hashed by bucket alone: a large bucket is written by several tasks
-            cut.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{t}")
-        spark.createDataFrame([(self.meta.as_json(), buckets)], "meta string, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/store_meta")
+        was = versions.manifest(spark, path)
+        start = self.next_ids()
+        ranges = {t: max(RANGE, -(-start[id] // RANGES)) for t, id in DICTIONARIES.items()}
+        tables = self._folders(path, buckets, ranges)
+        entry = {"meta": self.meta.as_json(), "buckets": buckets, "ranges": ranges, "next": start, "tables": tables, "batches": {}}
+        return versions.commit(spark, path, entry, was["version"] if was else 0)
+
+    def _folders(self, path: str, buckets: int, ranges: dict[str, int]) -> dict[str, dict]:
+        """The tables as new folders, as a manifest names them."""
+        commit = versions.folder()
+        sized = self.graphs
+        for t, n in (("graph_nodes", "_n_nodes"), ("graph_edges", "_n_edges")):
+            sized = sized.join(getattr(self, t).groupBy("graph_id").agg(F.count("*").alias(n)), "graph_id", "left").fillna(0, [n])
+        slot = F.pmod(F.crc32(F.col("graph_code").cast("binary")), F.lit(buckets)).cast("int")
+        cuts = {"graphs": (sized, "slot", slot, "graph_code")}
+        cuts |= {t: (getattr(self, t), "range", F.floor(F.col(id) / ranges[t]).cast("int"), id) for t, id in DICTIONARIES.items()}
+        cuts |= {b: (bitmaps.words(getattr(self, t), id), "bucket", F.pmod("graph_id", F.lit(buckets)).cast("int"), "graph_id") for b, (t, _, id) in BITS.items()}
+        cuts |= {t: (getattr(self, t), "bucket", F.pmod("graph_id", F.lit(buckets)).cast("int"), "graph_id") for t in ("graph_nodes", "graph_edges")}
+        out = {}
+        for t, (df, name, by, order) in cuts.items():
+            cut = df.withColumn(name, by)
+            # rebalanced, not hashed by folder alone: a large folder is written by several tasks
+            cut.hint("rebalance", name).sortWithinPartitions(name, order).write.partitionBy(name).parquet(f"{path}/data/{t}/{commit}")
+            out[t] = {"folders": [commit], "schema": json.loads(cut.select(*df.columns, name).schema.json())}
+        return out
+
+    @staticmethod
+    def append(spark: SparkSession, path: str, nodes: DataFrame, edges: DataFrame, on_duplicate: str = "ignore", codes: DataFrame | None = None, batch: tuple[str, int] | None = None) -> int:
+        """Graphs added to a written collection as its next version; only new rows are written. The version's number.
+
+        ``on_duplicate`` is 'ignore' or 'error'. ``batch`` (name, number) makes a repeated batch do nothing.
+        """
+        was = versions.manifest(spark, path)
+        if batch and was["batches"].get(batch[0], -1) >= batch[1]:
+            return was["version"]
+        store = Stored.open(spark, path).store
+        added = store._added(nodes, edges, on_duplicate, None, codes, was["next"]).settled()
+        tables = added._folders(path, was["buckets"], was["ranges"])
+        for t, new in tables.items():
+            old = was["tables"][t]
+            tables[t] = {"folders": old["folders"] + new["folders"], "schema": old["schema"]}
+        top = {k: max(was["next"][k], v) for k, v in added.next_ids().items()}
+        batches = was["batches"] | ({batch[0]: batch[1]} if batch else {})
+        return versions.commit(spark, path, was | {"next": top, "tables": tables, "batches": batches}, was["version"])
 
     @staticmethod
-    def read(spark: SparkSession, path: str) -> "GraphStore":
-        meta = spark.read.parquet(f"{path}/store_meta").first()
-        return GraphStore(*(spark.read.parquet(f"{path}/{t}").drop("bucket") for t in TABLES), meta=Meta.of_json(meta["meta"]))
+    def read(spark: SparkSession, path: str, version: int | None = None) -> "GraphStore":
+        return Stored.open(spark, path, version).store
 
     @staticmethod
     def read_graphs(spark: SparkSession, path: str, codes: Iterable[str]) -> "GraphStore":
@@ -262,20 +347,61 @@ class GraphStore:
 
 @dataclass(frozen=True)
 class Stored:
-    """A written collection, opened once: graphs are then read without looking at files that don't hold them."""
+    """A version of a written collection, opened once: graphs are then read without looking at files that don't hold them."""
 
     store: GraphStore
-    buckets: int
-    members: dict[str, DataFrame]
+    entry: dict
+    files: dict[str, DataFrame]
 
     @staticmethod
-    def open(spark: SparkSession, path: str) -> "Stored":
-        buckets = spark.read.parquet(f"{path}/store_meta").first()["buckets"]
-        return Stored(GraphStore.read(spark, path), buckets, {t: spark.read.parquet(f"{path}/{t}") for t in ("graph_nodes", "graph_edges")})
+    def open(spark: SparkSession, path: str, version: int | None = None) -> "Stored":
+        entry = versions.manifest(spark, path, version)
+        if entry is None:
+            raise FileNotFoundError(f"no {'collection' if version is None else f'version {version}'} at {path}")
+        files = {t: versions.read(spark, path, t, entry["tables"][t]) for t in (*TABLES, *BITS)}
+        plain = {t: files[t].drop("slot", "range", "bucket", "_n_nodes", "_n_edges") for t in TABLES}
+        return Stored(GraphStore(**plain, meta=Meta.of_json(entry["meta"])), entry, files)
+
+    def _found(self, codes: Iterable[str]) -> list:
+        """Rows of the catalogue, from the folders of these codes."""
+        codes = sorted({c.strip().upper() for c in codes})
+        slots = sorted({zlib.crc32(c.encode()) % self.entry["buckets"] for c in codes})
+        return self.files["graphs"].filter(F.col("slot").isin(slots) & F.col("graph_code").isin(codes)).collect()
+
+    def _members(self, table: str, ids: list[int]) -> DataFrame:
+        within = F.col("bucket").isin(sorted({i % self.entry["buckets"] for i in ids})) & F.col("graph_id").isin(ids)
+        return self.files[table].filter(within).drop("bucket")
+
+    def _entries(self, dictionary: str, members: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+        """(members, entries): the dictionary's folders that the members' ids are in; few members are fetched, and their ids told to the scan."""
+        id, size = DICTIONARIES[dictionary], self.entry["ranges"][dictionary]
+        if n <= FEW:
+            local = members.toArrow()
+            ids = sorted(set(local.column(id).to_pylist()))
+            members = members.sparkSession.createDataFrame(local, members.schema)
+            folders, known = sorted({i // size for i in ids}), F.col(id).isin(ids)
+        else:
+            folders, known = sorted(r["_f"] for r in members.select(F.floor(F.col(id) / size).cast("int").alias("_f")).distinct().collect()), F.lit(True)
+        return members, self.files[dictionary].filter(F.col("range").isin(folders) & known).drop("range")
+
+    def bits(self, table: str) -> DataFrame:
+        """graph_id, word, bits of node_bits or edge_bits."""
+        return self.files[table].drop("bucket")
+
+    def structure(self, codes: Iterable[str], table: str = "node_bits") -> DataFrame:
+        """graph_code and dictionary entries of some graphs without their attributes, from bitmaps alone."""
+        found = self._found(codes)
+        _, dictionary, id = BITS[table]
+        kept = bitmaps.ids(self._members(table, [r["graph_id"] for r in found]), id)
+        kept, entries = self._entries(dictionary, kept, sum(r["_n_nodes" if table == "node_bits" else "_n_edges"] for r in found))
+        graphs = self.store.graphs.sparkSession.createDataFrame([(r["graph_id"], r["graph_code"]) for r in found], "graph_id long, graph_code string")
+        return kept.join(F.broadcast(graphs), "graph_id").join(entries, id)  # graphs named by a list
 
     def graphs(self, codes: Iterable[str]) -> GraphStore:
-        """A store of some graphs, named by a list: their bucket folders, and the dictionaries."""
-        found = self.store.graphs.filter(F.col("graph_code").isin(sorted({c.strip().upper() for c in codes})))
-        ids = [r["graph_id"] for r in found.select("graph_id").collect()]
-        within = F.col("bucket").isin(sorted({i % self.buckets for i in ids})) & F.col("graph_id").isin(ids)
-        return replace(self.store, graphs=found, **{t: df.filter(within).drop("bucket") for t, df in self.members.items()})
+        """A store of some graphs, named by a list: their bucket folders, and the folders of the dictionaries that they use."""
+        found = self._found(codes)
+        ids = [r["graph_id"] for r in found]
+        graphs = self.store.graphs.sparkSession.createDataFrame(found, self.files["graphs"].schema).drop("slot", "_n_nodes", "_n_edges")
+        graph_nodes, node_dict = self._entries("node_dict", self._members("graph_nodes", ids), sum(r["_n_nodes"] for r in found))
+        graph_edges, edge_dict = self._entries("edge_dict", self._members("graph_edges", ids), sum(r["_n_edges"] for r in found))
+        return GraphStore(graphs, node_dict, edge_dict, graph_nodes, graph_edges, self.store.meta)

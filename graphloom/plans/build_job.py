@@ -27,9 +27,9 @@ FUNCTIONS = ("delaunay", "aromatic", "aromatic_sulphur")
 
 
 def collection(codes: DataFrame, atoms: DataFrame, functions: tuple[str, ...] = FUNCTIONS, granularity: str = "CA") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, errors) in ingest form of the codes that atoms has; seq is an order of the codes by hash, as lines of a file have none."""
-    wanted = codes.filter("code <> ''").distinct().withColumn("_first", F.pmod(F.xxhash64("code"), F.lit(1 << 24)))
-    ordered = dense(wanted, ["_first", "code"], "seq").select(F.col("code").alias("graph_code"), "seq")
+    """(nodes, edges, errors) in ingest form of the codes that atoms has; seq is the order of the code list, first line of a code first."""
+    wanted = codes.filter("code <> ''").groupBy("code").agg(F.min(F.struct(*files.LINE)).alias("_first"))
+    ordered = settled(dense(wanted.select("code", "_first.*"), files.LINE, "seq").select(F.col("code").alias("graph_code"), "seq"), "ordered")
     nodes = settled(files.raw_nodes(atoms, granularity, order=ordered), "atoms")
     points = nodes.select(F.col("seq").alias("graph_id"), F.col("node_label").alias("node_id"), "coords", *labels.parsed(F.col("node_label"), granularity))
     built = construct.combine(points, [construct.registry[f] for f in functions])

@@ -35,12 +35,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-_KEPT: dict[tuple[str, str, str], object] = {}
+_KEPT: dict[tuple, object] = {}
 
 
 def _once(what: str, spark: SparkSession, d: str, make: Callable[[], object]) -> object:
-    """One ingest and one stored collection a session and directory, as tables in the shared folder."""
-    key = (spark.sparkContext.applicationId, what, d)
+    """One ingest and one stored collection a session and state of the input files, as tables in the shared folder."""
+    file = table(spark, d, "lineitem").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    state = file.agg(F.count("*"), F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)"))).first()
+    key = (spark.sparkContext.applicationId, what, d, *state)
     if key not in _KEPT:
         _KEPT[key] = make()
     return _KEPT[key]
@@ -142,17 +144,17 @@ kind_pool as (select kind, row_number() over (order by f.g, f.m, kind) - 1 as va
 
 @query(f"with {q.ROWS}{q.NODE_TABLES}{NODE_POOLS} select 'coords' as attr, value_id, x, y, z, null::double as num from coord_pool union all select 'b_factor', value_id, null, null, null, b_factor from factor_pool")
 def node_value_pool(spark, d):
-    return encode.node_value_pool(node_side(spark, d).graph_nodes).select("attr", "value_id", *xyz(), "num")
+    return encode.node_value_pool(settled(node_side(spark, d).graph_nodes, "graph_nodes")).select("attr", "value_id", *xyz(), "num")
 
 
 @query(f"with {q.ROWS}{q.EDGES}{q.NODE_TABLES}{q.EDGE_TABLES}{EDGE_POOLS} select 'distance' as attr, value_id, distance as num, null::varchar as str from distance_pool union all select 'kind', value_id, null, kind from kind_pool")
 def edge_value_pool(spark, d):
-    return encode.edge_value_pool(fresh(spark, d).graph_edges)
+    return encode.edge_value_pool(settled(fresh(spark, d).graph_edges, "graph_edges"))
 
 
 @query(f"with {q.ROWS}{q.NODE_TABLES}{NODE_POOLS} select graph_id, node_id, c.value_id as coords_value, f.value_id as b_factor_value from graph_nodes join coord_pool c using (x, y, z) join factor_pool f using (b_factor)")
 def node_local_mapping(spark, d):
-    members = node_side(spark, d).graph_nodes
+    members = settled(node_side(spark, d).graph_nodes, "graph_nodes")
     return encode.node_mapping(members, encode.node_value_pool(members))
 
 
@@ -161,7 +163,7 @@ def node_local_mapping(spark, d):
     " select graph_id, edge_id, dp.value_id as distance_value, kind_values from graph_edges join distance_pool dp using (distance) join k using (graph_id, edge_id)"
 )
 def edge_local_mapping(spark, d):
-    members = fresh(spark, d).graph_edges
+    members = settled(fresh(spark, d).graph_edges, "graph_edges")
     mapped = encode.edge_mapping(members, encode.edge_value_pool(members))
     return mapped.withColumn("kind_values", F.array_join(F.transform("kind_values", lambda x: x.cast("string")), ","))
 
@@ -324,9 +326,9 @@ def merge_last_wins(spark, d):
     return GraphStore.merge([old, new]).extract_nodes().select("graph_code", "node_label", "b_factor")
 
 
-SURVIVING_EDGES = """, kept as (select graph_code, row_number() over (order by seq) - 1 as graph_id from graphs where {cond}),
-first as (select edge_id as old, src_label, dst_label, min(k.graph_id) as f from graph_edges ge join kept k using (graph_code) group by all),
-ids as (select src_label, dst_label, row_number() over (order by f, old) - 1 as edge_id from first)
+SURVIVING_EDGES = """, kept as materialized (select graph_code, row_number() over (order by seq) - 1 as graph_id from graphs where {cond}),
+first as materialized (select edge_id as old, src_label, dst_label, min(k.graph_id) as f from graph_edges ge join kept k using (graph_code) group by all),
+ids as materialized (select src_label, dst_label, row_number() over (order by f, old) - 1 as edge_id from first)
 select graph_code, k.graph_id, ids.edge_id, src_label, dst_label, distance from graph_edges ge join kept k using (graph_code) join ids using (src_label, dst_label)"""
 
 
@@ -349,9 +351,12 @@ def split_halves_edges(spark, d):
     return edge_members(store(spark, d).split()[1])
 
 
-@query(f"select sha256('{META.as_json()}') as fingerprint, 'CA' as granularity")
+@query(q.nodes(f"select sha256('{META.as_json()}') as fingerprint, 'CA' as granularity, (select count(*) from graphs) as n_graphs"))
 def config_fingerprint(spark, d):
-    return spark.createDataFrame([(META.as_json(), META.granularity)], "json string, granularity string").select(F.sha2("json", 256).alias("fingerprint"), "granularity")
+    """What a written collection says of the functions it was built with."""
+    stored = GraphStore.read(spark, written(spark, d))
+    counted = stored.graphs.agg(F.count("*").alias("n_graphs"))
+    return counted.select(F.lit(stored.meta.fingerprint()).alias("fingerprint"), F.lit(stored.meta.granularity).alias("granularity"), "n_graphs")
 
 
 # validation -----------------------------------------------------------------------------------
@@ -389,7 +394,7 @@ def validate_edge_diff(spark, d):
 def round_trip(spark, d):
     """Decoding the store gives back what was encoded: no rows."""
     nodes, edges = ingest(spark, d)
-    found = validate.diff((nodes, edges), GraphStore.build(nodes, edges, META).raw())
+    found = validate.diff((nodes, edges), GraphStore.build(nodes, edges, META).settled().raw())
     nodes_ = found["node_set"].select("graph_code", F.col("node_label").alias("label"), "side").unionByName(found["node_attributes"].select("graph_code", F.col("node_label").alias("label"), F.lit("values").alias("side")))
     edges_ = found["edge_set"].select("graph_code", F.col("src_label").alias("label"), "side").unionByName(found["edge_attributes"].select("graph_code", F.col("src_label").alias("label"), F.lit("values").alias("side")))
     return nodes_.unionByName(edges_)
@@ -858,7 +863,7 @@ def read_code_list(spark, d):
     key = F.concat(F.lit("o"), F.col("o_orderkey").cast("string"))
     lines = table(spark, d, "orders").select(F.when(F.col("o_orderkey") % 10 == 0, F.concat(F.lit("# "), key)).otherwise(F.concat(F.lit(" "), key)).alias("value"))
     lines.write.text(path := _text_path(spark))
-    return files.code_list(spark, path)
+    return files.code_list(spark, path).select("code")
 
 
 @query("select 'd' || p_partkey as domain_id, p_name as pdb, 'a.' || p_size || '.' || (p_partkey % 5) as superfamily, p_partkey as sunid from part")

@@ -10,10 +10,22 @@ SPLITS = "id string, y string, split string"
 SAMPLES = "timestamp long, memory string"
 
 
+LINE = ["file", "start", "at"]
+
+
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, and LINE: columns that sort lines as they stand in their file, in however many splits it is read.
+
+    They are the file, the byte at which the split starts, and the order of rows inside the task, which reads
+    a split from its start to its end.
+    """
+    text = spark.read.text(path)
+    return text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+
+
 def code_list(spark: SparkSession, path: str) -> DataFrame:
-    """(code): one a line, upper-cased; lines that start with # are comments; an empty line is an empty code."""
-    lines = spark.read.text(path)
-    return lines.filter(~F.col("value").startswith("#")).select(F.upper(F.trim("value")).alias("code"))
+    """(code, file, start, at): one a line, upper-cased, with its place; lines that start with # are comments; an empty line is an empty code."""
+    return lines(spark, path).filter(~F.col("value").startswith("#")).select(F.upper(F.trim("value")).alias("code"), *LINE)
 
 
 def tsv(spark: SparkSession, path: str, schema: str = SCOPE) -> DataFrame:
@@ -63,14 +75,19 @@ def structures(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def raw_nodes(atoms: DataFrame, granularity: str = "CA", model: int = 1, insertions: bool = True, order: DataFrame | None = None) -> DataFrame:
-    """Ingest rows from parsed atoms of one model: all of them at atom granularity, else those of the named atom type.
+def _first_model(atoms: DataFrame) -> DataFrame:
+    first = atoms.groupBy("code").agg(F.min("model").alias("model"))
+    return atoms.join(first, ["code", "model"], "left_semi")
+
+
+def raw_nodes(atoms: DataFrame, granularity: str = "CA", model: int | None = None, insertions: bool = True, order: DataFrame | None = None) -> DataFrame:
+    """Ingest rows from parsed atoms of one model, by default the first by number that a file has: all of them at atom granularity, else those of the named atom type.
 
     Of an atom's alternate places the first by serial counts. An inserted residue is one of its own,
     with the insertion code behind its number; ``insertions=False`` leaves such residues out. ``seq``
     comes from ``order`` (graph_code, seq), whose codes are the ones kept; without it ``seq`` is 0.
     """
-    kept = atoms.filter(F.col("model") == model)
+    kept = atoms.filter(F.col("model") == model) if model is not None else _first_model(atoms)
     kept = kept if granularity == "atom" else kept.filter(F.col("atom_type") == granularity)
     kept = kept if insertions else kept.filter("insertion = ''")
     label = [F.col("chain_id"), F.col("residue_name"), F.concat(F.col("residue_number").cast("string"), "insertion")]

@@ -1,15 +1,15 @@
-"""Extension: a stream of ingest rows appended to a stored collection, one commit a micro-batch.
+"""Extension: a stream of ingest rows appended to a stored collection, one version a micro-batch.
 
-Ids are a global sequence, so a micro-batch reads the store, inserts, writes the next version beside
-it and then moves the pointer; a batch that is run again finds its graphs stored and adds nothing.
+A micro-batch writes its own rows only. Its number is part of the version's manifest, so a batch
+that is run again adds nothing.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from graphloom.operators import versions
 from graphloom.operators.store import EDGES, NODES, GraphStore, Meta
 
 #: A stream carries nodes and edges in one schema; ``part`` tells which.
@@ -18,33 +18,22 @@ ROW = f"part string, {NODES}, u string, v string, distance double, kinds array<s
 
 def current(spark: SparkSession, path: str) -> GraphStore:
     """The last committed version, or an empty store."""
-    version = _version(spark, path)
-    return GraphStore.read(spark, f"{path}/v{version}") if version is not None else GraphStore.empty(spark, Meta())
+    return GraphStore.read(spark, path) if versions.manifest(spark, path) else GraphStore.empty(spark, Meta())
 
 
-def _version(spark: SparkSession, path: str) -> int | None:
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    pointer = jvm.org.apache.hadoop.fs.Path(f"{path}/commits")
-    if not pointer.getFileSystem(conf).exists(pointer):
-        return None
-    return spark.read.schema("version long").json(f"{path}/commits").agg(F.max("version")).first()[0]
-
-
-def insert_batch(path: str):
-    """A function for foreachBatch."""
+def insert_batch(path: str, name: str = "stream"):
+    """A function for foreachBatch; streams that write to one collection need names of their own."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        store, version, last = current(spark, path), batch_id, _version(spark, path)
-        if last is not None and last >= batch_id:
-            return  # committed before a restart
+        if versions.manifest(spark, path) is None:
+            GraphStore.empty(spark, Meta()).write(path)
         nodes = batch.filter("part = 'node'").select(*[c.split()[0] for c in NODES.split(", ")])
         edges = batch.filter("part = 'edge'").select(*[c.split()[0] for c in EDGES.split(", ")])
-        store.insert(nodes, edges).write(f"{path}/v{version}")
-        spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").json(f"{path}/commits")
+        GraphStore.append(spark, path, nodes, edges, batch=(name, batch_id))
 
     return run
 
 
-def append(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    return stream.writeStream.foreachBatch(insert_batch(path)).option("checkpointLocation", checkpoint)
+def append(stream: DataFrame, path: str, checkpoint: str, name: str = "stream") -> DataStreamWriter:
+    return stream.writeStream.foreachBatch(insert_batch(path, name)).option("checkpointLocation", checkpoint)

@@ -66,3 +66,28 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "e")).first().message == "lost"
     sinks.times(df.selectExpr("seconds as value"), str(tmp_path / "s"))
     assert files.numbers(spark, str(tmp_path / "s")).first().value == pytest.approx(1.5)
+
+
+def test_lines_in_order_over_many_splits(spark, tmp_path):
+    """Splits of a few hundred bytes, two files; ids follow the list."""
+    for name, first in (("a.txt", 0), ("b.txt", 5000)):
+        (tmp_path / name).write_text("".join(f"code{(i * 7919) % 10_000:05d}\n" for i in range(first, first + 5000)))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        read = files.code_list(spark, f"{tmp_path}/*.txt")
+        assert read.rdd.getNumPartitions() > 50
+        assert [r.code for r in read.orderBy(files.LINE).collect()] == [f"CODE{(i * 7919) % 10_000:05d}" for i in range(10_000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", was[1])
+
+
+def test_first_model_whatever_its_number(spark, tmp_path):
+    atom = "ATOM  {:5d}  CA  ALA A{:4d}    {:8.3f}{:8.3f}{:8.3f}  1.00  0.50           C\n"
+    (tmp_path / "1aaa.pdb").write_text("MODEL        0\n" + atom.format(1, 1, 1.0, 2.0, 3.0) + "ENDMDL\n")
+    (tmp_path / "2bbb.pdb").write_text("MODEL        3\n" + atom.format(1, 1, 5.0, 2.0, 3.0) + "ENDMDL\nMODEL        2\n" + atom.format(1, 1, 6.0, 2.0, 3.0) + "ENDMDL\n")
+    atoms = files.structures(spark, str(tmp_path))
+    assert {(r.graph_code, r.coords[0]) for r in files.raw_nodes(atoms).collect()} == {("1AAA", 1.0), ("2BBB", 6.0)}
+    assert {r.graph_code for r in files.raw_nodes(atoms, model=3).collect()} == {"2BBB"}
