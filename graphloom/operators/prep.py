@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .encode import dense
+from .lineage import settled
+
 SUPERFAMILY = r"^([a-z]\.\d+\.\d+)"
 
 
@@ -20,16 +23,19 @@ def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return df.orderBy(ticket(F.col(key), seed), key).limit(n)
 
 
+def head(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    return df.orderBy(*order).limit(n)
+
+
 def extracted(c: Column, pattern: str = SUPERFAMILY) -> Column:
     """First group of the pattern; NULL where there is none."""
     return F.nullif(F.regexp_extract(c, pattern, 1), F.lit(""))
 
 
 def label_encode(df: DataFrame, c: str, name: str) -> DataFrame:
-    """Sorted distinct values as 0, 1, ...; ranks are taken over the distinct values only and joined back."""
+    """Sorted distinct values as 0, 1, ...; ranks are taken over the distinct values only, in ranges, and joined back."""
     values = df.select(c).distinct().filter(F.col(c).isNotNull())
-    ids = values.withColumn(name, F.row_number().over(Window.orderBy(c)) - 1)
-    return df.join(ids, c, "left")
+    return df.join(dense(values, [c], name).withColumn(name, F.col(name).cast("int")), c, "left")
 
 
 def value_counts(df: DataFrame, c: str) -> DataFrame:
@@ -44,6 +50,24 @@ def without(df: DataFrame, key: str, obsolete: DataFrame) -> DataFrame:
     return df.join(obsolete.select(F.col(obsolete.columns[0]).alias(key)), key, "left_anti")
 
 
+def replaced(df: DataFrame, key: str, moved: DataFrame, steps: int = 64) -> DataFrame:
+    """df with each key replaced by what ``moved`` (old, new) names in its place, as long as that is replaced too.
+
+    Chains are halved by pointer jumping, so ``steps`` rounds follow any chain; a ring raises. Of several
+    replacements of one key the smallest counts.
+    """
+    last = settled(moved.filter("old is not null and new is not null and old <> new").groupBy("old").agg(F.min("new").alias("new")), "moved")
+    for _ in range(steps):
+        further = last.join(last.select(F.col("old").alias("new"), F.col("new").alias("next")), "new", "left")
+        if further.filter("next is not null").isEmpty():
+            to = last.select(F.col("old").alias(key), F.col("new").alias("_new"))
+            return df.join(to, key, "left").withColumn(key, F.coalesce("_new", key)).select(df.columns)
+        if not further.filter("next = old").isEmpty():
+            break
+        last = settled(further.select("old", F.coalesce("next", "new").alias("new")), "moved")
+    raise ValueError("a key is replaced by itself, over other keys")
+
+
 def stratified(df: DataFrame, cls: str, key: str, shares: tuple[float, float] = (0.70, 0.15), seed: int = 42, rows_a_range: int = 50_000) -> DataFrame:
     """df with ``split`` train / valid / test by rank inside each class.
 
@@ -69,8 +93,6 @@ def ordered_split(df: DataFrame, key: str, shares: tuple[float, float] = (0.8, 0
 
 def batches(df: DataFrame, order: list[str], size: int = 16, drop_last: bool = True) -> DataFrame:
     """df with ``batch``; the last one goes if it isn't full."""
-    from .encode import dense
-
     ranked = dense(df, order, "_rank").withColumn("batch", F.floor(F.col("_rank") / size))
     if drop_last:
         full = ranked.groupBy("batch").agg(F.count("*").alias("_n")).filter(F.col("_n") == size)

@@ -100,3 +100,10 @@ def weighted_f1(df: DataFrame, y: str, pred: str) -> DataFrame:
 
 def argmax(scores: Column) -> Column:
     return F.array_position(scores, F.array_max(scores)) - 1
+
+
+def mean_loss(df: DataFrame, scores: str, y: str) -> DataFrame:
+    """loss: the mean cross-entropy of a softmax over the scores (an array) at the class y."""
+    top = F.array_max(scores)
+    spread = F.aggregate(scores, F.lit(0.0), lambda a, x: a + F.exp(x - top))
+    return df.agg(F.avg(top + F.log(spread) - F.get(scores, F.col(y).cast("int"))).alias("loss"))

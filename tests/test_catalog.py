@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from graphloom.plans.catalog import ORACLE_SQL, QUERIES
+from graphloom.plans.registry import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables are absent")
