@@ -42,9 +42,11 @@ def unescaped(text: Column) -> Column:
 
 def examples(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """conv_id, example (0, 1, ...), n_turns (in it), formatted, loss_start, loss_length (code points of formatted)."""
-    clean = lambda c: escaped(F.coalesce(F.col(quoted(c)).cast("string"), F.lit("")))
-    row = F.struct(F.col(quoted(turn)).alias("turn"), clean(role).alias("role"), clean(text).alias("text"))
-    turns = df.select(F.col(quoted(conv)).alias("conv_id"), row.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    plain = lambda c: F.coalesce(F.col(quoted(c)).cast("string"), F.lit(""))
+    row = F.struct(F.col(quoted(turn)).alias("turn"), plain(role).alias("role"), plain(text).alias("text"))
+    rows = df.select(F.col(quoted(conv)).alias("conv_id"), row.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    # sorted as they are given, escaped afterwards
+    turns = rows.select("conv_id", F.transform("turns", lambda t: F.struct(escaped(t["role"]).alias("role"), escaped(t["text"]).alias("text"))).alias("turns"))
     last = F.size("turns") - 1
     chosen = F.filter(F.sequence(F.lit(0), last), lambda i: (F.get("turns", i)["role"] == "assistant") | (i == last))
     each = turns.select("conv_id", "turns", F.posexplode(chosen).alias("example", "at"))

@@ -6,8 +6,8 @@ sorted hash arrays (n-gram -> discounted probability, context -> back-off weight
 language), searched by bisection once for all languages. A text gets the language of lowest cross-entropy a symbol (letters and word ends).
 
 Fitting takes a documented bounded sample: about ``SAMPLE_DOCS`` labelled documents a language and
-``SAMPLE_TOTAL`` in all, chosen by hash, of the ``MOST_LANGUAGES`` labels with the most documents, and the ``MOST_WORDS``
-most frequent words of each. A fifth of it calibrates: the temperature of the confidence, and the cross-entropy
+``SAMPLE_TOTAL`` in all, but ``LEAST_DOCS`` a language however many there are, chosen by a hash of id and
+text; all their words count. A fifth of it calibrates: the temperature of the confidence, and the cross-entropy
 above which a prediction is flagged as rejected. Prediction covers every whole text.
 
 Defined results: null text, empty text and text without a letter give ``und``, score 0. Null or
@@ -25,12 +25,13 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chunked, map_rows, mix, quoted
+from .common import U64, chunked, map_rows, mix, quoted, saved
 
-ORDER, SAMPLE_DOCS, SAMPLE_TOTAL, MOST_LANGUAGES, MOST_WORDS, UNDETERMINED = 4, 600, 20_000, 500, 50_000, "und"
+ORDER, SAMPLE_DOCS, SAMPLE_TOTAL, LEAST_DOCS, UNDETERMINED = 4, 600, 20_000, 20, "und"
+FEW_LANGUAGES = 10_000  # labels whose rates are broadcast; more are joined
 CELLS = 4_000_000  # numbers in a worker's cache of token scores
 _START, _END = 1, 2
 _SCORERS: dict[str, "Scorer"] = {}
@@ -186,18 +187,17 @@ def held_out(id: Column, folds: int = 5) -> Column:
 def train(df: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS, order: int = ORDER) -> dict:
     """{languages, models, limit, temperature, order} from a sample of the rows of df whose label isn't null.
 
-    The driver gets counts of at most MOST_WORDS words a language from the sample (about ``sample_docs``
-    documents a language) and one row a calibration document.
+    The driver gets the words of the sample with their counts, and one row a calibration document.
     """
     rows = df.select(F.col(quoted(id)).cast("string").alias("id"), F.col(quoted(text)).alias("text"), F.col(quoted(lang)).cast("string").alias("lang")).filter("lang is not null and text is not null")
-    per = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
-    languages = sorted(per)
+    per = saved(rows.groupBy("lang").agg(F.count("*").alias("docs")), "labels")
+    languages = sorted(r["lang"] for r in per.select("lang").collect())
     if not languages:
         return {"languages": [], "joint": None, "limit": 0.0, "temperature": 1.0, "order": order, "key": ""}
-    sample_docs = min(sample_docs, SAMPLE_TOTAL // len(languages))
-    rate = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, sample_docs / per[k]))])
-    ticket = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 20)) / (1 << 20)
-    sample = rows.filter(ticket < rate[F.col("lang")]).withColumn("calibrates", F.pmod(F.xxhash64("id", F.lit("part")), F.lit(5)) == 0)
+    sample_docs = max(min(sample_docs, SAMPLE_TOTAL // len(languages)), LEAST_DOCS)
+    per = F.broadcast(per) if len(languages) <= FEW_LANGUAGES else per
+    drawn = lambda what, n: F.pmod(F.xxhash64("id", "text", F.lit(what)), F.lit(n))
+    sample = rows.join(per, "lang").filter(drawn("sample", 1 << 20) / (1 << 20) < sample_docs / F.col("docs")).withColumn("calibrates", drawn("part", 5) == 0)
 
     def count(rows: Iterator[tuple]) -> Iterator[tuple]:
         from collections import Counter
@@ -210,9 +210,8 @@ def train(df: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "la
                 seen.clear()
         yield from ((a, b, n) for (a, b), n in seen.items())
 
-    fitting = map_rows(sample.filter(~F.col("calibrates") | (F.create_map(*[F.lit(x) for k in languages for x in (k, per[k])])[F.col("lang")] < 20)).select("lang", "text"), count, "lang string, word string, n long")
-    counted = fitting.groupBy("lang", "word").agg(F.sum("n").alias("n")).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")))
-    counted: pa.Table = counted.filter(F.col("rank") <= MOST_WORDS).drop("rank").toArrow().sort_by([("lang", "ascending"), ("word", "ascending")])
+    fitting = map_rows(sample.filter(~F.col("calibrates") | (F.col("docs") < 20)).select("lang", "text"), count, "lang string, word string, n long")
+    counted: pa.Table = fitting.groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow().sort_by([("lang", "ascending"), ("word", "ascending")])
     models, kept = [], []
     for language in languages:
         part = counted.filter(pa.compute.equal(counted["lang"], language))

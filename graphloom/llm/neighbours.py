@@ -18,7 +18,8 @@ Defined results: rows whose id or vector is null, or whose vector is zero, holds
 components, take no part. Vectors of different lengths have no cosine: each length is searched
 apart, with a forest of its own, and lengths without a query not at all. Ties go to the smaller id,
 those of vectors of one direction too, as far as their cosines are equal in double precision. Rows
-that repeat an id and a vector count once. An empty table gives no rows.
+that repeat an id and a vector count once; rows of one id with other vectors are rows of their own,
+each a query and a candidate. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.encode import dense
+
 from .common import chunked, map_rows, quoted, saved
 
 SAMPLE, TREES, LEAF, BLOCK, TARGET, CLOSE = 16_384, 16, 96, 4_096, 0.985, 1e-9
@@ -154,13 +157,14 @@ def _of_one_length(rows: DataFrame, k: int, kind: str, sample: int, trees: int,
     spark = rows.sparkSession
     order = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     entries = rows.select("id", "v").distinct().withColumn("n", order).filter(F.col("n") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    entries = saved(entries.withColumn("entry", F.get("ids", F.lit(0))), "entries")
+    # numbered by smallest id: one id may have several vectors
+    entries = saved(dense(entries.withColumn("first", F.get("ids", F.lit(0))), ["first", "v"], "entry"), "entries")
     asked = rows.filter("q").select("id", "v").distinct()
-    queries = saved(asked.groupBy("v").agg(F.min("id").alias("query")), "queries")
+    queries = saved(asked.select("v").distinct().join(entries.select("v", F.col("entry").alias("query")), "v"), "queries")
 
     total = entries.count()
     share = min(1.0, sample / max(total, 1))
-    chosen = entries.filter(F.pmod(F.xxhash64("entry", F.lit("sample")), F.lit(1 << 24)) < share * (1 << 24)).select("v").limit(2 * sample).toArrow()
+    chosen = entries.filter(F.pmod(F.xxhash64("first", F.lit("sample")), F.lit(1 << 24)) < share * (1 << 24)).select("v").limit(2 * sample).toArrow()
     if not chosen.num_rows:
         return None
     points = np.array(chosen["v"].combine_chunks().flatten(), float).reshape(chosen.num_rows, -1)
@@ -230,9 +234,10 @@ def _of_one_length(rows: DataFrame, k: int, kind: str, sample: int, trees: int,
 
     pairs = map_rows(dealt, rank, "query long, entry long, score double")
     few = pairs.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "entry"))).filter(F.col("n") <= k + 1)
-    by = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    lists = few.join(entries.select("entry", F.explode("ids").alias("id")), "entry").withColumn("n", F.row_number().over(by)).filter(F.col("n") <= k + 1).groupBy("query").agg(F.sort_array(F.collect_list(F.struct("n", "id", "score"))).alias("found"))
+    by = Window.partitionBy("query").orderBy(F.desc("score"), "id", "entry")
+    lists = few.join(entries.select("entry", F.explode("ids").alias("id")), "entry").withColumn("n", F.row_number().over(by)).filter(F.col("n") <= k + 1).groupBy("query").agg(F.sort_array(F.collect_list(F.struct("n", "id", "score", "entry"))).alias("found"))
     each = asked.join(queries, "v").select(F.col("id").alias("query_id"), "query").join(lists, "query")
-    others = F.slice(F.filter("found", lambda x: x["id"] != F.col("query_id")), 1, k)
+    # the query's own row goes, by id and vector
+    others = F.slice(F.filter("found", lambda x: (x["id"] != F.col("query_id")) | (x["entry"] != F.col("query"))), 1, k)
     ranked = each.select("query_id", F.posexplode(others).alias("p", "x"))
     return ranked.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.score").alias("score"))

@@ -17,6 +17,9 @@ FIRST = {
     "op7_mixing": ["doc_id", "size", "source_size", "target", "taken"],
     "op8_suffix_dedup": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
     "op9_chat_formatting": ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
+    "op11_cross_tokenizer_alignment": ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
+    "op12_exact_dedup": ["doc_id", "text_sha256", "keep_id", "group_size", "kept"],
+    "op13_vector_codes": ["vec_id", "code", "error", "label_error", "codebooks_sha256"],
     "op10_quality_rules": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
 }
 
@@ -24,7 +27,7 @@ FIRST = {
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     df = QUERIES[name](spark, DATA)
     want = con.sql(ORACLE_SQL[name])
