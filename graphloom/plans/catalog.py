@@ -12,7 +12,7 @@ from graphloom.functions import labels, units
 from graphloom.functions.residues import DESCRIPTORS, DIMENSIONS, ONE_HOT_ORDER, one_hot, with_descriptors
 from graphloom.operators import construct, encode, kernels, prep, stats, validate
 from graphloom.operators.lineage import settled, shared_dir
-from graphloom.operators.store import EDGES, GraphStore, Meta
+from graphloom.operators.store import EDGES, GraphStore, Meta, Stored
 from graphloom.sources import files, overlays, sinks
 from graphloom.sources.overlays import table
 
@@ -224,12 +224,12 @@ def decoded(df: DataFrame) -> DataFrame:
 
 @query(q.nodes(f"{NODE_OUT} where gn.graph_code = 'O7' order by node_id"))
 def extract_nodes(spark, d):
-    return decoded(GraphStore.read_graph(spark, written(spark, d), "o7").extract("o7")[0]).orderBy("node_id")
+    return decoded(Stored.open(spark, written(spark, d)).extract(["o7"])[0]).orderBy("node_id")
 
 
 @query(q.edges("select graph_code, edge_id, src_label, dst_label, distance, kinds from graph_edges where graph_code = 'O7'"))
 def extract_edges(spark, d):
-    return GraphStore.read_graph(spark, written(spark, d), "o7").extract("o7")[1].select("graph_code", "edge_id", "src_label", "dst_label", "distance", joined())
+    return Stored.open(spark, written(spark, d)).extract(["o7"])[1].select("graph_code", "edge_id", "src_label", "dst_label", "distance", joined())
 
 
 @query(q.nodes(f"{NODE_OUT} where gn.graph_code in ('O7', 'O11', 'O12')"))

@@ -227,6 +227,10 @@ def test_one_graph_reads_few_files(spark, tmp_path):
     path = str(tmp_path / "store")
     GraphStore.build(nodes, spark.createDataFrame([], EDGES)).write(path)
     stored = Stored.open(spark, path)
+    few = stored.extract(["G1500", "g7", "none"])
+    assert few[0].count() == 200 and few[1].isEmpty() and {r.graph_code for r in few[0].select("graph_code").distinct().collect()} == {"G1500", "G7"}
+    assert sorted(map(str, few[0].collect())) == sorted(map(str, stored.store.extract_nodes(["g7", "g1500"]).select(few[0].columns).collect()))
+    assert stored.extract(["none"])[0].isEmpty() and stored.extract([])[1].isEmpty()
     entries = stored.graphs(["g1500"])
     assert entries.extract_nodes().count() == 100 and entries.extract_edges().isEmpty()
     read = stored.files["node_dict"].select(F.input_file_name().alias("f")).distinct().count()
