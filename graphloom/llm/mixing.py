@@ -146,14 +146,15 @@ def mixed_documents(df: DataFrame, id: str = "doc_id", text: str = "text", sourc
     """The mixed corpus with df's columns: for each pass that takes words of a document, a row whose text is those words.
 
     Words stay as they stand in the text, with what separates them; runs that aren't adjacent are
-    joined by a line break. Rows repeated in df share their spans.
+    joined by a line break. Rows repeated in df, alike in id, text and source, share their spans.
     """
     documents, spans = mixture(df, id, text, source, **options)
     runs = spans.groupBy("source_no", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("_graphloom_runs"))
-    row = F.coalesce(F.concat(F.lit("="), F.col("id").cast("string")), F.lit(""))
-    runs = documents.filter("size > 0").join(runs, ["source_no", "start"]).select(row.alias("_graphloom_id"), F.col("tie").alias("_graphloom_hash"), "_graphloom_runs", "pass")
-    once = df.withColumns(row_key(id, text, "_graphloom")).dropDuplicates(["_graphloom_id", "_graphloom_hash"])
-    joined = once.alias("d").join(runs.alias("r"), ["_graphloom_id", "_graphloom_hash"])
+    told = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    runs = documents.filter("size > 0").join(runs, ["source_no", "start"]).select(told("id").alias("_graphloom_id"), F.col("tie").alias("_graphloom_hash"), told("source").alias("_graphloom_source"), "_graphloom_runs", "pass")
+    key = ["_graphloom_id", "_graphloom_hash", "_graphloom_source"]
+    once = df.withColumns(row_key(id, text, "_graphloom") | {"_graphloom_source": told(quoted(source))}).dropDuplicates(key)
+    joined = once.alias("d").join(runs.alias("r"), key)
     columns = [F.col(f"d.{quoted(c)}") for c in df.columns]
     schema, at = df.schema, df.columns.index(text)
 

@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat, langid, neighbours
+from graphloom.llm import chat, langid, mixing, neighbours
 
 from .conftest import frame, prose
 
@@ -62,3 +62,15 @@ def test_sample_of_a_table_that_repeats_ids(spark, monkeypatch):
     rows = [(i % 2, prose(i, 5), "a" if i % 3 else "b") for i in range(3000)]
     langid.train(frame(spark, rows), sample_docs=100)
     assert len(seen) == 2 and all(5 * 40 < n < 5 * 160 for n in seen)
+
+
+def test_one_text_in_two_sources(spark):
+    """Each source's words come out under its own name, as many as the mix takes of them."""
+    rows = [(1, prose(1, 300), None, "a"), (1, prose(1, 300), None, "b"), (2, prose(2, 200), None, "a"), (3, prose(3, 400), None, "b"), (4, prose(4, 100), None, None)]
+    df = frame(spark, rows)
+    documents, spans = mixing.mixture(df)
+    want = {(r["id"], r["source"]): r["taken"] for r in mixing.taken(documents, spans).collect()}
+    got = {}
+    for r in mixing.mixed_documents(df).collect():
+        got[r["doc_id"], r["source"]] = got.get((r["doc_id"], r["source"]), 0) + len(r["text"].split())
+    assert got == {k: n for k, n in want.items() if n} and len(got) == 5
