@@ -45,3 +45,13 @@ def test_pairs_broadcast_and_multiply_no_nodes(spark):
     _, nodes = points(spark, 20, 2)
     text = plan(construct.near_pairs(nodes, 3.0))
     assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text and "Generate" not in text
+    assert "BroadcastHashJoin" not in plan(construct.by_rules(nodes))
+
+
+def test_rules_of_one_search(spark):
+    _, nodes = points(spark, 40, 2)
+    kinds = ["ionic", "hydrophobic", "bb_carbonyl_carbonyl"]
+    want = sorted(tuple(r) for k in kinds for r in construct.by_rule(nodes, k).collect())
+    got = construct.by_rules(nodes, {k: construct.RULES[k] for k in kinds})
+    assert plan(got).split("== Physical Plan ==")[1].count("SortMergeJoin") == 1
+    assert sorted(tuple(r) for r in got.collect()) == want and want
