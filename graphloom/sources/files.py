@@ -54,15 +54,18 @@ def numbers(spark: SparkSession, path: str) -> DataFrame:
     return text.filter("value <> ''").select(F.col("value").cast("double").alias("value"))
 
 
-def structures(spark: SparkSession, path: str) -> DataFrame:
-    """Atoms of fixed-width structure files: code (file name), model, record, serial, atom_type, alternate, residue_name, chain_id, residue_number, insertion, x, y, z, b_factor, element_symbol.
+FILE = r"([^/]+?)(?:\.[^./]*)?$"
+
+
+def structures(spark: SparkSession, path: str, code: str = FILE) -> DataFrame:
+    """Atoms of fixed-width structure files: code (what the pattern ``code`` finds in the path, by default the file name), model, record, serial, atom_type, alternate, residue_name, chain_id, residue_number, insertion, x, y, z, b_factor, element_symbol.
 
     Columns are those of the public PDB format. A record of the reader is a model, which ends at its
     own line; the format's five-digit serials bound its size, so a file of any number of models is
     read in splits. Atoms outside models are of model 1. Blank ``alternate`` and ``insertion`` are
     empty strings; numbers that don't parse are null.
     """
-    models = spark.read.option("lineSep", "\nENDMDL").text(path).select("value", F.upper(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1)).alias("code"))
+    models = spark.read.option("lineSep", "\nENDMDL").text(path).select("value", F.upper(F.regexp_extract(F.input_file_name(), code, 1)).alias("code"))
     numbered = models.withColumn("model", F.coalesce(F.regexp_extract("value", r"(?m)^MODEL +(\d+)", 1).try_cast("int"), F.lit(1)))
     lines = numbered.select("code", "model", F.explode(F.split("value", r"\r?\n")).alias("value"))
     cut = lambda a, n: F.trim(F.substring("value", a, n))

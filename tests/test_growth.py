@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from graphloom.operators import construct
+from graphloom.plans import catalog
 
 
 def plan(df):
@@ -55,3 +56,13 @@ def test_rules_of_one_search(spark):
     got = construct.by_rules(nodes, {k: construct.RULES[k] for k in kinds})
     assert plan(got).split("== Physical Plan ==")[1].count("SortMergeJoin") == 1
     assert sorted(tuple(r) for r in got.collect()) == want and want
+
+
+def test_structures_whose_labels_repeat(spark, tmp_path):
+    """Beyond 260,000 parts chains and numbers start anew; such atoms are of other structures and all stay."""
+    keys = [1, 260_001, 260_002, 520_001, 100_001, 7_000_001]
+    spark.createDataFrame([(k, 7) for k in keys], "p_partkey long, p_size int").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    got = catalog.read_structures(spark, str(tmp_path)).collect()
+    chain = lambda k: chr(65 + k // 10_000 % 26)
+    want = sorted((f"{chain(k)}:ALA:{k % 10_000}:{'CA' if k % 2 == 0 else 'N'}", 7.0, float(k % 100), -1.5, 20.25) for k in keys)
+    assert sorted(tuple(r) for r in got) == want and len({w[0] for w in want}) < len(want)
