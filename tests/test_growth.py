@@ -1,9 +1,13 @@
 """What queries shuffle, broadcast and write as tables grow."""
 
+import os
+
 import numpy as np
 import pytest
 from graphloom.operators import construct
+from graphloom.operators.store import NODES
 from graphloom.plans import catalog
+from graphloom.plans.registry import QUERIES
 
 
 def plan(df):
@@ -66,3 +70,26 @@ def test_structures_whose_labels_repeat(spark, tmp_path):
     chain = lambda k: chr(65 + k // 10_000 % 26)
     want = sorted((f"{chain(k)}:ALA:{k % 10_000}:{'CA' if k % 2 == 0 else 'N'}", 7.0, float(k % 100), -1.5, 20.25) for k in keys)
     assert sorted(tuple(r) for r in got) == want and len({w[0] for w in want}) < len(want)
+
+
+DATA = "/root/testdata/sf0.001"
+with_tables = pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables are absent")
+KEPT = {}  # tables that these runs share, and no others
+OF_NODES = ["bitmap_shared_by_all", "bitmap_union", "bitmap_structure", "bitmap_overlap", "extract_many", "edges_peptide", "edges_pi_stacking", "complete_graph_filter", "graph_annotations", "complete_edge_list", "split_halves_left"]
+
+
+@with_tables
+@pytest.mark.parametrize("name", OF_NODES)
+def test_nodes_are_read_without_making_edges(spark, monkeypatch, name):
+    def no(*_):
+        raise AssertionError("edges were made")
+
+    monkeypatch.setattr(catalog, "_KEPT", KEPT)
+    monkeypatch.setattr(catalog.overlays, "order_edges", no)
+    QUERIES[name](spark, DATA).write.format("noop").mode("overwrite").save()
+
+
+def test_pairs_of_an_order_take_one_shuffle_of_nodes(spark):
+    nodes = spark.createDataFrame([("O1", 1, 0, "A:ALA:1", [0.0, 0.0, 0.0], 1.0)], NODES)
+    text = plan(catalog.overlays.order_edges(nodes)).split("== Physical Plan ==")[1]
+    assert text.count("hashpartitioning") == 2  # the same one on both sides of the join, none for places
