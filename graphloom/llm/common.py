@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from graphloom.operators.lineage import settled as saved
+from graphloom.operators.lineage import settled
 
+#: Tables of the corpus operators are compressed as the session has it, which is how they were measured.
+saved = partial(settled, compression=None)
 U64 = np.uint64
 _BATCH_BYTES = 4 << 20
 
